@@ -20,3 +20,8 @@ def crc32_text(col) -> F.Column:
 
 def parallel(spark: SparkSession, least: int = 8) -> int:
     return max(least, int(spark.conf.get("spark.sql.shuffle.partitions")))
+
+
+def words(text) -> F.Column:
+    """Array of the words of a text; null gives none."""
+    return F.array_remove(F.split(F.coalesce(text, F.lit("")), SPACE + "+", -1), "")
