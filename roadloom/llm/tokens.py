@@ -19,7 +19,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from roadloom.session import cut
+from roadloom.session import stored
 
 LIMIT = 1024
 #: Units joined by broadcast; about 12 MB at most, since longer units than ``HEAD_BYTES`` stay in the tail.
@@ -118,7 +118,7 @@ def token_counts(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: s
     other than the two named are not read.
     """
     spark = docs.sparkSession
-    counts = cut(piece_counts(unit_frequencies(docs, text_col), path))
+    counts = stored(piece_counts(unit_frequencies(docs, text_col), path))
     short = counts.where(F.octet_length("unit") <= HEAD_BYTES)
     # at most ``head`` rows: the frequency of the head-th unit, read off a histogram of powers of two
     levels = short.groupBy(F.floor(F.log2("n")).cast("int").alias("k")).count().orderBy(F.desc("k")).collect()
