@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from roadloom.llm import lines, packing, simhash, tokens
+from roadloom.llm import lines, packing, quality, rules, secrets, simhash, tokens
 from roadloom.llm.common import table
 
 
@@ -24,6 +24,16 @@ def op3_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tokens.token_counts(table(spark, sf_dir, "documents"), vocabulary("byte_bpe_50k.json"))
 
 
+def op4_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    model = secrets.fit(secrets.labelled_findings(spark))
+    return secrets.scan(table(spark, sf_dir, "documents"), model).drop("value")
+
+
+def op5_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return quality.classify(docs, table(spark, sf_dir, "labels")).select("doc_id", "held_out", "score", "predicted")
+
+
 def op7_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(table(spark, sf_dir, "documents"), vocabulary("word_bpe_49k.json"), ids=False)
 
@@ -33,7 +43,19 @@ def op8_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return kept.select("doc_id", "n_lines", "n_dropped", F.sha2(F.col("text").cast("binary"), 256).alias("kept_sha256"))
 
 
-QUERIES = {"op1_simhash": op1_simhash, "op3_token_counts": op3_token_counts, "op7_packing": op7_packing, "op8_line_dedup": op8_line_dedup}
+def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return rules.quality_rules(table(spark, sf_dir, "documents"))
+
+
+QUERIES = {
+    "op1_simhash": op1_simhash,
+    "op3_token_counts": op3_token_counts,
+    "op4_secrets": op4_secrets,
+    "op5_quality": op5_quality,
+    "op7_packing": op7_packing,
+    "op8_line_dedup": op8_line_dedup,
+    "op10_quality_rules": op10_quality_rules,
+}
 
 ORACLES: dict[str, str] = {
     "op8_line_dedup": r"""

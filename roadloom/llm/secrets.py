@@ -37,7 +37,7 @@ DICTIONARY = (
 ).split()
 FEATURES = ("length", "letters", "digits", "upper", "marks", "transitions", "distinct", "longest_run", "hex", "dictionary", "known_prefix", "cued", "checksum", "odd_path", "assigned", "dashes")
 _CUE = r"(?i)(token|secret|passw|pwd|api.?key|access.?key|auth|credential|bearer|private.?key|client.?key)"
-_SUM = r"(?i)(sha[0-9]*|md5|hash|commit|checksum|digest|etag|uuid|guid|integrity|revision|fingerprint|blob|tree)"
+_SUM = r"(?i)\b(sha-?[0-9]*|md5|hash|commit|checksum|digest|etag|uuid|guid|integrity|revision|fingerprint|blob|tree)\b"
 _PATH = r"(?i)(test|spec|mock|fixture|example|sample|lock|vendor|node_modules|\.min\.|docs?/)"
 _PREFIX = r"^(AKIA|ASIA|ghp_|gho_|ghs_|github_pat_|xox[abpr]-|sk_live_|rk_live_|AIza|glpat-|eyJ)"
 
@@ -47,7 +47,8 @@ def candidates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     path = F.coalesce(F.col(path_col).cast("string"), F.lit("")) if path_col else F.lit("")
     d = docs.select(F.col(id_col).alias("doc_id"), path.alias("path"), F.split(F.coalesce(F.col(text_col).cast("string"), F.lit("")), SPACE + "+", -1).alias("w"))
     long_ones = F.expr(f"filter(sequence(0, size(w) - 1), i -> length(w[i]) >= {MIN_CHARS} AND w[i] rlike '{_KEY}{{{MIN_CHARS},}}')")
-    d = d.withColumn("at", long_ones).where(F.size("at") > 0).withColumn("word_at", F.explode("at"))
+    # the outer form: a filter on the array would be pushed down and split the text again for every word
+    d = d.withColumn("at", long_ones).withColumn("word_at", F.explode_outer("at")).where("word_at IS NOT NULL")
     around = lambda k: F.coalesce(F.expr(f"get(w, word_at + ({k}))"), F.lit(""))
     d = d.withColumn("word", around(0)).withColumn("before", F.concat_ws(" ", around(-3), around(-2), around(-1))).withColumn("after", around(1))
     d = d.withColumn("value", F.regexp_extract("word", f"({_KEY}{{{MIN_CHARS},}})", 1))
@@ -128,8 +129,8 @@ def labelled_findings(spark: SparkSession, n: int = 1500, seed: int = SEED) -> D
 def fit(labelled: DataFrame, seed: int = SEED, max_train: int = MAX_TRAIN) -> list:
     """The forest from at most ``max_train`` labelled findings (columns of ``candidates`` and ``label`` 0/1)."""
     names = [f"s_{f}" for f in FEATURES]
-    rows = features(labelled.where("label IN (0, 1) AND value IS NOT NULL")).select(*names, F.col("label").cast("double"), "value").orderBy(F.xxhash64("value"), "value", *names).limit(max_train).collect()
-    data = np.array([tuple(r)[:-1] for r in rows], float).reshape(-1, len(FEATURES) + 1)
+    some = labelled.where("label IN (0, 1) AND value IS NOT NULL").orderBy(F.xxhash64("value"), "value").limit(max_train)
+    data = np.array(sorted(tuple(r) for r in features(some).select(*names, F.col("label").cast("double")).collect()), float).reshape(-1, len(FEATURES) + 1)
     if not len(data):
         return [0.5]
     return trees.forest(data[:, :-1], data[:, -1], TREES, DEPTH, seed)
