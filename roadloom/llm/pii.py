@@ -414,7 +414,7 @@ def find_pii(docs: DataFrame, tagger: Tagger, id_col: str = "doc_id", text_col:
 def report(found: DataFrame) -> DataFrame:
     """Counts and digests of ``find_pii``: counts are of the base spans, ``n_added`` of the others."""
     joined = lambda c: F.array_join(F.transform(c, lambda s: F.concat_ws(":", s["kind"], s["start"], s["end"])), ",")
-    counts = [F.size(F.filter("base", lambda s, k=k: s["kind"] == k)).cast("long").alias(f"n_{k}") for k in KINDS]
+    counts = [F.expr(f"size(filter(base, s -> s.kind = '{k}'))").cast("long").alias(f"n_{k}") for k in KINDS]
     return found.select(
         "doc_id", *counts, F.sha2(joined("base").cast("binary"), 256).alias("base_sha256"), joined("spans").alias("spans"), (F.size("spans") - F.size("base")).cast("long").alias("n_added")
     )
