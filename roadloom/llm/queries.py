@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from roadloom.llm import decontamination, lines, packing, pii, quality, rules, secrets, simhash, tokens
+from roadloom.llm import decontamination, lines, packing, pii, quality, rules, secrets, simhash, substrings, tokens
 from roadloom.llm.common import table
 
 
@@ -38,6 +38,11 @@ def op5_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.classify(docs, table(spark, sf_dir, "labels")).select("doc_id", "held_out", "score", "predicted")
 
 
+def op6_substrings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    kept = substrings.drop_repeated(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return kept.select("doc_id", "n_words", "n_removed", F.sha2(F.col("text").cast("binary"), 256).alias("kept_sha256"))
+
+
 def op7_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(table(spark, sf_dir, "documents"), vocabulary("word_bpe_49k.json"), ids=False)
 
@@ -61,6 +66,7 @@ QUERIES = {
     "op3_token_counts": op3_token_counts,
     "op4_secrets": op4_secrets,
     "op5_quality": op5_quality,
+    "op6_substrings": op6_substrings,
     "op7_packing": op7_packing,
     "op8_line_dedup": op8_line_dedup,
     "op9_decontamination": op9_decontamination,
@@ -68,6 +74,19 @@ QUERIES = {
 }
 
 ORACLES: dict[str, str] = {
+    "op6_substrings": r"""
+WITH d AS (SELECT doc_id, list_filter(regexp_split_to_array(coalesce(text, ''), '[\x20\x09-\x0D]+'), lambda x: x <> '') AS w FROM documents),
+x AS (SELECT doc_id, unnest(range(1, len(w) - 18)) AS s, w FROM d WHERE len(w) >= 20),
+v AS (SELECT doc_id, s, array_to_string(list_slice(w, s, s + 19), ' ') AS phrase FROM x),
+r AS (SELECT doc_id, s, row_number() OVER (PARTITION BY phrase ORDER BY doc_id, s) AS k FROM v),
+g AS (SELECT doc_id, list_distinct(flatten(list(range(s, s + 20)))) AS gone FROM r WHERE k > 1 GROUP BY doc_id),
+p AS (SELECT d.doc_id, d.w, coalesce(g.gone, []) AS gone FROM d LEFT JOIN g USING (doc_id)),
+e AS (SELECT doc_id, unnest(w) AS word, generate_subscripts(w, 1) AS pos FROM d),
+o AS (SELECT doc_id, unnest(gone) AS pos FROM p),
+k AS (SELECT e.doc_id, string_agg(word, ' ' ORDER BY e.pos) AS kept FROM e ANTI JOIN o ON e.doc_id = o.doc_id AND e.pos = o.pos GROUP BY e.doc_id)
+SELECT p.doc_id, CAST(len(w) AS BIGINT) AS n_words, CAST(len(gone) AS BIGINT) AS n_removed, sha256(coalesce(kept, '')) AS kept_sha256
+FROM p LEFT JOIN k USING (doc_id)
+""",
     "op8_line_dedup": r"""
 WITH d AS (SELECT doc_id, string_split(coalesce(text, ''), chr(10)) AS parts FROM documents),
 l AS (SELECT doc_id, unnest(parts) AS line, generate_subscripts(parts, 1) AS pos FROM d),
