@@ -44,6 +44,8 @@ def statistics(docs: DataFrame, text_col: str = "text") -> DataFrame:
             "q_digits": per(r"[0-9]"),
             "q_stops": per(r"[.,;:]"),
             "q_lines": F.regexp_count("_text", F.lit("\n")) / F.col("_n"),
+            # a value per row that a filter on the score cannot be pushed below, where it would compute the statistics once per rule
+            "q_row": F.monotonically_increasing_id(),
             "q_short_share": F.expr("size(filter(_words, w -> length(w) <= 3))") / F.col("_n"),
         }
     ).drop("_text", "_words", "_n", "_chars")
@@ -87,7 +89,7 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
 
 def score(docs: DataFrame, model: RuleModel, text_col: str = "text") -> DataFrame:
     """``docs`` plus ``score``, the likelihood of label 1. A null text scores as an empty one."""
-    return statistics(docs, text_col).withColumn("score", model.column()).drop(*(f"q_{x}" for x in STATISTICS))
+    return statistics(docs, text_col).withColumn("score", F.when(F.col("q_row") >= 0, model.column())).drop("q_row", *(f"q_{x}" for x in STATISTICS))
 
 
 def in_training(id_col: str) -> F.Column:
