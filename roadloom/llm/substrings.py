@@ -27,6 +27,8 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 WINDOW, SEED_WORDS = 20, 8
+#: Texts that share an automaton, and letters that spell a word (of 64 each).
+SHARD_DOCS, LETTERS = 2000, 4
 NO_ID = -(1 << 63)
 _STEP = np.uint64(0x9E3779B97F4A7C15)
 
@@ -94,28 +96,39 @@ class Batch:
     def window_hashes(self, which: np.ndarray) -> np.ndarray:
         return _rolled(self.hashes, self.window)[self.at[which]]
 
+    def _stream(self, bounds: np.ndarray, known: np.ndarray, hit: np.ndarray) -> None:
+        """Marks in ``hit`` the places of the known phrases in the texts between ``bounds``."""
+        a, b = int(bounds[0]), int(bounds[-1])
+        inside = self.phrases[a : max(a, b - SEED_WORDS + 1)]
+        place = a + np.flatnonzero(np.isin(inside, known))
+        if not len(place):
+            return
+        place = place[np.unique(self.phrases[place], return_index=True)[1]]
+        # a word is LETTERS letters, each place in it with an alphabet of its own: nodes stay narrow and matches aligned
+        codes = np.unique(self.codes[a:b], return_inverse=True)[1].astype(np.uint32)
+        letters = np.empty((b - a, LETTERS), np.uint32)
+        for k in range(LETTERS):
+            letters[:, k] = 0x100 + 64 * k + (codes >> np.uint32(6 * k) & np.uint32(63))
+        text = letters.astype("<u4").tobytes()
+        automaton = ahocorasick.Automaton(ahocorasick.STORE_INTS)
+        size, word = 4 * LETTERS, LETTERS * SEED_WORDS
+        for p in (place - a).tolist():
+            automaton.add_word(text[p * size : (p + SEED_WORDS) * size].decode("utf-32-le"), 1)
+        automaton.make_automaton()
+        for x, y in zip(bounds[:-1].tolist(), bounds[1:].tolist(), strict=True):
+            if y - x >= self.window:
+                ends = [e for e, _ in automaton.iter(text[(x - a) * size : (y - a) * size].decode("utf-32-le"))]
+                if ends:
+                    hit[(np.array(ends) - word + 1) // LETTERS + x] = True
+
     def located(self, known: np.ndarray) -> np.ndarray:
         """Windows whose seed is one of ``known`` (hashes), found by an automaton of those phrases' words."""
         if not len(self.at) or not len(known):
             return np.zeros(0, np.int64)
-        order = np.argsort(self.phrases, kind="stable")
-        first = np.searchsorted(self.phrases[order], known)
-        ok = first < len(order)
-        place = order[np.minimum(first, len(order) - 1)]
-        place = place[ok & (self.phrases[place] == known)]
-        automaton = ahocorasick.Automaton(ahocorasick.STORE_INTS, ahocorasick.KEY_SEQUENCE)
-        codes = self.codes.tolist()
-        for p in place.tolist():
-            automaton.add_word(tuple(codes[p : p + SEED_WORDS]), 1)
-        if not len(automaton):
-            return np.zeros(0, np.int64)
-        automaton.make_automaton()
         hit = np.zeros(len(self.phrases), bool)
-        for a, b in zip(self.offsets[:-1].tolist(), self.offsets[1:].tolist(), strict=True):
-            if b - a >= self.window:
-                ends = [e for e, _ in automaton.iter(tuple(codes[a:b]))]
-                if ends:
-                    hit[np.array(ends) + (a - SEED_WORDS + 1)] = True
+        for lo in range(0, len(self.offsets) - 1, SHARD_DOCS):
+            bounds = self.offsets[lo : lo + SHARD_DOCS + 1]
+            self._stream(bounds, known, hit)
         least = _least(np.where(hit, self.phrases, np.uint64((1 << 64) - 1)), self.window - SEED_WORDS + 1)
         return np.flatnonzero(least[self.at] == self.seed)
 
@@ -131,12 +144,12 @@ def _signed(x: np.ndarray) -> pa.Array:
 
 
 def _recurring_seeds(slim: DataFrame, window: int) -> DataFrame:
-    """``(doc, tag, seeds)``: of every document the seeds that occur at least twice in the corpus."""
+    """``(doc, seeds)``: of every document the seeds that occur at least twice in the corpus."""
 
     def spread(batches):
         for batch in batches:
             b = Batch(batch.column(2), window)
-            doc, tag = batch.column(0).to_numpy(), batch.column(1).to_numpy()
+            doc = batch.column(0).to_numpy()
             change = np.concatenate(([True], (np.diff(b.seed) != 0) | (np.diff(b.doc) != 0))) if len(b.seed) else np.zeros(0, bool)
             d, s = b.doc[change], b.seed[change]
             order = np.lexsort((d, s))
@@ -149,8 +162,10 @@ def _recurring_seeds(slim: DataFrame, window: int) -> DataFrame:
             keep = new | np.concatenate(([True], np.diff(d) != 0)) if len(s) else new
             kind = np.where(new, np.where(many, 1, 0), 2)[keep]
             d, s = d[keep], s[keep]
-            key = np.where(kind == 2, (doc[d] * 31 + 7), s.view(np.int64))
-            yield pa.RecordBatch.from_arrays([pa.array(key), _signed(s), pa.array(doc[d]), pa.array(tag[d]), pa.array(kind.astype(np.int8))], names=["key", "seed", "doc", "tag", "kind"])
+            key = np.where(kind == 2, doc[d] * 31 + 7, s.view(np.int64)) & 0x7FFF
+            back = np.argsort(doc[d], kind="stable")  # neighbours of one document compress well
+            key, s, d, kind = key[back], s[back], d[back], kind[back]
+            yield pa.RecordBatch.from_arrays([pa.array(key.astype(np.int16)), _signed(s), pa.array(doc[d]), pa.array(kind.astype(np.int8))], names=["key", "seed", "doc", "kind"])
 
     def confirm(batches):
         held: pa.RecordBatch | None = None  # the last row, which the next batch may confirm
@@ -165,13 +180,13 @@ def _recurring_seeds(slim: DataFrame, window: int) -> DataFrame:
             if held is not None and sent:
                 good[0] = False
             sent = bool(good[-1])
-            out = t.filter(pa.array(good)).select(["doc", "tag", "seed"])
+            out = t.filter(pa.array(good)).select(["doc", "seed"])
             held = t.slice(t.num_rows - 1).to_batches()[0]
             yield from out.to_batches()
 
-    rows = slim.mapInArrow(spread, "key long, seed long, doc long, tag int, kind byte")
-    found = rows.repartition("key").sortWithinPartitions("seed").select("seed", "doc", "tag", "kind").mapInArrow(confirm, "doc long, tag int, seed long")
-    return found.groupBy("doc", "tag").agg(F.collect_set("seed").alias("seeds"))
+    rows = slim.mapInArrow(spread, "key short, seed long, doc long, kind byte")
+    found = rows.repartition("key").sortWithinPartitions("seed").select("seed", "doc", "kind").mapInArrow(confirm, "doc long, seed long")
+    return found.groupBy("doc").agg(F.collect_set("seed").alias("seeds"))
 
 
 def _removals(slim: DataFrame, seeds: DataFrame, window: int) -> DataFrame:
@@ -197,15 +212,17 @@ def _removals(slim: DataFrame, seeds: DataFrame, window: int) -> DataFrame:
             gone = np.sort(order[later])
             begin, length = _runs(row[gone], start[gone])
             g = gone[begin]
-            part = np.concatenate((seed[send].astype(np.int64) & 0xFFFF, (doc[row[g]] * 31 + 7) & 0xFFFF))
+            part = np.concatenate((seed[send].astype(np.int64) & 0x7FFF, (doc[row[g]] * 31 + 7) & 0x7FFF))
             both = np.concatenate((send, g))
+            back = np.lexsort((start[both], doc[row[both]]))  # runs of one document compress well
+            both, part = both[back], part[back]
             cols = [
-                pa.array(part.astype(np.int32)),
-                _signed(np.concatenate((w[send], np.zeros(len(g), np.uint64)))),
+                pa.array(part.astype(np.int16)),
+                _signed(np.concatenate((w[send], np.zeros(len(g), np.uint64)))[back]),
                 pa.array(doc[row[both]]),
-                pa.array(start[both]),
+                pa.array(start[both].astype(np.int32)),
                 pa.array(tag[row[both]]),
-                pa.array(np.concatenate((np.zeros(len(send), np.int32), length.astype(np.int32)))),
+                pa.array(np.concatenate((np.zeros(len(send), np.int32), length.astype(np.int32)))[back]),
             ]
             yield pa.RecordBatch.from_arrays(cols, names=["part", "w", "doc", "start", "tag", "n"])
 
@@ -233,10 +250,10 @@ def _removals(slim: DataFrame, seeds: DataFrame, window: int) -> DataFrame:
             sizes = np.concatenate((n[ready], length.astype(np.int32)))
             yield pa.RecordBatch.from_arrays([pa.array(doc[rows]), pa.array(tag[rows]), pa.array(start[rows]), pa.array(sizes.astype(np.int32))], names=["doc", "tag", "start", "n"])
 
-    met = slim.join(seeds, ["doc", "tag"]).select("doc", "tag", "text", "seeds")
-    rows = met.mapInArrow(locate, "part int, w long, doc long, start long, tag int, n int")
+    met = slim.join(seeds, "doc").select("doc", "tag", "text", "seeds")
+    rows = met.mapInArrow(locate, "part short, w long, doc long, start int, tag short, n int")
     dealt = rows.repartition("part").sortWithinPartitions("w", "doc", "start").select("w", "doc", "start", "tag", "n")
-    gone = dealt.mapInArrow(decide, "doc long, tag int, start long, n int")
+    gone = dealt.mapInArrow(decide, "doc long, tag short, start int, n int")
     return gone.groupBy("doc", "tag").agg(F.collect_list(F.struct("start", "n")).alias("runs"))
 
 
@@ -253,7 +270,8 @@ def drop_repeated(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
         raise ValueError(f"windows need at least {SEED_WORDS} words")
     text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
     ident = F.coalesce(F.col(id_col).cast("long"), F.lit(NO_ID))
-    tag = F.hash(text).alias("tag")
+    # tells rows apart that share an id but not a text
+    tag = F.pmod(F.hash(text), F.lit(1 << 15)).cast("short").alias("tag")
     slim = docs.select(ident.alias("doc"), tag, text.alias("text"))
     removals = _removals(slim, _recurring_seeds(slim, window), window)
     rest = [c for c in docs.columns if c not in (text_col, "n_words", "n_removed")]
