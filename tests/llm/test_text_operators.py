@@ -1,0 +1,211 @@
+"""Text operators against brute force, the tokenizers themselves or held-out accuracy."""
+
+import collections
+import random
+import re
+import zlib
+
+import numpy as np
+import pytest
+from pyspark.sql import functions as F
+
+import __spark_entry__ as entry
+from roadloom.llm import decontamination, packing, pii, quality, rules, secrets, tokens
+from roadloom.llm.queries import vocabulary
+
+SF = "/root/testdata/sf0.001"
+WORD = re.compile(r"[^\x20\x09-\x0D]+")
+ODD = [(9001, None), (9002, ""), (9003, " a  b \n c\n\n d "), (9004, "x <|endoftext|> y<|endoftext|>z  "), (None, "hey there  you 　 a\x1c \x1cb"), (9005, "Ünï " * 6000), (9006, "z" * 30000), (9006, "z" * 30000)]
+
+
+@pytest.fixture(scope="module")
+def docs(spark):
+    real = spark.read.parquet(f"{SF}/documents.parquet").select("doc_id", "text")
+    odd = spark.createDataFrame(ODD, "doc_id long, text string")
+    return real.union(odd).withColumn("score", F.lit("mine")).withColumn("n_words", F.lit(None).cast("int")).withColumn("lang", F.when(F.col("doc_id") % 2 == 0, "en")).withColumn("source", F.lit(None).cast("string")).cache()
+
+
+@pytest.fixture(scope="module")
+def texts(docs):
+    return [(r.doc_id, r.text) for r in docs.collect()]
+
+
+@pytest.mark.parametrize("head", [tokens.HEAD, 300])
+def test_token_counts(docs, texts, head):
+    path = vocabulary("byte_bpe_50k.json")
+    t = tokens.tokenizer(path)
+    want = collections.Counter((i, len((x or "").encode()), n, n > 1024) for (i, x), n in ((d, len(t.encode(d[1] or "", add_special_tokens=False).ids)) for d in texts))
+    assert collections.Counter(map(tuple, tokens.token_counts(docs, path, head=head).collect())) == want
+
+
+def test_token_counts_sentencepiece_units(docs):
+    assert tokens.token_counts(docs.where("false"), vocabulary("byte_bpe_50k.json")).count() == 0
+
+
+def test_packing(docs, texts):
+    path = vocabulary("word_bpe_49k.json")
+    rows = packing.pack(docs, path, group_bytes=200_000).collect()
+    t = tokens.tokenizer(path)
+    want = collections.Counter()
+    for i, x in texts:
+        ids = np.array([*t.encode(x or "", add_special_tokens=False).ids, 1], np.uint32)
+        for s in range(0, len(ids), 2048):
+            raw = ids[s : s + 2048].tobytes()
+            want[i, s, len(raw) // 4, zlib.crc32(raw), len(ids), raw] += 1
+    assert collections.Counter((r.doc_id, r.start, r.length, r.ids_crc32, r.doc_tokens, bytes(r.ids)) for r in rows) == want
+    sequences = collections.defaultdict(list)
+    for r in rows:
+        sequences[r.sequence_id].append((r.offset, r.length))
+    for parts in sequences.values():
+        assert [o for o, _ in sorted(parts)] == [sum(n for _, n in sorted(parts)[:k]) for k in range(len(parts))]
+        assert sum(n for _, n in parts) <= 2048
+    assert packing.pack(docs.where("false"), path).count() == 0
+
+
+def test_first_fit_decreasing_equals_plain():
+    r = random.Random(3)
+    sizes = sorted((r.randint(1, 2048) for _ in range(700)), reverse=True)
+    free, want = [], []
+    for x in sizes:
+        k = next((k for k, f in enumerate(free) if f >= x), len(free))
+        if k == len(free):
+            free.append(2048)
+        want.append((k, 2048 - free[k]))
+        free[k] -= x
+    assert list(zip(*packing.first_fit_decreasing(sizes, 2048), strict=True)) == want
+
+
+@pytest.fixture(scope="module")
+def tagger():
+    return pii.trained()
+
+
+def test_base_spans():
+    for text in ["a.b@c.de x@y", "1.2.3.4.5.6 256.1.1.1 10.0.0.255", "4111 1111-1111 1111, 4111 1111 1111 1112", "+1 (040) 555-0631 +12", "a@b.c@d.e..", "é@x.y ß+49 30 1234567", "1" * 5000, "@" * 50]:
+        want = []
+        for kind, pattern in (("email", r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+"), ("ip", r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)"), ("card", r"[0-9]([\x20-]?[0-9])+"), ("phone", r"\+[0-9][\x20().0-9-]+[0-9]")):
+            for m in re.finditer(pattern, text):
+                digits = re.sub("[^0-9]", "", m.group())
+                ok = {"email": True, "ip": all(int(p) <= 255 for p in m.group().split(".")) if kind == "ip" else False, "card": 12 <= len(digits) <= 19 and pii.luhn(digits), "phone": 9 <= len(digits) <= 15}[kind]
+                if ok:
+                    want.append((kind, *m.span()))
+        assert pii.base_spans(text) == sorted(want, key=lambda s: (s[1], pii.KINDS.index(s[0])))
+
+
+def test_tagger_on_held_out_texts(tagger):
+    test = pii.labelled_texts(200, seed=77)
+    got = pii.added_spans([t for t, _ in test], [[] for _ in test], tagger)
+    right = sum(len(set(s) & set(a)) for (_, s), a in zip(test, got, strict=True))
+    assert right / max(1, sum(map(len, got))) > 0.85 and right / sum(len(s) for _, s in test) > 0.6
+
+
+def test_tagger_gradients():
+    g = pii.Tagger(hidden=3, seed=1)
+    codes = np.random.default_rng(0).integers(0, pii.CODES, (2, 7))
+    tags = np.array([[0, 1, 2, 0, 3, 4, 0], [0, 0, 5, 6, 0, 7, 8]])
+    _, grads = g.loss_and_gradients(codes, tags)
+    for name, p in g.p.items():
+        at = (codes[0, 0], 1) if name in ("xf", "xb") else (1,) * p.ndim
+        kept, values = p[at], []
+        for d in (1e-5, -1e-5):
+            p[at] = kept + d
+            values.append(g.loss_and_gradients(codes, tags)[0])
+        p[at] = kept
+        assert (values[0] - values[1]) / 2e-5 == pytest.approx(grads[name][at], abs=1e-5)
+
+
+def test_pii_rows(docs, texts, tagger):
+    rows = pii.report(pii.find_pii(docs, tagger)).collect()
+    want = collections.Counter((i, pii.digest(pii.base_spans(t or ""))) for i, t in texts)
+    assert collections.Counter((r.doc_id, r.base_sha256) for r in rows) == want
+    assert pii.reconcile([("ip", 0, 5, 1.0), ("phone", 3, 9, 2.0), ("ip", 0, 5, 0.5), ("card", 9, 12, 1.0)]) == [("phone", 3, 9), ("card", 9, 12)]
+
+
+def test_quality(spark, docs):
+    labels = spark.read.parquet("/root/testdata/sf0.01/labels.parquet")
+    big = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    rows = quality.classify(big, labels).join(labels, "doc_id").where("held_out").select("predicted", "quality").collect()
+    assert np.mean([r.predicted == r.quality for r in rows]) > 0.95
+    assert all((zlib.crc32(str(r.doc_id).encode()) % 3 == 1) == r.held_out for r in quality.classify(big, labels).select("doc_id", "held_out").limit(50).collect())
+    odd = quality.classify(docs, labels)
+    assert odd.columns.count("score") == 1 and odd.where("score IS NULL OR score < 0 OR score > 1").count() == 0
+    assert {r.score for r in quality.classify(docs, labels.where("false")).select("score").collect()} == {0.5}
+    assert quality.classify(docs.where("false"), labels).count() == 0
+
+
+def test_quality_rules(docs, texts):
+    rows = rules.quality_rules(docs).collect()
+    want = collections.Counter()
+    for i, t in texts:
+        w = WORD.findall(t or "")
+        wins = [tuple(w[k : k + 8]) for k in range(len(w) - 7)]
+        seen, cover = collections.Counter(wins), set()
+        for k, x in enumerate(wins):
+            if seen[x] > 1:
+                cover.update(range(k, k + 8))
+        full = [x for x in (t or "").split("\n") if WORD.search(x)]
+        want[i, len(w), sum(map(len, w)), len(re.findall(r"[#*$%&|<>]", t or "")), len(full) - len(set(full)), len(cover), len(w) < 20 or 100 * len(cover) > 30 * len(w)] += 1
+    assert collections.Counter((r.doc_id, r.n_words, r.word_chars, r.n_symbols, r.n_dup_lines, r.n_repeat_words, r.base_failed) for r in rows) == want
+    assert not any(r.kept and r.base_failed for r in rows)
+    assert rules.quality_rules(docs.where("false")).count() == 0
+
+
+def test_divergence_equals_numpy(spark):
+    d = spark.createDataFrame([([0.5, 0.5, 0.0], [0.25, 0.25, 0.5]), ([1.0, 0.0, 0.0], [0.0, 0.0, 1.0])], "p array<double>, q array<double>")
+    got = [r[0] for r in d.select(rules._distance("p", "q")).collect()]
+    p, q = np.array([0.5, 0.5, 0]), np.array([0.25, 0.25, 0.5])
+    m = (p + q) / 2
+    want = np.sqrt(0.5 * sum(a * np.log2(a / b) for a, b in zip(p, m, strict=True) if a) + 0.5 * sum(a * np.log2(a / b) for a, b in zip(q, m, strict=True) if a))
+    assert got == pytest.approx([want, 1.0])
+
+
+def test_secrets(spark):
+    model = secrets.fit(secrets.labelled_findings(spark))
+    fresh = secrets.labelled_findings(spark, 400, seed=5)
+    scored = secrets.features(fresh).withColumn("p", secrets.trees.forest_column(model, [f"s_{f}" for f in secrets.FEATURES]))
+    assert scored.agg(F.avg(((F.col("p") >= 0.5) == (F.col("label") == 1)).cast("double"))).first()[0] > 0.95
+    key = random.Random(1).randbytes(20).hex()
+    d = spark.createDataFrame([(1, f'use token = "{key}" here', "s", "x"), (2, f"commit {key} of", "s", "x"), (3, None, None, "x"), (4, "", "s", "x")], "doc_id long, text string, source string, value string")
+    rows = {r.doc_id: r for r in secrets.scan(d, model).collect()}
+    assert set(rows) == {1, 2} and rows[1].is_secret and not rows[2].is_secret
+    assert (rows[1].word_at, rows[1].n_chars, rows[1].value_sha256) == (3, 40, secrets.digest(key))
+
+
+def test_decontamination(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet").select("doc_id", "text")
+    bench = spark.read.parquet("/root/testdata/sf0.01/benchmark.parquet")
+    plain = lambda s: " ".join((s or "").lower().split())
+    items = [(r.item_id, plain(r.text)) for r in bench.collect()]
+    want = {(r.doc_id, k) for r in docs.collect() for k, q in items if q in plain(r.text)}
+    changed = items[0][1].split()
+    changed[5], changed[11] = "other", "words"
+    odd = spark.createDataFrame([(5000, " ".join(["la"] * 50 + changed + ["le"] * 50)), (5001, None), (5002, ""), (None, "nothing here")], "doc_id long, text string")
+    more = bench.unionByName(spark.createDataFrame([(7000, None), (7001, "")], "item_id long, text string"))
+    got = {(r.doc_id, r.item_id) for r in decontamination.contaminated(docs.union(odd), more).collect()}
+    assert got == want | {(5000, items[0][0])}
+    assert decontamination.contaminated(odd, bench.where("false")).count() == 0
+
+
+def test_lcs():
+    r = random.Random(2)
+    for _ in range(50):
+        a, b = ([r.choice("abcd") for _ in range(r.randint(1, 12))] for _ in range(2))
+        best = [[0] * (len(b) + 1) for _ in range(len(a) + 1)]
+        for i, x in enumerate(a):
+            for j, y in enumerate(b):
+                best[i + 1][j + 1] = best[i][j] + 1 if x == y else max(best[i][j + 1], best[i + 1][j])
+        assert decontamination.lcs(a, b) == best[-1][-1]
+
+
+def test_pipeline(spark):
+    import corpus_pipeline as c
+
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    columns, ids = docs.columns, {r.doc_id for r in docs.collect()}
+    for name, stage in c.STAGES[:-1]:
+        docs = c.stored(stage(spark, docs, "/root/testdata/sf0.01"))
+        now = {r.doc_id for r in docs.collect()}
+        assert docs.columns == columns and now <= ids, name
+        ids = now
+    assert {r.doc_id for r in c.packing_stage(spark, docs, "").select("doc_id").distinct().collect()} == ids
+    assert entry.queries()["pipeline"] is c.run
