@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from roadloom.functions import geometry as g
-from roadloom.operators import evaluation, network, spatial, windows
+from roadloom.operators import cleaning, evaluation, kernels, network, spatial, windows
 from roadloom.sources import traces
 from roadloom.sources.traces import POINTS_SQL
 
@@ -301,3 +301,45 @@ def map_score(p: DataFrame) -> DataFrame:
     truth = truth.select("id", F.when(flat, F.col("s")).otherwise(60.0 * (F.col("road") - 10)).alias("x"), F.when(flat, 60.0 * F.col("road")).otherwise(F.col("s")).alias("y"), F.lit(10.0).alias("len"))
     mine = p.select(F.col("event_id").alias("id"), "x", "y", F.lit(12.0).alias("len"))
     return evaluation.score(mine, truth, 15.0).select(r6("precision"), r6("recall"), r6("f1"))
+
+
+@query("incremental_clusters")
+def incremental_clusters(p: DataFrame) -> DataFrame:
+    c = kernels.cluster_points(windows.forward_headings(p))
+    return p.select("event_id", "x", "y").join(c, "event_id").groupBy("cluster").agg(F.count("*").alias("n"), r6(F.avg("x"), "x"), r6(F.avg("y"), "y"))
+
+
+@query("duplicate_carriageways")
+def duplicate_carriageways(p: DataFrame) -> DataFrame:
+    return cleaning.duplicate_pairs(traces.lines(p), 40.0).select("a", "b", r6("hausdorff"))
+
+
+@query("deduplicated_lines")
+def deduplicated_lines(p: DataFrame) -> DataFrame:
+    lines = traces.lines(p)
+    kept = cleaning.keep_longest(lines, cleaning.duplicate_pairs(lines, 40.0))
+    return kept.select("trace_id", "grp", r6(g.line_length("line"), "length"))
+
+
+_CHORDS = """ch AS (SELECT trace_id AS id, arg_min(x, pos) AS x1, arg_min(y, pos) AS y1, arg_max(x, pos) AS x2, arg_max(y, pos) AS y2 FROM pts GROUP BY trace_id HAVING count(*) >= 2),
+sd AS (SELECT a.id AS a, b.id AS b, a.x1 AS ax1, a.y1 AS ay1, a.x2 AS ax2, a.y2 AS ay2, (b.x2 - b.x1) * (a.y1 - b.y1) - (b.y2 - b.y1) * (a.x1 - b.x1) AS a1, (b.x2 - b.x1) * (a.y2 - b.y1) - (b.y2 - b.y1) * (a.x2 - b.x1) AS a2,
+  (a.x2 - a.x1) * (b.y1 - a.y1) - (a.y2 - a.y1) * (b.x1 - a.x1) AS b1, (a.x2 - a.x1) * (b.y2 - a.y1) - (a.y2 - a.y1) * (b.x2 - a.x1) AS b2 FROM ch a JOIN ch b ON a.id < b.id),
+cr AS (SELECT a, b, ax1 + a1 / (a1 - a2) * (ax2 - ax1) AS x, ay1 + a1 / (a1 - a2) * (ay2 - ay1) AS y FROM sd WHERE a1 * a2 < 0 AND b1 * b2 < 0)"""
+
+
+@query("chord_crossings", f"{_CHORDS} SELECT a, b, round(x, 4) AS x, round(y, 4) AS y FROM cr")
+def chord_crossings(p: DataFrame) -> DataFrame:
+    c = spatial.crossings(cleaning.chords(traces.lines(p)))
+    return c.select("a", "b", F.round("x", 4).alias("x"), F.round("y", 4).alias("y"))
+
+
+@query("junctions", f"{_CHORDS} SELECT CAST(floor((x + 15) / 30) AS BIGINT) AS cx, CAST(floor((y + 15) / 30) AS BIGINT) AS cy, round(avg(x), 3) AS x, round(avg(y), 3) AS y, count(*) AS crossings FROM cr GROUP BY 1, 2")
+def junctions(p: DataFrame) -> DataFrame:
+    j = cleaning.junctions(traces.lines(p))
+    return j.select("cx", "cy", F.round("x", 3).alias("x"), F.round("y", 3).alias("y"), "crossings")
+
+
+@query("simplified_lines")
+def simplified_lines(p: DataFrame) -> DataFrame:
+    s = traces.lines(p).withColumn("line", kernels.simplify_column(F.col("line"), 4.0))
+    return s.select("trace_id", F.size("line").alias("points"), r6(g.line_length("line"), "length"))
