@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import ctypes
+
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -25,3 +28,24 @@ def parallel(spark: SparkSession, least: int = 8) -> int:
 def words(text) -> F.Column:
     """Array of the words of a text; null gives none."""
     return F.array_remove(F.split(F.coalesce(text, F.lit("")), SPACE + "+", -1), "")
+
+
+def release() -> None:
+    """Give freed memory of this worker back to the system; workers live on between stages."""
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL("libc.so.6").malloc_trim(0)
+    except (OSError, AttributeError):  # another C library
+        pass
+
+
+def tidy(run):
+    """A batch function that releases memory when its partition ends."""
+
+    def wrapped(batches):
+        try:
+            yield from run(batches)
+        finally:
+            release()
+
+    return wrapped

@@ -22,6 +22,8 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from roadloom.llm.common import tidy
+
 HALF, BLOCK, OVERSAMPLE, SEED = 32, 256, 16, 5
 #: Words whose partial sums travel together, and tasks whose sums are added first.
 CHUNK, FAN = 64, 64
@@ -104,7 +106,7 @@ def lcs(a: list[str], b: list[str]) -> int:
     return len(a) - v.bit_count()
 
 
-def _small(texts: pa.RecordBatch, n: int = 1000):
+def _small(texts: pa.RecordBatch, n: int = 250):
     for at in range(0, texts.num_rows, n):
         yield texts.slice(at, n)
 
@@ -122,7 +124,7 @@ def _block(docs: DataFrame, items: list[tuple[int, str]]) -> DataFrame | None:
         known = pa.array(vocabulary.value, pa.string())
         total, rows = np.zeros(len(known), np.int64), 0
         for batch in batches:
-            for part in _small(batch, 4000):
+            for part in _small(batch, 1000):
                 w = Words(part.column(1), known)
                 pairs = np.unique(w.doc * len(known) + w.ids)
                 total += np.bincount(pairs % len(known), minlength=len(known))
@@ -130,7 +132,7 @@ def _block(docs: DataFrame, items: list[tuple[int, str]]) -> DataFrame | None:
         at = np.flatnonzero(total)
         yield pa.RecordBatch.from_arrays([pa.array(np.append(at, -1)), pa.array(np.append(total[at], rows))], names=["word", "n"])
 
-    counted = dict(docs.mapInArrow(frequencies, "word long, n long").groupBy("word").agg(F.sum("n")).collect())
+    counted = dict(docs.mapInArrow(tidy(frequencies), "word long, n long").groupBy("word").agg(F.sum("n")).collect())
     n_docs = max(1, counted.get(-1, 1))
     df = np.array([counted.get(k, 0) for k in range(len(every))], float)
     place = {w: k for k, w in enumerate(every)}
@@ -177,7 +179,7 @@ def _block(docs: DataFrame, items: list[tuple[int, str]]) -> DataFrame | None:
 
     # at most FAN tasks' partial sums meet at a time, then one sum for each FAN tasks
     shape = "word long, fan long, part binary"
-    summed = docs.mapInArrow(range_finder, shape).groupBy("word", "fan").applyInArrow(add_up, shape).groupBy("word").applyInArrow(add_up, shape)
+    summed = docs.mapInArrow(tidy(range_finder), shape).groupBy("word", "fan").applyInArrow(add_up, shape).groupBy("word").applyInArrow(add_up, shape)
     g = np.zeros((len(words), rank))
     for r in summed.collect():
         part = np.frombuffer(bytes(r.part), np.float32).reshape(-1, rank)
@@ -229,7 +231,7 @@ def _block(docs: DataFrame, items: list[tuple[int, str]]) -> DataFrame | None:
             kinds = [batch.schema.field(0).type, pa.int64(), pa.float64(), pa.float64(), pa.float64(), pa.int64()]
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, kinds, strict=True)], names=["doc_id", "item_id", "cosine", "lcs_share", "answer_share", "word_at"])
 
-    return docs.mapInArrow(search, f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, item_id long, cosine double, lcs_share double, answer_share double, word_at long")
+    return docs.mapInArrow(tidy(search), f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, item_id long, cosine double, lcs_share double, answer_share double, word_at long")
 
 
 def contaminated(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text") -> DataFrame:

@@ -19,6 +19,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from roadloom.llm.common import tidy
 from roadloom.session import cut
 
 MIN_CHARS, MIN_DOCS = 20, 3
@@ -93,7 +94,7 @@ def recurring(docs: DataFrame, least: int, min_docs: int) -> DataFrame:
             whose = batch.column(0).take(pa.array(np.searchsorted(offsets, at, side="right") - 1))
             yield pa.RecordBatch.from_arrays([whose, pa.array(hashes[:, 0].view(np.int64)), pa.array(hashes[:, 1].view(np.int64))], names=["doc_id", "hi", "lo"])
 
-    keys = docs.select("doc_id", "text").mapInArrow(run, "doc_id long, hi long, lo long")
+    keys = docs.select("doc_id", "text").mapInArrow(tidy(run), "doc_id long, hi long, lo long")
     each = keys.groupBy("hi", "lo", "doc_id").agg(F.lit(1).alias("one"))
     return each.groupBy("hi", "lo").agg(F.count("*").alias("n"), F.max("doc_id").alias("keeper")).where(F.col("n") >= min_docs)
 
@@ -178,7 +179,7 @@ def drop_shared_lines(
                 text, lost = _without(lines, offsets, at[found & (keeper != ids)], batch.column(2))
                 yield pa.RecordBatch.from_arrays([batch.column(0), text, pa.array(np.diff(offsets)), pa.array(lost)], names=["_rest", "_text", "n_lines", "n_dropped"])
 
-        done = packed.mapInArrow(run, shape)
+        done = packed.mapInArrow(tidy(run), shape)
     else:
         keyed = packed.withColumn("_row", F.monotonically_increasing_id())
 
@@ -189,7 +190,7 @@ def drop_shared_lines(
                 cols = [batch.column(0).take(pa.array(whose)), batch.column(1).take(pa.array(whose)), pa.array(at - offsets[whose]), *(pa.array(hashes[:, k].view(np.int64)) for k in (0, 1))]
                 yield pa.RecordBatch.from_arrays(cols, names=["_row", "_id", "line", "hi", "lo"])
 
-        lines = keyed.select("_row", "_id", "_text").mapInArrow(spread, "_row long, _id long, line long, hi long, lo long")
+        lines = keyed.select("_row", "_id", "_text").mapInArrow(tidy(spread), "_row long, _id long, line long, hi long, lo long")
         gone = lines.join(counted, ["hi", "lo"]).where("keeper != _id").groupBy("_row").agg(F.collect_list("line").alias("gone"))
         both = keyed.join(gone, "_row", "left").select("_rest", "_text", "gone")
 
@@ -201,6 +202,6 @@ def drop_shared_lines(
                 text, lost = _without(parts.flatten(), offsets, np.array(sorted(drop), np.int64), batch.column(1))
                 yield pa.RecordBatch.from_arrays([batch.column(0), text, pa.array(np.diff(offsets)), pa.array(lost)], names=["_rest", "_text", "n_lines", "n_dropped"])
 
-        done = both.mapInArrow(rebuild, shape)
+        done = both.mapInArrow(tidy(rebuild), shape)
     order = [F.col("_text").alias(c) if c == text_col else F.col(f"_rest.{c}") for c in docs.columns if c not in ("n_lines", "n_dropped")]
     return done.select(*order, "n_lines", "n_dropped")

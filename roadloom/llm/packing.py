@@ -16,11 +16,12 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from roadloom.llm.common import tidy
 from roadloom.llm.tokens import tokenizer
 
 SIZE, END_ID = 2048, 1
-#: Bytes of text that make up a group, and units whose ids a worker remembers.
-GROUP_BYTES, MEMORY = 16 << 20, 600_000
+#: Bytes of text that make up a group, and repeated units whose ids a worker remembers.
+GROUP_BYTES, MEMORY = 16 << 20, 400_000
 _SEEN: dict[str, dict[str, bytes]] = {}
 
 
@@ -34,21 +35,24 @@ class IdSource:
         flat = pc.split_pattern(pc.fill_null(texts.cast(pa.string()), ""), " ")
         self.offsets = np.asarray(flat.offsets).astype(np.int64)
         words = flat.flatten().dictionary_encode()
+        self.kind = np.dtype(np.uint16 if tokenizer(path).get_vocab_size() <= 1 << 16 else np.uint32)
+        self.codes = words.indices.to_numpy()
         seen = _SEEN.setdefault(path, {})
         if len(seen) > MEMORY:
             seen.clear()
         names = words.dictionary.to_pylist()
-        new = [x for x in names if x not in seen]
+        got = [seen.get(x) for x in names]
+        new = [k for k, x in enumerate(got) if x is None]
+        often = np.bincount(self.codes, minlength=len(names)) > 1
         for at in range(0, len(new), 20_000):
             part = new[at : at + 20_000]
-            for x, e in zip(part, tokenizer(path).encode_batch_fast(part, add_special_tokens=False), strict=True):
-                seen[x] = np.array(e.ids, np.uint16 if tokenizer(path).get_vocab_size() <= 1 << 16 else np.uint32).tobytes()
-        self.kind = np.dtype(np.uint16 if tokenizer(path).get_vocab_size() <= 1 << 16 else np.uint32)
-        got = [seen[x] for x in names]
+            for k, e in zip(part, tokenizer(path).encode_batch_fast([names[k] for k in part], add_special_tokens=False), strict=True):
+                got[k] = np.array(e.ids, self.kind).tobytes()
+                if often[k]:  # what occurs once here hardly comes again
+                    seen[names[k]] = got[k]
         self.sizes = np.fromiter(map(len, got), np.int64, len(got)) // self.kind.itemsize
         self.starts = np.concatenate(([0], np.cumsum(self.sizes)[:-1])) if len(got) else np.zeros(0, np.int64)
         self.ids = np.frombuffer(b"".join(got), self.kind)
-        self.codes = words.indices.to_numpy()
 
     def of(self, doc: int, end_id: int) -> np.ndarray:
         codes = self.codes[self.offsets[doc] : self.offsets[doc + 1]]
@@ -122,7 +126,7 @@ def pack(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "te
     rows = docs.select(F.monotonically_increasing_id().alias("row"), F.col(id_col).alias("doc_id"), F.col(text_col).cast("string").alias("text"))
     kind = rows.schema["doc_id"].dataType.simpleString()
     held = ", ids binary" if ids else ""
-    pieces = rows.mapInArrow(cut_up, f"row long, doc_id {kind}, start long, length long, ids_crc32 long, doc_tokens long{held}")
+    pieces = rows.mapInArrow(tidy(cut_up), f"row long, doc_id {kind}, start long, length long, ids_crc32 long, doc_tokens long{held}")
     pieces = pieces.withColumn("pack_group", F.pmod(F.xxhash64("row", "start"), F.lit(n_groups)))
 
     def fill(t: pa.Table) -> pa.Table:

@@ -22,6 +22,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from roadloom.llm.common import tidy
 from roadloom.operators.graph import connected_components
 from roadloom.session import cut
 
@@ -58,7 +59,7 @@ def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
             out = np.array([fingerprint(x.as_buffer().to_pybytes(), width) if x.is_valid else 0 for x in raw], np.uint64)
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(out.view(np.int64))], names=["doc_id", "fp"])
 
-    return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text")).mapInArrow(run, "doc_id long, fp long")
+    return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text")).mapInArrow(tidy(run), "doc_id long, fp long")
 
 
 def _syndrome(words: np.ndarray) -> np.ndarray:
@@ -153,7 +154,7 @@ def near_links(fps: DataFrame, tile: int = TILE) -> DataFrame:
             at, key, home = anchors(values.view(np.uint64))
             yield pa.RecordBatch.from_arrays([pa.array(key), pa.array(values[at]), pa.array(home)], names=["anchor", "fp", "home"])
 
-    placed = fps.select("fp").mapInArrow(spread, "anchor long, fp long, home boolean")
+    placed = fps.select("fp").mapInArrow(tidy(spread), "anchor long, fp long, home boolean")
     sizes = placed.groupBy("anchor").agg(F.count("*").alias("n"), F.count_if("home").alias("nh")).where("nh > 0 AND n > 1")
     sizes = sizes.select("anchor", F.ceil(F.col("nh") / tile).cast("int").alias("kh"), F.ceil(F.col("n") / tile).cast("int").alias("kv"))
     every = lambda c: F.sequence(F.lit(0), F.col(c) - 1)
@@ -195,7 +196,7 @@ def near_links(fps: DataFrame, tile: int = TILE) -> DataFrame:
 
     both = as_home.unionByName(as_visitor).withColumn("bucket", bucket)
     dealt = both.repartition("bucket").sortWithinPartitions("anchor", "i", "j").select("anchor", "i", "j", "fp", "home")
-    return dealt.mapInArrow(compare, "src long, dst long").distinct()
+    return dealt.mapInArrow(tidy(compare), "src long, dst long").distinct()
 
 
 def hex64(col) -> F.Column:

@@ -26,6 +26,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from roadloom.llm.common import tidy
+
 WINDOW, SEED_WORDS = 20, 8
 #: Texts that share an automaton, and letters that spell a word (of 64 each).
 SHARD_DOCS, LETTERS = 2000, 4
@@ -184,8 +186,8 @@ def _recurring_seeds(slim: DataFrame, window: int) -> DataFrame:
             held = t.slice(t.num_rows - 1).to_batches()[0]
             yield from out.to_batches()
 
-    rows = slim.mapInArrow(spread, "key short, seed long, doc long, kind byte")
-    found = rows.repartition("key").sortWithinPartitions("seed").select("seed", "doc", "kind").mapInArrow(confirm, "doc long, seed long")
+    rows = slim.mapInArrow(tidy(spread), "key short, seed long, doc long, kind byte")
+    found = rows.repartition("key").sortWithinPartitions("seed").select("seed", "doc", "kind").mapInArrow(tidy(confirm), "doc long, seed long")
     return found.groupBy("doc").agg(F.collect_set("seed").alias("seeds"))
 
 
@@ -251,9 +253,9 @@ def _removals(slim: DataFrame, seeds: DataFrame, window: int) -> DataFrame:
             yield pa.RecordBatch.from_arrays([pa.array(doc[rows]), pa.array(tag[rows]), pa.array(start[rows]), pa.array(sizes.astype(np.int32))], names=["doc", "tag", "start", "n"])
 
     met = slim.join(seeds, "doc").select("doc", "tag", "text", "seeds")
-    rows = met.mapInArrow(locate, "part short, w long, doc long, start int, tag short, n int")
+    rows = met.mapInArrow(tidy(locate), "part short, w long, doc long, start int, tag short, n int")
     dealt = rows.repartition("part").sortWithinPartitions("w", "doc", "start").select("w", "doc", "start", "tag", "n")
-    gone = dealt.mapInArrow(decide, "doc long, tag short, start int, n int")
+    gone = dealt.mapInArrow(tidy(decide), "doc long, tag short, start int, n int")
     return gone.groupBy("doc", "tag").agg(F.collect_list(F.struct("start", "n")).alias("runs"))
 
 
@@ -301,6 +303,6 @@ def drop_repeated(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
                 texts.append(b" ".join(own))
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(texts, pa.binary()).cast(pa.string()), pa.array(words, pa.int64()), pa.array(lost, pa.int64())], names=["_rest", "_text", "n_words", "n_removed"])
 
-    done = met.mapInArrow(rebuild, shape)
+    done = met.mapInArrow(tidy(rebuild), shape)
     order = [F.col("_text").alias(c) if c == text_col else F.col(f"_rest.{c}") for c in docs.columns if c not in ("n_words", "n_removed")]
     return done.select(*order, "n_words", "n_removed")

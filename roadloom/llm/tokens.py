@@ -19,6 +19,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from roadloom.llm.common import tidy
 from roadloom.session import stored
 
 LIMIT = 1024
@@ -96,7 +97,7 @@ def unit_frequencies(docs: DataFrame, text_col: str) -> DataFrame:
             n = np.bincount(got.indices.to_numpy(), minlength=len(got.dictionary))
             yield pa.RecordBatch.from_arrays([got.dictionary, pa.array(n)], names=["unit", "n"])
 
-    return docs.select(text_col).mapInArrow(run, "unit string, n long").groupBy("unit").agg(F.sum("n").alias("n"))
+    return docs.select(text_col).mapInArrow(tidy(run), "unit string, n long").groupBy("unit").agg(F.sum("n").alias("n"))
 
 
 def piece_counts(frequencies: DataFrame, path: str) -> DataFrame:
@@ -107,7 +108,7 @@ def piece_counts(frequencies: DataFrame, path: str) -> DataFrame:
             n = count_pieces([plain(x) for x in batch.column(0).to_pylist()], path)
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(n)], names=["unit", "n", "pieces"])
 
-    return frequencies.mapInArrow(run, "unit string, n long, pieces long")
+    return frequencies.mapInArrow(tidy(run), "unit string, n long, pieces long")
 
 
 def token_counts(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "text", limit: int = LIMIT, head: int = HEAD) -> DataFrame:
@@ -160,7 +161,7 @@ def token_counts(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: s
 
     rows = docs.select(F.monotonically_increasing_id().alias("row"), F.col(text_col).cast("string").alias("text"), F.col(id_col).alias("doc_id"))
     kind = rows.schema["doc_id"].dataType.simpleString()
-    read = rows.mapInArrow(run, f"row long, doc_id {kind}, n_bytes long, base long, tail array<struct<unit:string,freq:long>>")
+    read = rows.mapInArrow(tidy(run), f"row long, doc_id {kind}, n_bytes long, base long, tail array<struct<unit:string,freq:long>>")
     if everything:
         summed = read.select("doc_id", "n_bytes", F.col("base").alias("n_tokens"))
     else:
