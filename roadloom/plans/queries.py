@@ -343,3 +343,57 @@ def junctions(p: DataFrame) -> DataFrame:
 def simplified_lines(p: DataFrame) -> DataFrame:
     s = traces.lines(p).withColumn("line", kernels.simplify_column(F.col("line"), 4.0))
     return s.select("trace_id", F.size("line").alias("points"), r6(g.line_length("line"), "length"))
+
+
+_AROUND = "nb AS (SELECT trace_id, pos, x, y, lag(x) OVER w AS ax, lag(y) OVER w AS ay, lead(x) OVER w AS bx, lead(y) OVER w AS by_ FROM pts WINDOW w AS (PARTITION BY trace_id ORDER BY pos))"
+
+
+@query(
+    "point_curvature",
+    f"""{_AROUND}, sd AS (SELECT *, sqrt(pow(x - ax, 2) + pow(y - ay, 2)) AS a, sqrt(pow(bx - x, 2) + pow(by_ - y, 2)) AS b, sqrt(pow(bx - ax, 2) + pow(by_ - ay, 2)) AS c, abs((x - ax) * (by_ - ay) - (bx - ax) * (y - ay)) / 2 AS area FROM nb WHERE ax IS NOT NULL AND bx IS NOT NULL)
+SELECT trace_id, pos, round(CASE WHEN least(a, b, c) < 0.1 THEN 0 ELSE 4 * area / (a * b * c) END, 5) AS curvature FROM sd""",
+)
+def point_curvature(p: DataFrame) -> DataFrame:
+    w = windows.by_trace()
+    d = p.select("trace_id", "pos", "x", "y", *(f(c).over(w).alias(n + c) for c in ("x", "y") for f, n in ((F.lag, "a"), (F.lead, "b")))).where("ax IS NOT NULL AND bx IS NOT NULL")
+    return d.select("trace_id", "pos", F.round(g.menger("ax", "ay", "x", "y", "bx", "by"), 5).alias("curvature"))
+
+
+@query("fast_traces", "SELECT trace_id, count(*) AS n, round(avg(speed), 6) AS avg_speed, round(quantile_cont(speed, 0.5), 6) AS median_speed, min(second) AS time_start, max(second) AS time_end FROM pts GROUP BY trace_id HAVING avg(speed) >= 5 AND count(*) >= 2".join(["one AS (SELECT 1) ", ""]))
+def fast_traces(p: DataFrame) -> DataFrame:
+    a = p.groupBy("trace_id").agg(F.count("*").alias("n"), F.avg("speed").alias("s"), F.median("speed").alias("m"), F.min("second").alias("time_start"), F.max("second").alias("time_end"))
+    return a.where("s >= 5 AND n >= 2").select("trace_id", "n", r6("s", "avg_speed"), r6("m", "median_speed"), "time_start", "time_end")
+
+
+@query("hour_mode_by_road", "h AS (SELECT road, hour, count(*) AS n FROM pts GROUP BY ALL) SELECT road, arg_max(hour, (n, -hour)) AS hour, max(n) AS n FROM h GROUP BY road")
+def hour_mode_by_road(p: DataFrame) -> DataFrame:
+    h = p.groupBy("road", "hour").agg(F.count("*").alias("n"))
+    return h.groupBy("road").agg(F.max_by("hour", F.struct(F.col("n"), -F.col("hour"))).alias("hour"), F.max("n").alias("n"))
+
+
+@query("longest_edges", f"{_EDGES} SELECT u, v, support, round(length / support, 6) AS mean_step FROM ed ORDER BY support, length / support DESC, u, v LIMIT 50")
+def longest_edges(p: DataFrame) -> DataFrame:
+    """Top-k report: candidates of transitive pruning, weakest first, then longest."""
+    e = edge_table(p).withColumn("m", F.col("length") / F.col("support"))
+    return e.orderBy("support", F.desc("m"), "u", "v").limit(50).select("u", "v", "support", r6("m", "mean_step"))
+
+
+@query("two_way_links", f"{_EDGES} SELECT a.u, a.v, a.support, b.support AS reverse_support FROM ed a JOIN ed b ON a.u = b.v AND a.v = b.u WHERE a.u < a.v")
+def two_way_links(p: DataFrame) -> DataFrame:
+    return network.with_reverse(edge_table(p)).where("reverse_support > 0 AND u < v").select("u", "v", "support", "reverse_support")
+
+
+@query("every_fifth_point", "SELECT trace_id, pos, round(x, 6) AS x, round(y, 6) AS y FROM pts WHERE pos % 5 = 0".join(["one AS (SELECT 1) ", ""]))
+def every_fifth_point(p: DataFrame) -> DataFrame:
+    """Sampling operator: stride along each trace."""
+    return p.where("pos % 5 = 0").select("trace_id", "pos", r6("x"), r6("y"))
+
+
+@query(
+    "direction_sectors",
+    f"""{_STEP}, h AS (SELECT CAST(floor(({_BEARING("x - px", "y - py")} + 22.5) / 45) AS BIGINT) % 8 AS k, {_BEARING("x - px", "y - py")} AS b, step FROM st WHERE step > 0)
+SELECT ['N','NE','E','SE','S','SW','W','NW'][k + 1] AS direction, count(*) AS n, round(sum(step), 3) AS length, count(*) FILTER (b >= 315 OR b < 45 OR (b >= 135 AND b < 225)) AS along_ns FROM h GROUP BY k""",
+)
+def direction_sectors(p: DataFrame) -> DataFrame:
+    d = windows.steps(p).where("step > 0").withColumn("b", g.bearing("px", "py", "x", "y"))
+    return d.groupBy(g.compass("b").alias("direction")).agg(F.count("*").alias("n"), F.round(F.sum("step"), 3).alias("length"), F.count_if(g.axis_name("b") == "N_S").alias("along_ns"))
