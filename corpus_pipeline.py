@@ -15,9 +15,18 @@ from roadloom.llm.common import table
 from roadloom.llm.queries import vocabulary
 from roadloom.session import stored
 
+#: Rows of an Arrow batch at most: five stages share the executors, whose Python workers keep little beside the heap.
+BATCH_ROWS = 2000
 COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
 
 
+def small_batches(spark: SparkSession) -> None:
+    """Lowers the session's Arrow batch size to ``BATCH_ROWS`` where it is larger; results do not depend on it."""
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if not 0 < int(spark.conf.get(name)) <= BATCH_ROWS:
+        spark.conf.set(name, BATCH_ROWS)
+
+
 def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the rule ensemble predicts to be of label 1 stay."""
     scored = quality.classify(docs, table(spark, sf_dir, "labels"))
@@ -26,6 +35,7 @@ def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 def line_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Lines that at least three documents share go from all but one; documents stay, with what is left of them."""
+    small_batches(spark)
     kept = lines.drop_shared_lines(docs)
     changed = F.col("n_dropped") > 0
     return kept.withColumn("n_chars", F.when(changed, F.length("text").cast("long")).otherwise(F.col("n_chars"))).select(*COLUMNS)
@@ -34,9 +44,10 @@ def line_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def near_duplicate_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of near-duplicates stays, that of the smallest id; null ids stay too.
 
-    Shingles of five words, as for every stage without a contract of its own. A fingerprint within the
-    threshold stands for a similarity of 0.8 or more.
+    Shingles of five words, as for every stage without a contract of its own. Fingerprints within the
+    threshold mean a high similarity; pairs of similarity 0.8 can lie beyond it (figures in the README).
     """
+    small_batches(spark)
     groups = simhash.near_duplicates(docs, width=5)
     copies = groups.where("doc_id <> component_id").select("doc_id").distinct()
     return docs.join(copies, "doc_id", "left_anti").select(*COLUMNS)
@@ -44,12 +55,14 @@ def near_duplicate_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
 
 def decontamination_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that hold a benchmark item go."""
+    small_batches(spark)
     leaks = decontamination.contaminated(docs, table(spark, sf_dir, "benchmark")).select("doc_id").distinct()
     return docs.join(leaks, "doc_id", "left_anti").select(*COLUMNS)
 
 
 def packing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """What is left, as pieces of sequences of at most 2048 tokens."""
+    small_batches(spark)
     return packing.pack(docs, vocabulary("word_bpe_49k.json"), ids=False)
 
 
