@@ -240,9 +240,35 @@ def uncovered_points(p: DataFrame) -> DataFrame:
     return spatial.covered(*two_sources(p), 2.0, yes=False).select("id")
 
 
+def two_whole_sources(p: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """All points of either source; ``two_sources`` and its SQL take a part of them."""
+    ids = p.select(F.col("event_id").alias("id"), "x", "y", "source")
+    return ids.where("source = 'VPD'").drop("source"), ids.where("source = 'HPD'").drop("source")
+
+
+@query("pairs_within_whole")
+def pairs_within_whole(p: DataFrame) -> DataFrame:
+    return spatial.pairs(p.select(F.col("event_id").alias("id"), "x", "y"), 4.0).select("a", "b", r6("dist"))
+
+
+@query("nearest_probe_whole")
+def nearest_probe_whole(p: DataFrame) -> DataFrame:
+    return spatial.nearest(*two_whole_sources(p), 3.0).select("a", "b", r6("dist"))
+
+
+@query("covered_points_whole")
+def covered_points_whole(p: DataFrame) -> DataFrame:
+    return spatial.covered(*two_whole_sources(p), 2.0).select("id")
+
+
+@query("uncovered_points_whole")
+def uncovered_points_whole(p: DataFrame) -> DataFrame:
+    return spatial.covered(*two_whole_sources(p), 2.0, yes=False).select("id")
+
+
 @query("one_to_one_match")
 def one_to_one_match(p: DataFrame) -> DataFrame:
-    return spatial.match_one_to_one(*two_sources(p), 2.0)
+    return spatial.match_one_to_one(*two_whole_sources(p), 2.0)
 
 
 _REACH = """un AS (SELECT DISTINCT least(u, v) AS u, greatest(u, v) AS v FROM pr), bi AS (SELECT u AS a, v AS b FROM un UNION SELECT v, u FROM un),

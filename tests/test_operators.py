@@ -106,3 +106,22 @@ def test_raw_traces(spark):
 def test_substrings(spark):
     d = spark.createDataFrame([(1, [(0.0, 0.0), (25.0, 0.0)])], f"trace_id long, line {'array<struct<x:double,y:double>>'}")
     assert [(r.line[0].x, r.line[1].x) for r in windows.substrings(d, 10.0).orderBy("part").collect()] == pytest.approx([(0, 25 / 3), (25 / 3, 50 / 3), (50 / 3, 25)])
+
+
+def test_whole_table_joins_equal_brute_force(spark):
+    r = random.Random(3)
+    rows = [(k, r.uniform(-20, 20), r.uniform(-20, 20), r.choice(["VPD", "HPD"])) for k in range(1, 300)]
+    p = spark.createDataFrame(rows, "event_id long, x double, y double, source string")
+    dist = lambda a, b: ((a[1] - b[1]) ** 2 + (a[2] - b[2]) ** 2) ** 0.5
+    v, h = ([x for x in rows if x[3] == s] for s in ("VPD", "HPD"))
+    near = lambda a: min((dist(a, b), b[0]) for b in h)
+    hit = {a[0] for a in v if near(a)[0] <= 2}
+    assert {(x.a, x.b) for x in plans.pairs_within_whole(p).collect()} == {(a[0], b[0]) for a, b in itertools.combinations(rows, 2) if dist(a, b) <= 4}
+    assert {(x.a, x.b) for x in plans.nearest_probe_whole(p).collect()} == {(a[0], near(a)[1]) for a in v if near(a)[0] <= 3}
+    assert {x.id for x in plans.covered_points_whole(p).collect()} == hit
+    assert {x.id for x in plans.uncovered_points_whole(p).collect()} == {a[0] for a in v} - hit
+    used_a, used_b, want = set(), set(), set()
+    for d, x, y in sorted((dist(a, b), a[0], b[0]) for a in v for b in h):
+        if d <= 2 and x not in used_a and y not in used_b:
+            used_a.add(x), used_b.add(y), want.add((x, y))
+    assert {(x.a, x.b) for x in plans.one_to_one_match(p).collect()} == want
