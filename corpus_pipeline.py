@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from roadloom.llm import decontamination, lines, packing, quality, simhash
+from roadloom.llm import decontamination, lines, packing, quality, similar
 from roadloom.llm.common import table
 from roadloom.llm.queries import vocabulary
 from roadloom.session import stored
@@ -44,11 +44,12 @@ def line_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def near_duplicate_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of near-duplicates stays, that of the smallest id; null ids stay too.
 
-    Shingles of five words, as for every stage without a contract of its own. Fingerprints within the
-    threshold mean a high similarity; pairs of similarity 0.8 can lie beyond it (figures in the README).
+    Near-duplicates have a Jaccard similarity of 0.8 or more of their shingles of five words, as for every
+    stage without a contract of its own. Fingerprints cannot tell: pairs of 0.8 differ in up to 14 bits on
+    the 0.1 table, more by chance, so the similarity itself is computed.
     """
     small_batches(spark)
-    groups = simhash.near_duplicates(docs, width=5)
+    groups = similar.similar_texts(docs, width=5)
     copies = groups.where("doc_id <> component_id").select("doc_id").distinct()
     return docs.join(copies, "doc_id", "left_anti").select(*COLUMNS)
 

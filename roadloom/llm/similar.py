@@ -1,0 +1,147 @@
+"""Near-duplicate texts by the exact Jaccard similarity of their word shingles.
+
+Every pair of texts of similarity ``LEAST`` or more is found, not only likely ones. Shingles have a global
+order, rare before frequent; of two sets that similar, the first ``n - ceil(LEAST * n) + 1`` shingles of
+either share one (prefix filter), so pairs that share such a shingle and are not too different in size are
+all candidates, and candidates are confirmed on the whole sets. Frequencies come from a sample: any order
+gives the same result, a good one few candidates. Texts of one set meet before any comparison, and pairs
+that share a least hash with a common centre are linked first: large groups of near copies are then one
+component, within which no more pairs are made.
+"""
+
+from __future__ import annotations
+
+from itertools import islice
+
+import numpy as np
+import pyarrow as pa
+import xxhash
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+from roadloom.llm.common import tidy
+from roadloom.operators.graph import connected_components
+from roadloom.session import cut, stored
+
+#: The least similarity, as a fraction so that it is tested on whole numbers.
+LEAST = (4, 5)
+#: Frequent shingles that are ordered last, the sample (one of so many texts) they come from, their least count there.
+FREQUENT, SAMPLE, SEEN = 50_000, 16, 4
+#: Tables of at most so many rows of ids are broadcast.
+SMALL = 500_000
+SALTS = 8
+#: Odd factors of the least hashes that bring near copies together first.
+FACTORS = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93], np.uint64)
+MINS = [f"m{k}" for k in range(len(FACTORS))]
+
+
+def shingles(data: bytes, width: int, buffer: int = 65_536) -> np.ndarray:
+    """Sorted distinct hashes of a text's shingles; a text of fewer words is one shingle, one without words has none."""
+    words = data.lower().split()
+    if not words:
+        return np.zeros(0, np.uint64)
+    every = map(b" ".join, zip(*(words[k:] for k in range(width)), strict=False)) if len(words) >= width else iter([b" ".join(words)])
+    found = []
+    while part := [xxhash.xxh64_intdigest(x, 42) for x in islice(every, buffer)]:
+        found.append(np.array(part, np.uint64))
+    return np.unique(np.concatenate(found))
+
+
+def shingle_sets(docs: DataFrame, id_col: str, text_col: str, width: int) -> DataFrame:
+    """``(doc_id, key, n, m0.., grams)`` for every row; ``key`` stands for the set, null and wordless texts share one."""
+
+    def run(batches):
+        for batch in batches:
+            sets = [shingles(x.as_buffer().to_pybytes(), width) if x.is_valid else np.zeros(0, np.uint64) for x in batch.column(1).cast(pa.binary())]
+            keys = np.array([xxhash.xxh64_intdigest(s.tobytes(), 7) for s in sets], np.uint64).view(np.int64)
+            n = np.array([len(s) for s in sets], np.int64)
+            least = np.array([[(s * f ^ (s * f >> np.uint64(31))).min() if len(s) else 0 for f in FACTORS] for s in sets], np.uint64).reshape(-1, len(FACTORS)).view(np.int64)
+            flat = np.concatenate([np.zeros(0, np.uint64), *sets]).view(np.int64)
+            grams = pa.ListArray.from_arrays(pa.array(np.concatenate(([0], np.cumsum(n))), pa.int32()), pa.array(flat))
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(keys), pa.array(n), *(pa.array(np.ascontiguousarray(c)) for c in least.T), grams], names=["doc_id", "key", "n", *MINS, "grams"])
+
+    shape = f"doc_id long, key long, n long, {', '.join(f'{m} long' for m in MINS)}, grams array<long>"
+    return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text")).mapInArrow(tidy(run), shape)
+
+
+def _hinted(ids: DataFrame) -> DataFrame:
+    """A materialised table of ids, broadcast where it is small."""
+    ids = cut(ids)
+    return F.broadcast(ids) if ids.limit(SMALL + 1).count() <= SMALL else ids
+
+
+def _alike(a: str, b: str) -> F.Column:
+    """Can sets of these sizes be similar enough?"""
+    p, q = LEAST
+    return (F.col(a) * q >= F.col(b) * p) & (F.col(b) * q >= F.col(a) * p)
+
+
+def confirmed(pairs: DataFrame, sets: DataFrame) -> DataFrame:
+    """Those of the pairs ``(src, dst)`` of keys whose sets have at least the similarity."""
+    pairs = cut(pairs)
+    needed = _hinted(pairs.select(F.explode(F.array("src", "dst")).alias("key")).distinct())
+    some = sets.select("key", "grams").join(needed, "key")
+    both = pairs.join(some.withColumnsRenamed({"key": "src", "grams": "ga"}), "src").join(some.withColumnsRenamed({"key": "dst", "grams": "gb"}), "dst")
+    p, q = LEAST
+    shared = F.size(F.array_intersect("ga", "gb"))
+    return cut(both.where(shared * (p + q) >= (F.size("ga") + F.size("gb")) * p).select("src", "dst"))
+
+
+def prefixes(sets: DataFrame, frequent: list[int]) -> DataFrame:
+    """``(gram, key, n, comp)``: the shingles of each set's prefix; ``frequent`` has the last shingles, most frequent first."""
+    last = np.array(frequent, np.int64)
+    order = np.argsort(last)
+    shared = sets.sparkSession.sparkContext.broadcast((last[order], len(last) - order))
+
+    def run(batches):
+        known, rank = shared.value
+        p, q = LEAST
+        for batch in batches:
+            grams = batch.column(3)
+            ends = np.asarray(grams.offsets).astype(np.int64)
+            flat = grams.values.to_numpy(zero_copy_only=False)
+            out, length = [np.zeros(0, np.int64)], []
+            for lo, hi in zip(ends[:-1], ends[1:], strict=True):
+                s, n = flat[lo:hi], int(hi - lo)
+                r = np.zeros(n, np.int64)
+                if len(known):
+                    at = np.minimum(np.searchsorted(known, s), len(known) - 1)
+                    r = np.where(known[at] == s, rank[at], 0)
+                out.append(s[np.lexsort((s, r))[: n - -(-p * n // q) + 1]])
+                length.append(len(out[-1]))
+            at = np.repeat(np.arange(batch.num_rows), length)
+            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(out)), *(batch.column(k).take(pa.array(at)) for k in range(3))], names=["gram", "key", "n", "comp"])
+
+    return sets.where("n > 0").select("key", "n", "comp", "grams").mapInArrow(tidy(run), "gram long, key long, n long, comp long")
+
+
+def similar_texts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 5) -> DataFrame:
+    """``(doc_id, component_id)``, one row per input row: the smallest id of all texts that links of similarity reach.
+
+    Rows whose text is null or has no words are alike; repeated rows are kept; a null id gives a row with
+    that null id. An empty table gives an empty result. Shingles are compared as 64-bit hashes.
+    """
+    rows = stored(shingle_sets(docs, id_col, text_col, width).withColumn("uid", F.monotonically_increasing_id()))
+    groups = cut(rows.groupBy("key").agg(F.min("doc_id").alias("least"), F.min("uid").alias("uid"), F.count("*").alias("copies"), F.min("n").alias("n"), *(F.min(m).alias(m) for m in MINS)))
+    # one row of each set: the others are named, as they are fewer
+    doubled = groups.where("copies > 1").select("key", F.col("uid").alias("first"))
+    others = _hinted(rows.select("key", "uid").join(doubled, "key").where("uid <> first").select("uid"))
+    sets = rows.join(others, "uid", "left_anti").select("key", "n", "grams", "uid")
+
+    spread = groups.where("n > 0").select("key", "n", F.posexplode(F.array(*MINS)).alias("k", "m"), F.pmod(F.xxhash64("key"), F.lit(SALTS)).alias("salt"))
+    centre = spread.groupBy("k", "m").agg(F.min(F.struct("key", "n")).alias("c"), F.count("*").alias("size")).where("size > 1").select("k", "m", "c", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(SALTS - 1).cast("long"))).alias("salt"))
+    stars = spread.join(centre, ["k", "m", "salt"]).select(F.col("c.key").alias("src"), F.col("key").alias("dst"), F.col("c.n").alias("na"), "n").where((F.col("src") != F.col("dst")) & _alike("na", "n"))
+    first = confirmed(stars.select("src", "dst").distinct(), sets)
+    comps = _hinted(connected_components(first).withColumnsRenamed({"id": "key", "component": "comp"}))
+
+    counts = rows.where(F.pmod(F.xxhash64("uid"), F.lit(SAMPLE)) == 0).select(F.explode("grams").alias("gram")).groupBy("gram").agg(F.count("*").alias("seen")).where(F.col("seen") >= SEEN)
+    frequent = [r.gram for r in counts.orderBy(F.desc("seen"), "gram").limit(FREQUENT).collect()]
+    p = prefixes(sets.join(comps, "key", "left").withColumn("comp", F.coalesce("comp", "key")), frequent)
+    a, b = (p.select("gram", *(F.col(c).alias(c + s) for c in ("key", "n", "comp"))) for s in "ab")
+    pairs = a.join(b, "gram").where((F.col("keya") < F.col("keyb")) & (F.col("compa") != F.col("compb")) & _alike("na", "nb"))
+    second = confirmed(pairs.select(F.col("keya").alias("src"), F.col("keyb").alias("dst")).distinct(), sets)
+
+    parts = connected_components(first.unionByName(second))
+    rooted = groups.join(parts, groups.key == parts.id, "left").select("key", "least", F.coalesce("component", "key").alias("root"))
+    named = rooted.join(rooted.groupBy("root").agg(F.min("least").alias("component_id")), "root").select("key", "component_id")
+    return rows.select("doc_id", "key").join(named, "key").select("doc_id", "component_id")

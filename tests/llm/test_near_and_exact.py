@@ -8,6 +8,7 @@ import numpy as np
 import pytest
 import xxhash
 
+import corpus_pipeline
 from roadloom.llm import lines, simhash, substrings
 
 SPACE = "\x20\t\n\x0b\x0c\r"
@@ -151,3 +152,44 @@ def test_links_equal_brute_force(spark, tile):
         other[find2(a)] = find2(b)
     groups = lambda p, f: sorted(sorted(v & mask for v in p if f(v) == k) for k in {f(v) for v in p})
     assert groups(parent, find) == groups(other, find2)
+
+
+def test_near_duplicate_stage_equals_brute_force(spark):
+    r = random.Random(9)
+    vocab = [f"w{k}" for k in range(500)]
+    rows = [(k, " ".join(r.choice(vocab) for _ in range(r.randint(30, 300)))) for k in range(40)]
+    for k in range(40):
+        w = rows[k][1].split()
+        for share in (0.95, 0.9, 0.85, 0.8, 0.7):  # each changed word costs about five shingles
+            v = list(w)
+            for at in r.sample(range(len(v)), max(1, round(len(v) * (1 - share) / 9))):
+                v[at] = "changed" + str(r.randrange(99))
+            rows.append((len(rows), " ".join(v)))
+    shared = " ".join(r.choice(vocab) for _ in range(100))
+    rows += [(len(rows) + k, shared + f" end{k}") for k in range(60)]
+    rows += [(900, None), (901, ""), (902, "one two"), (903, "One  two"), (904, rows[0][1].upper()), (None, rows[1][1])]
+    grams = {}
+    for i, t in rows:
+        w = [lower(x) for x in WORD.findall(t or "")]
+        grams[i] = {tuple(w[k : k + 5]) for k in range(max(1, len(w) - 4))} if w else set()
+    root = {i: i for i in grams if i is not None}
+
+    def find(x):
+        while root[x] != x:
+            x = root[x]
+        return x
+
+    far = 0
+    for a in root:
+        for b in root:
+            shares = len(grams[a] & grams[b])
+            if a < b and 5 * shares >= 4 * (len(grams[a]) + len(grams[b]) - shares):
+                x, y = find(a), find(b)
+                root[max(x, y)] = min(x, y)
+                far += (brute_fingerprint(dict(rows)[a], 5) ^ brute_fingerprint(dict(rows)[b], 5)).bit_count() > 4
+    assert far > 50
+    docs = spark.createDataFrame([(i, t, "en", "s", 1) for i, t in rows], "doc_id long, text string, lang string, source string, n_chars long").repartition(3)
+    got = [x.doc_id for x in corpus_pipeline.near_duplicate_stage(spark, docs, "").collect()]
+    assert sorted(x for x in got if x is not None) == sorted(i for i in root if find(i) == i)
+    assert got.count(None) == 1
+    assert corpus_pipeline.near_duplicate_stage(spark, docs.where("false"), "").count() == 0
