@@ -4,10 +4,12 @@ Documents are read as passages of 64 words that start every 32 words. Three pass
 which shuffles texts: document frequencies of the benchmark's words; the range finder of a randomised SVD
 of the TF-IDF matrix of all corpus passages with the benchmark's own passages stacked below (partial sums
 of a vocabulary x rank matrix, added up in Spark); and the search, which projects every passage into the
-latent space, keeps the benchmark items whose cosine and covered share are high enough, and confirms them
+latent space, keeps the benchmark items whose covered share is high enough, and confirms them
 on the words themselves by longest common subsequence and by a check of the item's answer. Only words that
 occur in the benchmark matter for a cosine with one of its items, so the vocabulary is the benchmark's.
-The benchmark is taken in blocks of ``BLOCK`` items, which bounds what is broadcast.
+Items longer than a passage are retrieved by each of their own passages of at most 64 words; the words they
+are confirmed on reach as far to both sides as the whole item does, and half a passage more.
+The benchmark is taken in blocks of ``BLOCK`` passages, which bounds what is broadcast.
 """
 
 from __future__ import annotations
@@ -29,7 +31,7 @@ HALF, BLOCK, OVERSAMPLE, SEED = 32, 256, 16, 5
 CHUNK, FAN = 64, 64
 #: Words in more than this share of documents are left out where an item has others enough.
 COMMON, FEW = 0.1, 4
-#: A candidate's least cosine and covered share of the item; what LCS and answer must reach.
+#: A candidate's least cosine (below it, the item must stand close together) and covered share; what LCS and answer must reach.
 MIN_COSINE, MIN_COVER, MIN_LCS, MIN_ANSWER, SHORT = 0.3, 0.35, 0.7, 0.5, 8
 BENCH_WEIGHT = 30.0
 _MARKS = ".,;:!?\"'()[]{}#*$%&|<>"
@@ -106,6 +108,19 @@ def lcs(a: list[str], b: list[str]) -> int:
     return len(a) - v.bit_count()
 
 
+def near_copy(item: list[str], text: list[str], least: float) -> bool:
+    """Is so large a share of the item within a stretch of words hardly longer than the item?"""
+    step = max(1, len(item) // 4)
+    return any(lcs(item, text[at : at + len(item) + step]) >= least * len(item) for at in range(0, len(text), step))
+
+
+def item_passages(n: int) -> list[tuple[int, int]]:
+    """Where an item of ``n`` words is cut into passages of at most 64 words, all about as long."""
+    k = max(1, -(-n // (2 * HALF)))
+    ends = [n * i // k for i in range(k + 1)]
+    return list(zip(ends[:-1], ends[1:], strict=True))
+
+
 def _small(texts: pa.RecordBatch, n: int = 250):
     for at in range(0, texts.num_rows, n):
         yield texts.slice(at, n)
@@ -118,6 +133,8 @@ def _block(docs: DataFrame, items: list[tuple[int, str]]) -> DataFrame | None:
     if not parsed:
         return None
     every = sorted({w for _, ws, _ in parsed for w in ws})
+    # what is retrieved: item, its first word and its words, one for each passage of an item
+    cut_up = [(r, lo, ws[lo:hi]) for r, (_, ws, _) in enumerate(parsed) for lo, hi in item_passages(len(ws))]
     vocabulary = spark.sparkContext.broadcast(every)
 
     def frequencies(batches):
@@ -138,18 +155,18 @@ def _block(docs: DataFrame, items: list[tuple[int, str]]) -> DataFrame | None:
     place = {w: k for k, w in enumerate(every)}
     idf = np.log((n_docs + 1) / (df + 1)) + 0.05
     used = df <= COMMON * n_docs
-    for _, ws, _ in parsed:
+    for _, _, ws in cut_up:
         if sum(used[place[w]] for w in set(ws)) < FEW:
             used[[place[w] for w in ws]] = True
     kept = np.flatnonzero(used)
     words, idf = [every[k] for k in kept], idf[kept]
     place = {w: k for k, w in enumerate(words)}
-    bench = np.zeros((len(parsed), len(words)), np.float32)
-    for r, (_, ws, _) in enumerate(parsed):
+    bench = np.zeros((len(cut_up), len(words)), np.float32)
+    for r, (_, _, ws) in enumerate(cut_up):
         for w in ws:
             if w in place:
                 bench[r, place[w]] += idf[place[w]]
-    rank = min(len(words), len(parsed) + OVERSAMPLE)
+    rank = min(len(words), len(cut_up) + OVERSAMPLE)
     omega = np.random.default_rng(SEED).standard_normal((len(words), rank)).astype(np.float32)
     shared = spark.sparkContext.broadcast((words, (idf[:, None] * omega).astype(np.float32)))
 
@@ -192,10 +209,10 @@ def _block(docs: DataFrame, items: list[tuple[int, str]]) -> DataFrame | None:
     latent = bench @ basis
     norms = np.linalg.norm(latent, axis=1)
     latent = latent / np.maximum(norms, 1e-9)[:, None]
-    ready = spark.sparkContext.broadcast((words, (idf[:, None] * basis).astype(np.float32), latent.astype(np.float32), norms.astype(np.float32), parsed))
+    ready = spark.sparkContext.broadcast((words, (idf[:, None] * basis).astype(np.float32), latent.astype(np.float32), norms.astype(np.float32), parsed, [x[:2] for x in cut_up]))
 
     def search(batches):
-        names, rows, targets, sizes, items_ = ready.value
+        names, rows, targets, sizes, items_, parts = ready.value
         known = pa.array(names, pa.string())
         sets = [(set(ans), len(set(ans))) for _, _, ans in items_]
         for batch in batches:
@@ -206,18 +223,34 @@ def _block(docs: DataFrame, items: list[tuple[int, str]]) -> DataFrame | None:
                 dots = z @ targets.T
                 cover = dots / np.maximum(sizes, 1e-9)
                 cosine = dots / np.maximum(np.linalg.norm(z, axis=1), 1e-9)[:, None]
-                p, q = np.nonzero((cover >= MIN_COVER) & (cosine >= MIN_COSINE))
+                p, q = np.nonzero(cover >= MIN_COVER)
                 doc = np.searchsorted(w.first_half, p, side="right") - 1
                 order = np.lexsort((p, q, doc))
                 best: dict[tuple[int, int], tuple] = {}
+                shares: dict[tuple[int, int, int], tuple] = {}
+                of = -1
                 for i in order.tolist():
-                    d, k, j = int(doc[i]), int(q[i]), int(p[i] - w.first_half[doc[i]])
+                    d, j = int(doc[i]), int(p[i] - w.first_half[doc[i]])
+                    if d != of:  # regions of one text at a time are remembered
+                        of = d
+                        shares.clear()
+                    k, first = parts[q[i]]
                     lo, hi = int(w.offsets[d]), int(w.offsets[d + 1])
-                    a = lo + max(0, (j - 1) * HALF)
-                    text = [normal(x) for x in w.flat.slice(a, min(hi, lo + (j + 3) * HALF) - a).to_pylist()]
                     item = items_[k][1]
-                    share = lcs(item, text) / len(item)
-                    if share < (MIN_LCS if len(item) >= SHORT else 1.0):
+                    if len(item) <= 2 * HALF:
+                        a, b = (j - 1) * HALF, (j + 3) * HALF
+                    else:  # the passage may begin up to 64 words before or after its part of the item
+                        a, b = (j - 2) * HALF - first, (j + 3) * HALF - first + len(item)
+                    a, b = lo + max(0, a), min(hi, lo + b)
+                    if (k, a, b) not in shares:
+                        text = [normal(x) for x in w.flat.slice(a, b - a).to_pylist()]
+                        shares[k, a, b] = text, lcs(item, text) / len(item)
+                    text, share = shares[k, a, b]
+                    least = MIN_LCS if len(item) >= SHORT else 1.0
+                    if share < least:
+                        continue
+                    # other words of the passage lower the cosine, whatever the item's words are
+                    if cosine[p[i], q[i]] < MIN_COSINE and not near_copy(item, text, least):
                         continue
                     answer = len(sets[k][0].intersection(text)) / sets[k][1]
                     if answer < MIN_ANSWER:
@@ -245,11 +278,13 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id",
     items = benchmark.select(F.col(item_col).cast("long"), F.col(item_text_col).cast("string")).where(F.col(item_text_col).isNotNull()).orderBy(item_col, item_text_col)
     found: list[DataFrame] = []
     block: list[tuple[int, str]] = []
+    parts = 0
     for row in items.toLocalIterator():
         block.append((row[0], row[1]))
-        if len(block) == BLOCK:
+        parts += len(item_passages(len(item_words(row[1]))))
+        if parts >= BLOCK:
             found.append(_block(slim, block))
-            block = []
+            block, parts = [], 0
     if block:
         found.append(_block(slim, block))
     found = [x for x in found if x is not None]

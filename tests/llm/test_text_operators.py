@@ -186,6 +186,20 @@ def test_decontamination(spark):
     assert decontamination.contaminated(odd, bench.where("false")).count() == 0
 
 
+def test_decontamination_of_long_and_crowded_items(spark):
+    r = random.Random(6)
+    fresh = lambda n, c: [f"{c}{r.randrange(100000)}" for _ in range(n)]
+    items = {k: fresh(n, "q") for k, n in ((1, 300), (2, 190), (3, 1000), (4, 12), (5, 6), (6, 64))}
+    rows = [(100 * k + at, fresh(at, "x") + ws + fresh(150, "y"), k) for k, ws in items.items() for at in (0, 7, 16, 31, 48, 200)]
+    loud = [items[6][3]] * 20 + [items[4][0]] * 20 + [items[5][0]] * 10  # words of the benchmark many times over
+    rows += [(10004, loud + items[4] + loud, 4), (10005, loud + items[5] + loud, 5)]
+    rows += [(20000, items[1][:150], None), (20001, fresh(400, "z"), None), (20002, items[2][:70] + fresh(200, "z"), None), (20003, [w for x in items[5] for w in [x] + loud[:8]], None)]
+    docs = spark.createDataFrame([(i, " ".join(ws)) for i, ws, _ in rows], "doc_id long, text string")
+    bench = spark.createDataFrame([(k, " ".join(ws)) for k, ws in items.items()], "item_id long, text string")
+    got = {(x.doc_id, x.item_id) for x in decontamination.contaminated(docs, bench).collect()}
+    assert got == {(i, k) for i, _, k in rows if k}
+
+
 def test_lcs():
     r = random.Random(2)
     for _ in range(50):
