@@ -62,14 +62,14 @@ def prune_weak(e: DataFrame, least: int = 2, ratio: float = 0.2) -> DataFrame:
     return with_reverse(e.where(F.col("support") >= least)).where(F.col("support") >= ratio * F.col("reverse_support"))
 
 
-def prune_transitive(e: DataFrame, ratio: float = 1.2, hops: int = 3, weak: int = 3) -> DataFrame:
-    """Drops weak edges that a path of 2 to ``hops`` other edges replaces at at most ``ratio`` times their length.
+def prune_transitive(e: DataFrame, ratio: float = 1.2, hops: int = 4, weak: int | None = None) -> DataFrame:
+    """Drops edges (of support ``weak`` at most, where given) that a path of 2 to ``hops`` other edges replaces at at most ``ratio`` times their length.
 
     Judged on the graph as given. Paths grow by joins and are cut as soon as they are too long, so what is
     carried stays near the candidates; a path may use neither direction of the edge it would replace.
     """
     hop = e.select("u", "v", (F.col("length") / F.col("support")).alias("w"))
-    goal = e.where(F.col("support") <= weak).select(F.col("u").alias("s"), F.col("v").alias("t"), (F.col("length") / F.col("support") * ratio).alias("most"))
+    goal = (e if weak is None else e.where(F.col("support") <= weak)).select(F.col("u").alias("s"), F.col("v").alias("t"), (F.col("length") / F.col("support") * ratio).alias("most"))
     reach = goal.select("s", "t", "most", F.col("s").alias("at"), F.lit(0.0).alias("dist"))
     found = None
     for k in range(hops):

@@ -146,6 +146,22 @@ def transitive_pruned(p: DataFrame) -> DataFrame:
     return network.prune_transitive(network.prune_weak(edge_table(p), 2, 0.5), 1.3, 3, 6).select("u", "v", "support")
 
 
+_HOP = lambda a: f"""(SELECT s, t, most, v AS node, min(dist + w) AS dist FROM (SELECT * FROM {a} WHERE node <> t) h JOIN hp ON node = u
+  WHERE NOT (u = s AND v = t) AND NOT (u = t AND v = s) AND dist + w <= most GROUP BY s, t, most, v)"""
+
+
+@query(
+    "transitive_pruned_whole",
+    f"""{_PRUNED}, hp AS (SELECT u, v, length / support AS w FROM pr), h0 AS (SELECT u AS s, v AS t, length / support * CAST(1.3 AS DOUBLE) AS most, u AS node, CAST(0 AS DOUBLE) AS dist FROM pr),
+h1 AS {_HOP("h0")}, h2 AS {_HOP("h1")}, h3 AS {_HOP("h2")}, h4 AS {_HOP("h3")},
+hit AS (SELECT s, t FROM h2 WHERE node = t UNION SELECT s, t FROM h3 WHERE node = t UNION SELECT s, t FROM h4 WHERE node = t)
+SELECT u, v, support FROM pr WHERE NOT EXISTS (SELECT 1 FROM hit WHERE s = u AND t = v)""",
+)
+def transitive_pruned_whole(p: DataFrame) -> DataFrame:
+    """Paths of up to 4 hops, every edge a candidate; ``transitive_pruned`` and its SQL stop at 3 hops and support 6."""
+    return network.prune_transitive(network.prune_weak(edge_table(p), 2, 0.5), 1.3, 4).select("u", "v", "support")
+
+
 @query(
     "road_likeness",
     f"""{_EDGES}, dg AS (SELECT node, count(*) AS degree FROM (SELECT u AS node FROM ed UNION ALL SELECT v FROM ed) GROUP BY node),

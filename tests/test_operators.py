@@ -125,3 +125,27 @@ def test_whole_table_joins_equal_brute_force(spark):
         if d <= 2 and x not in used_a and y not in used_b:
             used_a.add(x), used_b.add(y), want.add((x, y))
     assert {(x.a, x.b) for x in plans.one_to_one_match(p).collect()} == want
+
+
+def test_transitive_pruning_of_every_edge_over_four_hops(spark):
+    r = random.Random(8)
+    xy = {k: (r.uniform(0, 100), r.uniform(0, 100)) for k in range(14)}
+    w = {(u, v): ((xy[u][0] - xy[v][0]) ** 2 + (xy[u][1] - xy[v][1]) ** 2) ** 0.5 for u in xy for v in xy if u != v and r.random() < 0.35}
+    w |= {(100 + k, 101 + k): 10.0 for k in range(4)} | {(100, 104): 39.0} | {(200 + k, 201 + k): 10.0 for k in range(5)} | {(200, 205): 49.0}
+    e = spark.createDataFrame([(u, v, 50, d * 50) for (u, v), d in w.items()], "u long, v long, support long, length double")
+
+    def replaced(s, t):
+        reach = {s: 0.0}
+        for _ in range(4):
+            best = {}
+            for (u, v), d in w.items():
+                if u in reach and {u, v} != {s, t} and reach[u] + d <= 1.2 * w[s, t]:
+                    best[v] = min(best.get(v, 1e9), reach[u] + d)
+            if t in best:
+                return True
+            reach = best
+        return False
+
+    gone = {x for x in w if replaced(*x)}
+    assert (100, 104) in gone and (200, 205) not in gone and len(gone) > 5
+    assert {(x.u, x.v) for x in network.prune_transitive(e).collect()} == set(w) - gone
