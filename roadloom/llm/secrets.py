@@ -1,7 +1,7 @@
 """Secret scans: broad candidates, then a random forest that removes false positives. DataFrame operations only.
 
-A candidate is a word with a run of at least ``MIN_CHARS`` key characters that holds a digit and a letter,
-or starts like a well-known credential. Its features are length, character transitions and classes, how
+A candidate is a run within a word, of at least ``MIN_CHARS`` key characters, that holds a digit and a letter
+or starts like a well-known credential; a word can have several. Its features are length, character transitions and classes, how
 much of it words of a dictionary cover, whether the path looks like tests or lock files, and whether the
 neighbouring words speak of credentials or of checksums. The forest is trained on the driver from labelled
 findings (``labelled_findings`` where the caller has none) and compiled into one column.
@@ -43,7 +43,11 @@ _PREFIX = r"^(AKIA|ASIA|ghp_|gho_|ghs_|github_pat_|xox[abpr]-|sk_live_|rk_live_|
 
 
 def candidates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", path_col: str | None = "source") -> DataFrame:
-    """``(doc_id, word_at, value, before, after, word, path)``, one row per candidate; null texts have none."""
+    """``(doc_id, word_at, value, before, after, word, path, ahead)``, one row per candidate; null texts have none.
+
+    ``word`` is the run with what stands between it and its neighbours, and the run before: all of a word
+    with one run. ``ahead`` is its part before the run. Long words without white space so stay linear.
+    """
     path = F.coalesce(F.col(path_col).cast("string"), F.lit("")) if path_col else F.lit("")
     d = docs.select(F.col(id_col).alias("doc_id"), path.alias("path"), F.split(F.coalesce(F.col(text_col).cast("string"), F.lit("")), SPACE + "+", -1).alias("w"))
     long_ones = F.expr(f"filter(sequence(0, size(w) - 1), i -> length(w[i]) >= {MIN_CHARS} AND w[i] rlike '{_KEY}{{{MIN_CHARS},}}')")
@@ -51,9 +55,13 @@ def candidates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     d = d.withColumn("at", long_ones).withColumn("word_at", F.explode_outer("at")).where("word_at IS NOT NULL")
     around = lambda k: F.coalesce(F.expr(f"get(w, word_at + ({k}))"), F.lit(""))
     d = d.withColumn("word", around(0)).withColumn("before", F.concat_ws(" ", around(-3), around(-2), around(-1))).withColumn("after", around(1))
-    d = d.withColumn("value", F.regexp_extract("word", f"({_KEY}{{{MIN_CHARS},}})", 1))
+    run = f"{_KEY}{{{MIN_CHARS},}}"
+    d = d.select("doc_id", "path", "word_at", "before", "after", F.regexp_extract_all("word", F.lit(f"({run})"), 1).alias("runs"), F.split("word", run, -1).alias("gaps"))
+    d = d.select("*", F.posexplode_outer("runs").alias("k", "value")).where("value IS NOT NULL")
+    part = lambda a, k: F.coalesce(F.expr(f"get({a}, k + ({k}))"), F.lit(""))
+    d = d.withColumn("ahead", F.concat(part("gaps", -1), part("runs", -1), part("gaps", 0))).withColumn("word", F.concat("ahead", "value", part("gaps", 1)))
     odd = (F.col("value").rlike("[0-9]") & F.col("value").rlike("[A-Za-z]")) | F.col("value").rlike(_PREFIX)
-    return d.where(odd).select("doc_id", "word_at", "value", "before", "after", "word", "path")
+    return d.where(odd).select("doc_id", "word_at", "value", "before", "after", "word", "path", "ahead")
 
 
 def features(found: DataFrame) -> DataFrame:
@@ -63,7 +71,8 @@ def features(found: DataFrame) -> DataFrame:
     share = lambda p: F.regexp_count(v, F.lit(p)) / n
     turns = r"(?<=[a-z])(?=[^a-z])|(?<=[A-Z])(?=[^A-Z])|(?<=[0-9])(?=[^0-9])|(?<=[^A-Za-z0-9])(?=[A-Za-z0-9])"
     flag = lambda c: c.cast("double")
-    context = F.concat_ws(" ", "before", F.regexp_extract("word", rf"^(.*?){_KEY}{{{MIN_CHARS},}}", 1))
+    ahead = F.col("ahead") if "ahead" in found.columns else F.regexp_extract("word", rf"^(.*?){_KEY}{{{MIN_CHARS},}}", 1)
+    context = F.concat_ws(" ", "before", ahead)
     made = {
         "length": n,
         "letters": share("[A-Za-z]"),

@@ -171,6 +171,19 @@ def test_secrets(spark):
     assert (rows[1].word_at, rows[1].n_chars, rows[1].value_sha256) == (3, 40, secrets.digest(key))
 
 
+def test_secrets_of_one_word(spark):
+    r = random.Random(2)
+    keys = ["ghp_" + r.randbytes(18).hex() for _ in range(6)]
+    texts = [f'export_database_password="{keys[0]}"', '{"database_password_key":"' + keys[1] + '"}', f'token="{keys[2]}";secret="{keys[3]}"', '{"a":[' + ",".join(f'{{"long_client_secret_name":"{k}"}}' for k in keys) + "]}"]
+    d = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").withColumn("source", F.lit("s"))
+    found = secrets.candidates(d).collect()
+    assert sorted((x.doc_id, x.value) for x in found) == sorted([(0, keys[0]), (1, keys[1]), (2, keys[2]), (2, keys[3]), *((3, k) for k in keys)])
+    assert all(x.ahead + x.value in texts[x.doc_id] and x.word in texts[x.doc_id] for x in found)
+    assert [x.ahead for x in found if x.doc_id == 0] == ['export_database_password="']
+    model = secrets.fit(secrets.labelled_findings(spark))
+    assert all(x.is_secret for x in secrets.scan(d, model).collect())
+
+
 def test_decontamination(spark):
     docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet").select("doc_id", "text")
     bench = spark.read.parquet("/root/testdata/sf0.01/benchmark.parquet")
