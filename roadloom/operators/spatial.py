@@ -44,19 +44,20 @@ def covered(left: DataFrame, right: DataFrame, r: float, yes: bool = True) -> Da
     return left.join(within(left, right, r).select(F.col("a").alias("id")).distinct(), "id", "left_semi" if yes else "left_anti")
 
 
-def match_one_to_one(left: DataFrame, right: DataFrame, r: float, max_rounds: int = 50) -> DataFrame:
+def match_one_to_one(left: DataFrame, right: DataFrame, r: float) -> DataFrame:
     """Greedy one-to-one matching by ascending distance, as rounds of mutual best pairs.
 
     Equals the greedy order (distance, a, b): a pair that is best for both its ends precedes all others of them.
+    Rounds go on until no pair is open; the first of the open pairs is always taken, so each round settles one or more.
     """
-    open_, out = cut(within(left, right, r)), None
-    for _ in range(max_rounds):
+    open_, out = cut(within(left, right, r).where("a IS NOT NULL AND b IS NOT NULL")), None
+    while not open_.isEmpty():
         key = F.struct("dist", "a", "b")
         best_a = F.min(key).over(Window.partitionBy("a"))
         best_b = F.min(key).over(Window.partitionBy("b"))
         taken = cut(open_.withColumn("ka", best_a).withColumn("kb", best_b).where((F.col("ka") == key) & (F.col("kb") == key)).select("a", "b", "dist"))
         if taken.isEmpty():
-            break
+            raise RuntimeError("open pairs of which none is the best of its ends")
         out = taken if out is None else out.unionByName(taken)
         open_ = cut(open_.join(taken.select("a"), "a", "left_anti").join(taken.select("b"), "b", "left_anti"))
     return out if out is not None else open_

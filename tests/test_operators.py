@@ -149,3 +149,13 @@ def test_transitive_pruning_of_every_edge_over_four_hops(spark):
     gone = {x for x in w if replaced(*x)}
     assert (100, 104) in gone and (200, 205) not in gone and len(gone) > 5
     assert {(x.u, x.v) for x in network.prune_transitive(e).collect()} == set(w) - gone
+
+
+def test_matching_of_a_long_chain(spark):
+    at, rows = 0.0, []
+    for k in range(106):
+        rows.append((k, at, 0.0))
+        at += 2.0 - k / 100
+    a, b = (spark.createDataFrame(rows[s::2], "id long, x double, y double") for s in (0, 1))
+    got = {(x.a, x.b) for x in spatial.match_one_to_one(a, b, 2.5).collect()}
+    assert got == {(k, k + 1) for k in range(0, 106, 2)}
