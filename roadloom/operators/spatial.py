@@ -70,7 +70,7 @@ def segment_candidates(segments: DataFrame, r: float) -> DataFrame:
     cells = lambda d: segments.select("*", F.explode(grown(F.col("x1"), F.col("x2"), d)).alias("cx")).select("*", F.explode(grown(F.col("y1"), F.col("y2"), d)).alias("cy"))
     a = cells(F.lit(r)).select(*(F.col(c).alias(f"a_{c}") for c in segments.columns), "cx", "cy")
     b = cells(F.lit(0.0)).select(*(F.col(c).alias(f"b_{c}") for c in segments.columns), "cx", "cy")
-    return a.join(b, ["cx", "cy"]).where("a_id < b_id").drop("cx", "cy").dropDuplicates(["a_id", "b_id"])
+    return a.join(b, ["cx", "cy"]).where("a_id < b_id").drop("cx", "cy").dropDuplicates([p + c for p in ("a_", "b_") for c in ("id", "seq") if c in segments.columns])
 
 
 def crossings(segments: DataFrame) -> DataFrame:
@@ -80,3 +80,14 @@ def crossings(segments: DataFrame) -> DataFrame:
     c = c.withColumns({"a1": side("a", "b", 1), "a2": side("a", "b", 2), "b1": side("b", "a", 1), "b2": side("b", "a", 2)})
     c = c.where("a1 * a2 < 0 AND b1 * b2 < 0").withColumn("t", F.col("a1") / (F.col("a1") - F.col("a2")))
     return c.select(F.col("a_id").alias("a"), F.col("b_id").alias("b"), (F.col("a_x1") + F.col("t") * (F.col("a_x2") - F.col("a_x1"))).alias("x"), (F.col("a_y1") + F.col("t") * (F.col("a_y2") - F.col("a_y1"))).alias("y"))
+
+
+def meeting_points(segments: DataFrame) -> DataFrame:
+    """``(a, b, x, y)``: where segments (``cleaning.segments``) of two lines meet, shared vertices included, ends of lines not."""
+    c = segment_candidates(segments, 1.0)
+    c = c.withColumns({f"{p}d{k}": F.col(f"{p}_{k}2") - F.col(f"{p}_{k}1") for p in "ab" for k in "xy"}).withColumns({"ox": F.col("b_x1") - F.col("a_x1"), "oy": F.col("b_y1") - F.col("a_y1")})
+    c = c.withColumn("den", F.expr("adx * bdy - ady * bdx")).where("den <> 0").withColumns({"t": F.expr("(ox * bdy - oy * bdx) / den"), "u": F.expr("(ox * ady - oy * adx) / den")})
+    c = c.where("t BETWEEN 0 AND 1 AND u BETWEEN 0 AND 1 AND NOT (a_first AND t = 0 OR a_last AND t = 1 OR b_first AND u = 0 OR b_last AND u = 1)")
+    c = c.select(F.col("a_id").alias("a"), F.col("b_id").alias("b"), F.expr("a_x1 + t * adx").alias("x"), F.expr("a_y1 + t * ady").alias("y"))
+    # segments that share a vertex give the same point again, up to rounding
+    return c.groupBy("a", "b", F.round("x", 6).alias("kx"), F.round("y", 6).alias("ky")).agg(F.min("x").alias("x"), F.min("y").alias("y")).drop("kx", "ky")

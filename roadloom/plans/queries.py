@@ -381,6 +381,18 @@ def junctions(p: DataFrame) -> DataFrame:
     return j.select("cx", "cy", F.round("x", 3).alias("x"), F.round("y", 3).alias("y"), "crossings")
 
 
+@query("line_crossings")
+def line_crossings(p: DataFrame) -> DataFrame:
+    """Crossings of whole lines; ``chord_crossings`` and its SQL cross the chords only."""
+    return cleaning.line_crossings(traces.lines(p)).select("a", "b", F.round("x", 4).alias("x"), F.round("y", 4).alias("y"))
+
+
+@query("junctions_whole")
+def junctions_whole(p: DataFrame) -> DataFrame:
+    j = cleaning.junctions(traces.lines(p), whole=True)
+    return j.select("cx", "cy", F.round("x", 3).alias("x"), F.round("y", 3).alias("y"), "crossings")
+
+
 @query("simplified_lines")
 def simplified_lines(p: DataFrame) -> DataFrame:
     s = traces.lines(p).withColumn("line", kernels.simplify_column(F.col("line"), 4.0))

@@ -6,7 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 import __spark_entry__ as entry
-from roadloom.operators import network, spatial, windows
+from roadloom.operators import cleaning, network, spatial, windows
 from roadloom.operators.graph import connected_components
 from roadloom.plans import queries as plans
 from roadloom.sources import traces
@@ -159,3 +159,24 @@ def test_matching_of_a_long_chain(spark):
     a, b = (spark.createDataFrame(rows[s::2], "id long, x double, y double") for s in (0, 1))
     got = {(x.a, x.b) for x in spatial.match_one_to_one(a, b, 2.5).collect()}
     assert got == {(k, k + 1) for k in range(0, 106, 2)}
+
+
+def test_crossings_and_duplicates_of_whole_lines(spark):
+    rows = [
+        (1, [(0.0, 0.0), (50.0, 0.0), (50.0, 50.0)]),
+        (2, [(25.0, -10.0), (25.0, 10.0)]),  # crosses the first leg of 1, not its chord
+        (3, [(10.0, 60.0), (10.0, 5.0)]),  # crosses the chord of 1 only
+        (4, [(60.0, -10.0), (50.0, 0.0), (40.0, 10.0)]),  # meets 1 in a vertex of both
+        (5, [(25.0, 0.0), (25.0, 1.0)]),  # ends on 1 and lies along 2
+        (6, [(0.0, 200.0), (100.0, 300.0), (0.0, 400.0)]),
+        (7, [(8.0, 200.0), (108.0, 300.0), (8.0, 400.0)]),  # its chord lies 8 from that of 6, as do all points
+        (8, [(500.0, 0.0), (500.0, 60.0), (560.0, 60.0)]),
+        (9, [(500.0, 1.0), (500.0, 61.0), (560.0, 61.0)]),
+    ]
+    lines = spark.createDataFrame(rows, "trace_id long, line array<struct<x:double,y:double>>")
+    got = sorted((r.a, r.b, r.x, r.y) for r in cleaning.line_crossings(lines).where("a < 8").collect())
+    assert got == [(1, 2, 25.0, 0.0), (1, 4, 50.0, 0.0)]
+    assert {(r.a, r.b) for r in cleaning.duplicate_pairs(lines, 10.0).collect()} == {(2, 5), (6, 7), (8, 9)}
+    bowed = [(1, [(0.0, 0.0), (300.0, 0.0), (300.0, 100.0), (0.0, 100.0), (0.0, 60.0)]), (2, [(30.0, 0.0), (300.0, 0.0), (300.0, 100.0), (0.0, 100.0), (0.0, 90.0)])]
+    lines = spark.createDataFrame(bowed, "trace_id long, line array<struct<x:double,y:double>>")
+    assert {(r.a, r.b) for r in cleaning.duplicate_pairs(lines, 31.0, 40.0).collect()} == {(1, 2)}
