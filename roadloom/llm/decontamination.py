@@ -24,7 +24,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from roadloom.llm.common import tidy
+from roadloom.llm.common import split_words, tidy
 
 HALF, BLOCK, OVERSAMPLE, SEED = 32, 256, 16, 5
 #: Words whose partial sums travel together, and tasks whose sums are added first.
@@ -56,14 +56,7 @@ class Words:
     """Benchmark word ids of a batch of texts, laid out by half passage."""
 
     def __init__(self, texts: pa.Array, vocabulary: pa.Array):
-        parts = pc.ascii_split_whitespace(pc.fill_null(texts.cast(pa.string()), ""))
-        flat = parts.flatten()
-        offsets = np.asarray(parts.offsets).astype(np.int64)
-        # a text that starts or ends with white space gives empty words; they hold no place
-        full = np.asarray(pc.greater(pc.binary_length(flat), 0))
-        sums = np.concatenate(([0], np.cumsum(full)))
-        self.flat = flat if full.all() else flat.filter(pa.array(full))
-        self.offsets = sums[offsets]
+        self.flat, self.offsets = split_words(texts)
         coded = self.flat.dictionary_encode()
         plain = pc.utf8_trim(pc.utf8_lower(coded.dictionary), _MARKS)
         ids = pc.fill_null(pc.index_in(plain, value_set=vocabulary), -1).to_numpy().astype(np.int64) if len(coded.dictionary) else np.zeros(0, np.int64)

@@ -27,13 +27,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from roadloom.llm.common import tidy
+from roadloom.llm.common import rolled, split_words, tidy
 
 WINDOW, SEED_WORDS = 20, 8
 #: Texts that share an automaton, and letters that spell a word (of 64 each).
 SHARD_DOCS, LETTERS = 2000, 4
 NO_ID = -(1 << 63)
-_STEP = np.uint64(0x9E3779B97F4A7C15)
 
 
 def _least(x: np.ndarray, n: int) -> np.ndarray:
@@ -46,38 +45,11 @@ def _least(x: np.ndarray, n: int) -> np.ndarray:
     return np.minimum(x[: len(x) - rest], x[rest:]) if rest else x
 
 
-def _rolled(h: np.ndarray, n: int) -> np.ndarray:
-    """Hash of every ``n`` consecutive values, from hashes of half as many."""
-
-    def mixed(x: np.ndarray) -> np.ndarray:
-        x = (x ^ (x >> np.uint64(32))) * np.uint64(0xD6E8FEB86659FD93)
-        return x ^ (x >> np.uint64(29))
-
-    with np.errstate(over="ignore"):
-        out, have, power, span = None, 0, h, 1
-        while n:
-            if n & 1:
-                if out is None:
-                    out, have = power, span
-                else:
-                    m = min(len(out), len(power) - have)
-                    out, have = mixed(out[:m] * _STEP + power[have : have + m]), have + span
-            n >>= 1
-            if n:
-                power = mixed(power[:-span] * _STEP + power[span:] + np.uint64(span))
-                span *= 2
-    return out
-
-
 class Batch:
     """Words, seeds and windows of a batch of texts, laid end to end."""
 
     def __init__(self, texts: pa.Array, window: int):
-        parts = pc.ascii_split_whitespace(pc.fill_null(texts.cast(pa.string()), ""))
-        flat, offsets = parts.flatten(), np.asarray(parts.offsets).astype(np.int64)
-        full = np.asarray(pc.greater(pc.binary_length(flat), 0))
-        if not full.all():
-            flat, offsets = flat.filter(pa.array(full)), np.concatenate(([0], np.cumsum(full)))[offsets]
+        flat, offsets = split_words(texts)
         self.offsets = offsets
         coded = flat.dictionary_encode()
         self.codes = coded.indices.to_numpy()
@@ -91,13 +63,13 @@ class Batch:
         self.start = np.arange(whole.sum()) - np.repeat(np.cumsum(whole) - whole, whole)
         self.at = offsets[self.doc] + self.start
         if len(self.at):
-            self.phrases = _rolled(self.hashes, SEED_WORDS)
+            self.phrases = rolled(self.hashes, SEED_WORDS)
             self.seed = _least(self.phrases, window - SEED_WORDS + 1)[self.at]
         else:
             self.phrases, self.seed = np.zeros(0, np.uint64), np.zeros(0, np.uint64)
 
     def window_hashes(self, which: np.ndarray) -> np.ndarray:
-        return _rolled(self.hashes, self.window)[self.at[which]]
+        return rolled(self.hashes, self.window)[self.at[which]]
 
     def _stream(self, bounds: np.ndarray, known: np.ndarray, hit: np.ndarray) -> None:
         """Marks in ``hit`` the places of the known phrases in the texts between ``bounds``."""
