@@ -10,8 +10,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from roadloom.llm import decontamination, lines, packing, quality, similar
-from roadloom.llm.common import table
+from roadloom.llm import decontamination, lines, packing, quality, simhash
+from roadloom.llm.common import hinted, table
 from roadloom.llm.queries import vocabulary
 from roadloom.session import stored
 
@@ -42,22 +42,21 @@ def line_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_duplicate_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near-duplicates stays, that of the smallest id; null ids stay too.
+    """One document of each group of near-duplicates stays, that of the least id; null ids stay too.
 
     Near-duplicates have a Jaccard similarity of 0.8 or more of their shingles of five words, as for every
-    stage without a contract of its own. Fingerprints cannot tell: pairs of 0.8 differ in up to 14 bits on
-    the 0.1 table, more by chance, so the similarity itself is computed.
+    stage without a contract of its own: wide SimHashes meet at anchors, and exact similarities decide.
     """
     small_batches(spark)
-    groups = similar.similar_texts(docs, width=5)
-    copies = groups.where("doc_id <> component_id").select("doc_id").distinct()
+    groups = simhash.similar_texts(docs)
+    copies = hinted(groups.where("doc_id <> component_id").select("doc_id").distinct())
     return docs.join(copies, "doc_id", "left_anti").select(*COLUMNS)
 
 
 def decontamination_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that hold a benchmark item go."""
     small_batches(spark)
-    leaks = decontamination.contaminated(docs, table(spark, sf_dir, "benchmark")).select("doc_id").distinct()
+    leaks = hinted(decontamination.contaminated(docs, table(spark, sf_dir, "benchmark")).select("doc_id").distinct())
     return docs.join(leaks, "doc_id", "left_anti").select(*COLUMNS)
 
 
