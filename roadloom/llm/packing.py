@@ -2,8 +2,8 @@
 
 Documents are tokenised, closed by an end id and cut every ``size`` ids. Pieces are dealt at random into
 groups; each group is packed on its own by first-fit decreasing, where a tournament tree over the bins'
-free space finds the first bin that fits in logarithmic time. Unless ids are asked for, only lengths and
-checksums are shuffled.
+free space finds the first bin that fits in logarithmic time. Nothing is remembered between batches. Unless
+ids are asked for, only lengths and checksums are shuffled.
 """
 
 from __future__ import annotations
@@ -20,49 +20,77 @@ from roadloom.llm.common import tidy
 from roadloom.llm.tokens import tokenizer
 
 SIZE, END_ID = 2048, 1
-#: Bytes of text that make up a group, and repeated units whose ids a worker remembers.
-GROUP_BYTES, MEMORY = 16 << 20, 400_000
-_SEEN: dict[str, dict[str, bytes]] = {}
-
-
-class IdSource:
-    """Token ids of a batch of texts, each distinct space-separated unit encoded once and remembered.
-
-    The tokenizer drops white space and never looks across it, so the ids of a text are those of its units.
+#: Bytes of text that make up a group, that share a dictionary of units, and whose ids are laid out at a time.
+GROUP_BYTES, SHARED_BYTES, PART_BYTES = 16 << 20, 32 << 20, 4 << 20
+#: Units that the library encodes as one text, those of ASCII, Latin-1 letters and line ends, and what it splits them into.
+TOGETHER, PLAIN = 500, r"^[\n\x21-\x7e\x{c0}-\x{ff}]*$"
+PRE_TOKEN = r"'s|'t|'re|'ve|'m|'ll|'d|\p{L}+|\p{N}|[^\s\p{L}\p{N}]+"
+
+
+def cut_by_bytes(texts: pa.Array, most: int) -> list[tuple[int, int]]:
+    """Ranges of rows of at most ``most`` bytes of text, or of one row."""
+    ends = np.cumsum(pc.fill_null(pc.binary_length(texts), 0).to_numpy(zero_copy_only=False).astype(np.int64))
+    out, lo = [], 0
+    while lo < len(ends):
+        hi = max(lo + 1, int(np.searchsorted(ends, (ends[lo - 1] if lo else 0) + most, side="right")))
+        out.append((lo, hi))
+        lo = hi
+    return out
+
+
+def unit_ids(units: pa.Array, path: str) -> tuple[np.ndarray, np.ndarray]:
+    """Token ids of many units end to end, and how many each has.
+
+    The tokenizer drops white space and never looks across it, so units of plain characters are encoded many
+    at a time, joined by spaces: the library numbers the pre-tokens of a text, and a unit has as many as its
+    pattern finds in it. A text whose pre-tokens are not as many as expected is encoded unit by unit, as
+    units of other characters or special strings are.
     """
-
-    def __init__(self, texts: pa.Array, path: str):
-        flat = pc.split_pattern(pc.fill_null(texts.cast(pa.string()), ""), " ")
-        self.offsets = np.asarray(flat.offsets).astype(np.int64)
-        words = flat.flatten().dictionary_encode()
-        self.kind = np.dtype(np.uint16 if tokenizer(path).get_vocab_size() <= 1 << 16 else np.uint32)
-        self.codes = words.indices.to_numpy()
-        seen = _SEEN.setdefault(path, {})
-        if len(seen) > MEMORY:
-            seen.clear()
-        names = words.dictionary.to_pylist()
-        got = [seen.get(x) for x in names]
-        new = [k for k, x in enumerate(got) if x is None]
-        often = np.bincount(self.codes, minlength=len(names)) > 1
-        for at in range(0, len(new), 20_000):
-            part = new[at : at + 20_000]
-            for k, e in zip(part, tokenizer(path).encode_batch_fast([names[k] for k in part], add_special_tokens=False), strict=True):
-                got[k] = np.array(e.ids, self.kind).tobytes()
-                if often[k]:  # what occurs once here hardly comes again
-                    seen[names[k]] = got[k]
-        self.sizes = np.fromiter(map(len, got), np.int64, len(got)) // self.kind.itemsize
-        self.starts = np.concatenate(([0], np.cumsum(self.sizes)[:-1])) if len(got) else np.zeros(0, np.int64)
-        self.ids = np.frombuffer(b"".join(got), self.kind)
-
-    def of(self, doc: int, end_id: int) -> np.ndarray:
-        codes = self.codes[self.offsets[doc] : self.offsets[doc + 1]]
-        n = self.sizes[codes]
-        total = int(n.sum())
-        at = np.repeat(self.starts[codes] - (np.cumsum(n) - n), n) + np.arange(total)
-        out = np.empty(total + 1, np.uint32)
-        out[:total] = self.ids[at]
-        out[total] = end_id
-        return out
+    library = tokenizer(path)
+    together = np.asarray(pc.and_(pc.match_substring_regex(units, PLAIN), pc.invert(pc.match_substring(units, "<|"))))
+    at = np.flatnonzero(together)
+    plain = units.take(pa.array(at))
+    expected = pc.count_substring_regex(pc.utf8_lower(plain), PRE_TOKEN).to_numpy().astype(np.int64)
+    names = plain.to_pylist()
+    sizes, alone = np.zeros(len(units), np.int64), list(np.flatnonzero(~together))
+    found: list[tuple[np.ndarray, np.ndarray]] = []  # units and their ids
+    cuts = range(0, len(names), TOGETHER)
+    for k, e in zip(cuts, library.encode_batch([" ".join(names[k : k + TOGETHER]) for k in cuts], add_special_tokens=False), strict=True):
+        number, n = np.array(e.word_ids, np.int64), expected[k : k + TOGETHER]
+        own = at[k : k + TOGETHER]
+        if len(number) and number[-1] + 1 != n.sum() or not len(number) and n.sum():
+            alone += list(own)
+            continue
+        sizes[own] = np.diff(np.searchsorted(number, np.concatenate(([0], np.cumsum(n)))))
+        found.append((own, np.array(e.ids, np.uint32)))
+    for k, e in zip(alone, library.encode_batch_fast(units.take(pa.array(alone, pa.int64())).to_pylist(), add_special_tokens=False), strict=True):
+        sizes[k] = len(e.ids)
+        found.append((np.array([k]), np.array(e.ids, np.uint32)))
+    order = np.concatenate([np.zeros(0, np.int64), *(x for x, _ in found)])
+    starts = np.zeros(len(units), np.int64)
+    starts[order] = np.cumsum(sizes[order]) - sizes[order]
+    return np.concatenate([np.zeros(0, np.uint32), *(x for _, x in found)]), np.stack((starts, sizes))
+
+
+def batch_ids(texts: pa.Array, path: str, end_id: int):
+    """For ranges of rows of a batch: the first row, the token ids of its texts end to end, each closed by ``end_id``, and the texts' bounds.
+
+    Texts are cut at spaces, and each distinct unit of the batch is encoded once.
+    """
+    flat = pc.split_pattern(pc.fill_null(texts.cast(pa.string()), ""), " ")
+    offsets = np.asarray(flat.offsets).astype(np.int64)
+    words = flat.flatten().dictionary_encode()
+    ids, (starts, sizes) = unit_ids(words.dictionary, path)
+    # the end id is one more unit, after the units of every text
+    every, end = words.indices.to_numpy(), len(starts)
+    starts, sizes, ids = np.append(starts, len(ids)), np.append(sizes, 1), np.append(ids, np.uint32(end_id))
+    for lo, hi in cut_by_bytes(texts, PART_BYTES):
+        own = offsets[lo : hi + 1] - offsets[0]
+        codes = np.insert(every[own[0] : own[-1]], own[1:] - own[0], end)
+        n = sizes[codes]
+        ends = np.cumsum(n)
+        out = ids[np.repeat(starts[codes] - (ends - n), n) + np.arange(ends[-1])]
+        yield lo, out, np.concatenate(([0], ends[own[1:] - own[0] + np.arange(hi - lo)]))
 
 
 def first_fit_decreasing(lengths: list[int], size: int) -> tuple[list[int], list[int]]:
@@ -95,33 +123,28 @@ def pack(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "te
     """``(doc_id, start, length, ids_crc32, doc_tokens, sequence_id, offset[, ids])``, one row per piece.
 
     ``ids`` holds little-endian unsigned 32-bit ids. A null or empty text is its end id alone. Repeated rows
-    and null ids are packed like any other row. Equal lengths are placed by id, then start. An empty table
-    gives an empty result. Columns other than the two named are not read.
+    and null ids are packed like any other row; a very long text is cut like any other. Equal lengths are placed
+    by id, then start. An empty table gives an empty result. Columns other than the two named are not read.
     """
     total = docs.agg(F.sum(F.coalesce(F.octet_length(text_col), F.lit(0)) + 64)).first()[0] or 0
     n_groups = max(1, -(-total // group_bytes))
 
     def cut_up(batches):
         for batch in batches:
-            for at in range(0, batch.num_rows, 2500):
-                part = batch.slice(at, 2500)
-                source = IdSource(part.column(2), path)
-                doc, start, length, crc, tokens, held = [], [], [], [], [], []
-                for i in range(part.num_rows):
-                    all_ids = source.of(i, end_id)
-                    for s in range(0, len(all_ids), size):
-                        raw = all_ids[s : s + size].tobytes()
-                        doc.append(i)
-                        start.append(s)
-                        length.append(len(raw) // 4)
-                        crc.append(zlib.crc32(raw))
-                        tokens.append(len(all_ids))
-                        if ids:
-                            held.append(raw)
-                which = pa.array(doc, pa.int64())
-                cols = [part.column(0).take(which), part.column(1).take(which), *(pa.array(x, pa.int64()) for x in (start, length, crc, tokens))]
-                names = ["row", "doc_id", "start", "length", "ids_crc32", "doc_tokens"]
-                yield pa.RecordBatch.from_arrays([*cols, pa.array(held, pa.binary())] if ids else cols, names=[*names, "ids"] if ids else names)
+            for lo, hi in cut_by_bytes(batch.column(2), SHARED_BYTES):
+                for first, every, bounds in batch_ids(batch.column(2).slice(lo, hi - lo), path, end_id):
+                    n = np.diff(bounds)
+                    pieces = -(-n // size)
+                    which = np.repeat(np.arange(len(n)), pieces)
+                    start = size * (np.arange(len(which)) - np.repeat(np.cumsum(pieces) - pieces, pieces))
+                    length = np.minimum(size, n[which] - start)
+                    raw, at = memoryview(every.astype("<u4")).cast("B"), 4 * (bounds[which] + start)
+                    held = [raw[a:b] for a, b in zip(at.tolist(), (at + 4 * length).tolist(), strict=True)]
+                    crc = np.fromiter(map(zlib.crc32, held), np.int64, len(held))
+                    of = pa.array(which + lo + first)
+                    cols = [batch.column(0).take(of), batch.column(1).take(of), *(pa.array(x.astype(np.int64)) for x in (start, length, crc, n[which]))]
+                    names = ["row", "doc_id", "start", "length", "ids_crc32", "doc_tokens"]
+                    yield pa.RecordBatch.from_arrays([*cols, pa.array([bytes(x) for x in held], pa.binary())] if ids else cols, names=[*names, "ids"] if ids else names)
 
     rows = docs.select(F.monotonically_increasing_id().alias("row"), F.col(id_col).alias("doc_id"), F.col(text_col).cast("string").alias("text"))
     kind = rows.schema["doc_id"].dataType.simpleString()
