@@ -1,10 +1,12 @@
 """Removal of lines that many documents share, by probing minimal perfect hash arrays.
 
-Distinct line keys are counted by a 128-bit hash. Keys that recur enough are dealt into shards; each shard
-gets a minimal perfect hash (levels of bit arrays with ranks) that indexes three compact arrays: the other
-half of the hash as fingerprint, the count and the document that keeps the line. Documents then probe the
-arrays: no line is joined or shuffled. The arrays are broadcast only while their measured size is within
-``BROADCAST_BYTES``; beyond it the same decision is taken by a join of hashes.
+Distinct line keys are counted by a 128-bit hash. Those of two documents or more are dealt into shards; each
+shard gets a minimal perfect hash (levels of bit arrays with ranks) that indexes three compact arrays: the
+other half of the hash as fingerprint, the count and the document that keeps the line. Documents probe the
+arrays, and the counts found there decide: no line is joined. While all arrays together are within
+``BROADCAST_BYTES`` they are broadcast and every task probes its own texts. Beyond that the arrays stay where
+they are and the hashes come to them: a batch of texts sends each distinct hash once to its shard, and gets
+back the keepers of those that recur. Either way the same arrays are probed by the same code.
 """
 
 from __future__ import annotations
@@ -15,15 +17,18 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 import xxhash
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from roadloom.llm.common import tidy
-from roadloom.session import cut
+from roadloom.session import cut, stored
 
 MIN_CHARS, MIN_DOCS = 20, 3
 SHARD_KEYS, BROADCAST_BYTES, ENTRY_BYTES = 100_000, 64 << 20, 24
+#: Texts that send their hashes together where the arrays are not broadcast.
+BATCH = 1000
 NO_ID = -(1 << 63)
 
 
@@ -85,8 +90,8 @@ def line_keys(texts: pa.Array, least: int) -> tuple[pa.Array, np.ndarray, np.nda
     return lines, offsets, at, np.frombuffer(raw, ">u8").astype(np.uint64).reshape(-1, 2)
 
 
-def recurring(docs: DataFrame, least: int, min_docs: int) -> DataFrame:
-    """``(hi, lo, n, keeper)``: line keys that at least ``min_docs`` documents hold."""
+def recurring(docs: DataFrame, least: int) -> DataFrame:
+    """``(hi, lo, n, keeper)``: line keys that at least two documents hold; what stands in one document recurs nowhere."""
 
     def run(batches):
         for batch in batches:
@@ -96,12 +101,19 @@ def recurring(docs: DataFrame, least: int, min_docs: int) -> DataFrame:
 
     keys = docs.select("doc_id", "text").mapInArrow(tidy(run), "doc_id long, hi long, lo long")
     each = keys.groupBy("hi", "lo", "doc_id").agg(F.lit(1).alias("one"))
-    return each.groupBy("hi", "lo").agg(F.count("*").alias("n"), F.max("doc_id").alias("keeper")).where(F.col("n") >= min_docs)
+    return each.groupBy("hi", "lo").agg(F.count("*").alias("n"), F.max("doc_id").alias("keeper")).where("n >= 2")
+
+
+def n_shards(n: int) -> int:
+    return max(1, -(-n // SHARD_KEYS))
+
+
+def shard_of(hi, shards: int) -> F.Column:
+    return F.pmod(hi, F.lit(shards).cast("long"))
 
 
 def build_shards(counted: DataFrame, n: int) -> DataFrame:
-    """One row per shard: its number and the pickled perfect hash with its arrays."""
-    shards = max(1, -(-n // SHARD_KEYS))
+    """One row per shard that has keys: its number and the pickled perfect hash with its arrays."""
 
     def build(t: pa.Table) -> pa.Table:
         hi, lo = (t.column(c).to_numpy().view(np.uint64) for c in ("hi", "lo"))
@@ -114,24 +126,25 @@ def build_shards(counted: DataFrame, n: int) -> DataFrame:
             a = np.zeros(h.size, kind)
             a[to] = np.minimum(c[first], np.iinfo(np.uint32).max) if kind is np.uint32 else c[first]
             arrays.append(a)
-        extra = {(int(hi[i]), int(lo[i])): int(t.column("keeper")[int(i)].as_py()) for i in spare}
+        extra = {(int(hi[i]), int(lo[i])): (int(t.column("n")[int(i)].as_py()), int(t.column("keeper")[int(i)].as_py())) for i in spare}
         return pa.table({"shard": pa.array([t.column("shard")[0].as_py()], pa.int64()), "blob": pa.array([pickle.dumps((h, *arrays, extra))], pa.binary())})
 
-    return counted.withColumn("shard", F.pmod("hi", F.lit(shards).cast("long"))).groupBy("shard").applyInArrow(build, "shard long, blob binary")
+    return counted.withColumn("shard", shard_of("hi", n_shards(n))).groupBy("shard").applyInArrow(build, "shard long, blob binary")
 
 
-def probe(shards: list, hashes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """For each 128-bit hash: whether it recurs, and the document that keeps it."""
+def probe(shard: tuple, hashes: np.ndarray, min_docs: int) -> tuple[np.ndarray, np.ndarray]:
+    """For each 128-bit hash of a shard: whether enough documents hold it by the count array, and the one that keeps it."""
+    h, prints, counts, keepers, extra = shard
     found, keeper = np.zeros(len(hashes), bool), np.zeros(len(hashes), np.int64)
-    home = np.mod(hashes[:, 0].view(np.int64), len(shards))
-    for k, (h, prints, _, keepers, extra) in enumerate(shards):
-        own = np.flatnonzero(home == k)
-        at = h.index(hashes[own, 0])
-        hit = (at >= 0) & (prints[at] == hashes[own, 1]) if h.size else np.zeros(len(own), bool)
-        found[own[hit]], keeper[own[hit]] = True, keepers[at[hit]] if h.size else 0
-        for i in own if extra else ():
-            if (x := extra.get((int(hashes[i, 0]), int(hashes[i, 1])))) is not None:
-                found[i], keeper[i] = True, x
+    at = h.index(hashes[:, 0])
+    known = np.flatnonzero(at >= 0)
+    at = at[known]
+    right = prints[at] == hashes[known, 1]
+    known, at = known[right], at[right]
+    found[known], keeper[known] = counts[at] >= min_docs, keepers[at]
+    for i in range(len(hashes)) if extra else ():
+        if (x := extra.get((int(hashes[i, 0]), int(hashes[i, 1])))) is not None:
+            found[i], keeper[i] = x[0] >= min_docs, x[1]
     return found, keeper
 
 
@@ -152,56 +165,104 @@ def drop_shared_lines(
 ) -> DataFrame:
     """All columns of ``docs`` with shared lines removed from its text, plus ``n_lines`` and ``n_dropped``.
 
-    A null text becomes one empty line. Rows with the same id are one document; rows with a null id are one
-    document with the least id. Ties: the largest id keeps its lines, all of them. Existing columns named
-    ``n_lines`` or ``n_dropped`` are replaced. An empty table gives an empty result.
+    A null text becomes one empty line; very long texts are taken whole. Rows with the same id are one document,
+    so repeated rows do not make a line recur; rows with a null id are one document with the least id. Ties: the
+    largest id keeps its lines, all of them. Existing columns named ``n_lines`` or ``n_dropped`` are replaced.
+    An empty table gives an empty result.
     """
     slim = docs.select(F.coalesce(F.col(id_col).cast("long"), F.lit(NO_ID)).alias("doc_id"), F.col(text_col).cast("string").alias("text"))
-    counted = cut(recurring(slim, min_chars, min_docs))
+    counted = cut(recurring(slim, min_chars))
     n = counted.count()
     rest = [c for c in docs.columns if c not in (text_col, "n_lines", "n_dropped")]
     packed = docs.select(F.struct(*rest).alias("_rest"), F.coalesce(F.col(id_col).cast("long"), F.lit(NO_ID)).alias("_id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("_text"))
     shape = T.StructType([packed.schema["_rest"], T.StructField("_text", T.StringType()), T.StructField("n_lines", T.LongType()), T.StructField("n_dropped", T.LongType())])
-
-    if n * ENTRY_BYTES <= broadcast_bytes:
-        blobs = [bytes(r.blob) for r in build_shards(counted, n).orderBy("shard").collect()]
-        empty = pickle.dumps((PerfectHash(np.zeros(0, np.uint64)), *(np.zeros(0, k) for k in (np.uint64, np.uint32, np.int64)), {}))
-        total = max(1, -(-n // SHARD_KEYS))
-        by = dict(zip((r.shard for r in build_shards(counted, n).select("shard").orderBy("shard").collect()), blobs, strict=True)) if len(blobs) < total else dict(enumerate(blobs))
-        shared = docs.sparkSession.sparkContext.broadcast([by.get(k, empty) for k in range(total)])
-
-        def run(batches):
-            shards = [pickle.loads(x) for x in shared.value]
-            for batch in batches:
-                lines, offsets, at, hashes = line_keys(batch.column(2), min_chars)
-                found, keeper = probe(shards, hashes)
-                ids = batch.column(1).to_numpy()[np.searchsorted(offsets, at, side="right") - 1]
-                text, lost = _without(lines, offsets, at[found & (keeper != ids)], batch.column(2))
-                yield pa.RecordBatch.from_arrays([batch.column(0), text, pa.array(np.diff(offsets)), pa.array(lost)], names=["_rest", "_text", "n_lines", "n_dropped"])
-
-        done = packed.mapInArrow(tidy(run), shape)
-    else:
-        keyed = packed.withColumn("_row", F.monotonically_increasing_id())
-
-        def spread(batches):
-            for batch in batches:
-                _, offsets, at, hashes = line_keys(batch.column(2), min_chars)
-                whose = np.searchsorted(offsets, at, side="right") - 1
-                cols = [batch.column(0).take(pa.array(whose)), batch.column(1).take(pa.array(whose)), pa.array(at - offsets[whose]), *(pa.array(hashes[:, k].view(np.int64)) for k in (0, 1))]
-                yield pa.RecordBatch.from_arrays(cols, names=["_row", "_id", "line", "hi", "lo"])
-
-        lines = keyed.select("_row", "_id", "_text").mapInArrow(tidy(spread), "_row long, _id long, line long, hi long, lo long")
-        gone = lines.join(counted, ["hi", "lo"]).where("keeper != _id").groupBy("_row").agg(F.collect_list("line").alias("gone"))
-        both = keyed.join(gone, "_row", "left").select("_rest", "_text", "gone")
-
-        def rebuild(batches):
-            for batch in batches:
-                parts = pc.split_pattern(batch.column(1), "\n")
-                offsets = np.asarray(parts.offsets).astype(np.int64)
-                drop = [int(offsets[i]) + x for i, g in enumerate(batch.column(2).to_pylist()) for x in g or ()]
-                text, lost = _without(parts.flatten(), offsets, np.array(sorted(drop), np.int64), batch.column(1))
-                yield pa.RecordBatch.from_arrays([batch.column(0), text, pa.array(np.diff(offsets)), pa.array(lost)], names=["_rest", "_text", "n_lines", "n_dropped"])
-
-        done = both.mapInArrow(tidy(rebuild), shape)
+    near = n * ENTRY_BYTES <= broadcast_bytes
+    done = (_probed_at_home if near else _probed_at_shards)(packed, shape, counted, n, min_chars, min_docs)
     order = [F.col("_text").alias(c) if c == text_col else F.col(f"_rest.{c}") for c in docs.columns if c not in ("n_lines", "n_dropped")]
     return done.select(*order, "n_lines", "n_dropped")
+
+
+def _cleaned(batch: pa.RecordBatch, min_chars: int, verdict) -> pa.RecordBatch:
+    """The batch's texts without the lines that ``verdict`` finds to recur and to be kept elsewhere."""
+    lines, offsets, at, hashes = line_keys(batch.column(2), min_chars)
+    found, keeper = verdict(hashes)
+    ids = batch.column(1).to_numpy()[np.searchsorted(offsets, at, side="right") - 1]
+    text, lost = _without(lines, offsets, at[found & (keeper != ids)], batch.column(2))
+    return pa.RecordBatch.from_arrays([batch.column(0), text, pa.array(np.diff(offsets)), pa.array(lost)], names=["_rest", "_text", "n_lines", "n_dropped"])
+
+
+def _probed_at_home(packed: DataFrame, shape: T.StructType, counted: DataFrame, n: int, min_chars: int, min_docs: int) -> DataFrame:
+    """Every task probes the broadcast arrays; their size was checked."""
+    shared = packed.sparkSession.sparkContext.broadcast({r.shard: bytes(r.blob) for r in build_shards(counted, n).collect()})
+    shards = n_shards(n)
+
+    def run(batches):
+        known = {k: pickle.loads(x) for k, x in shared.value.items()}
+
+        def verdict(hashes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+            found, keeper = np.zeros(len(hashes), bool), np.zeros(len(hashes), np.int64)
+            home = np.mod(hashes[:, 0].view(np.int64), shards)
+            for k, shard in known.items():
+                own = np.flatnonzero(home == k)
+                found[own], keeper[own] = probe(shard, hashes[own], min_docs)
+            return found, keeper
+
+        for batch in batches:
+            yield _cleaned(batch, min_chars, verdict)
+
+    return packed.mapInArrow(tidy(run), shape)
+
+
+def _probed_at_shards(packed: DataFrame, shape: T.StructType, counted: DataFrame, n: int, min_chars: int, min_docs: int) -> DataFrame:
+    """Batches of texts send each distinct hash once to the shard's arrays and get the keepers of those that recur."""
+    names = ["_rest", "_id", "_text"]
+
+    def bundle(batches):
+        task, k = TaskContext.get().partitionId(), 0
+        for batch in batches:
+            for at in range(0, batch.num_rows, BATCH):
+                sink = pa.BufferOutputStream()
+                part = batch.slice(at, BATCH)
+                with pa.ipc.new_stream(sink, part.schema, options=pa.ipc.IpcWriteOptions(compression="zstd")) as w:
+                    w.write_batch(part)
+                yield pa.RecordBatch.from_arrays([pa.array([(task << 33) + k]), pa.array([sink.getvalue().to_pybytes()], pa.binary())], names=["batch", "blob"])
+                k += 1
+
+    # written once, so that a batch keeps its number
+    bundles = stored(packed.select(*names).mapInArrow(tidy(bundle), "batch long, blob binary"))
+
+    def opened(blob: bytes) -> pa.RecordBatch:
+        with pa.ipc.open_stream(blob) as r:
+            return r.read_next_batch()
+
+    def spread(batches):
+        for batch in batches:
+            for k in range(batch.num_rows):
+                hashes = line_keys(opened(batch.column(1)[k].as_py()).column(2), min_chars)[3]
+                hashes = np.unique(hashes, axis=0).view(np.int64)
+                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(hashes), batch.column(0)[k].as_py())), pa.array(hashes[:, 0].copy()), pa.array(hashes[:, 1].copy())], names=["batch", "hi", "lo"])
+
+    asked = bundles.mapInArrow(tidy(spread), "batch long, hi long, lo long").withColumn("shard", shard_of("hi", n_shards(n)))
+
+    def answer(t: pa.Table, arrays: pa.Table) -> pa.Table:
+        hashes = np.stack([t.column(c).to_numpy().view(np.uint64) for c in ("hi", "lo")], axis=1) if t.num_rows else np.zeros((0, 2), np.uint64)
+        found, keeper = probe(pickle.loads(arrays.column("blob")[0].as_py()), hashes, min_docs) if arrays.num_rows else (np.zeros(len(hashes), bool), np.zeros(len(hashes), np.int64))
+        hit = np.flatnonzero(found)
+        return t.select(["batch", "hi", "lo"]).take(pa.array(hit)).append_column("keeper", pa.array(keeper[hit]))
+
+    met = asked.groupBy("shard").cogroup(build_shards(counted, n).groupBy("shard")).applyInArrow(answer, "batch long, hi long, lo long, keeper long")
+    answers = met.groupBy("batch").agg(F.collect_list(F.struct("hi", "lo", "keeper")).alias("known"))
+
+    def run(batches):
+        for batch in batches:
+            for k in range(batch.num_rows):
+                known = batch.column(1).slice(k, 1).flatten()
+                place = {(a, b): c for a, b, c in zip(*(known.field(c).to_pylist() for c in range(3)), strict=True)}
+
+                def verdict(hashes: np.ndarray, place=place) -> tuple[np.ndarray, np.ndarray]:
+                    got = [place.get((a, b)) for a, b in hashes.view(np.int64).tolist()]
+                    return np.array([x is not None for x in got], bool), np.array([x or 0 for x in got], np.int64)
+
+                yield _cleaned(opened(batch.column(0)[k].as_py()), min_chars, verdict)
+
+    return bundles.join(answers, "batch", "left").select("blob", "known").mapInArrow(tidy(run), shape)

@@ -2,16 +2,14 @@
 
 Base rules count repetition and length. The method's verdict compares two histograms of a document, of
 character classes and of common words, with references of the document's language by Jensen-Shannon
-distance. References are totals over all documents of a language; a word is common if it makes up at least
-``COMMON_SHARE`` of them, so there are at most 1 / COMMON_SHARE per language, and a language needs
-``LANGUAGE_SHARE`` of the corpus's words to have a reference, so those are few enough for a literal.
+distance. References are totals over all documents of a language, however rare; a word is common if it makes
+up at least ``COMMON_SHARE`` of them, so there are at most 1 / COMMON_SHARE per language.
 Length guards: shorter documents are never rejected by a histogram, and what chance alone adds to the
 distance at a document's length is allowed on top of the limit.
 """
 
 from __future__ import annotations
 
-import json
 import math
 
 from pyspark.sql import DataFrame
@@ -21,7 +19,9 @@ from roadloom.llm.common import words
 from roadloom.session import cut
 
 MIN_WORDS, REPEAT_WINDOW, REPEAT_PERCENT = 20, 8, 30
-COMMON_SHARE, LANGUAGE_SHARE, COMMON_CHARS = 0.004, 0.004, 5
+COMMON_SHARE = 0.004
+#: References of at most so many languages are broadcast (1 / COMMON_SHARE words each), and words that a literal set holds.
+LANGUAGES, LITERAL = 2000, 50_000
 #: Limits of the two Jensen-Shannon distances (square roots of the divergence in bits), and the least words.
 CLASS_LIMIT, WORD_LIMIT, GUARD_WORDS = 0.29, 0.36, 40
 #: Character classes; the rest is a class of its own.
@@ -57,8 +57,8 @@ def base_counts(docs: DataFrame, text_col: str = "text") -> DataFrame:
 
 
 def _plain_words() -> F.Column:
-    """Lower-case runs of at most COMMON_CHARS letters that no other letter touches."""
-    return F.regexp_extract_all(F.lower("_text"), F.lit(rf"(?<!\p{{L}})\p{{L}}{{1,{COMMON_CHARS}}}+(?!\p{{L}})"), 0)
+    """Words in lower case without stops and brackets; empty ones among them count for nothing."""
+    return F.split(F.lower("_text"), r"""[\x20\x09-\x0D.,;:!?"()]+""", -1)
 
 
 def _class_counts() -> list[F.Column]:
@@ -67,24 +67,23 @@ def _class_counts() -> list[F.Column]:
     return [count(c, p).cast("double").alias(c) for c, p in CLASSES.items()]
 
 
-def references(docs: DataFrame, text_col: str = "text", lang_col: str = "lang") -> dict[str, dict]:
-    """Per language the common words with their shares and the shares of character classes."""
-    d = docs.select(F.col(lang_col).cast("string").alias("lang"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("_text")).where("lang IS NOT NULL")
-    d = d.withColumn("_words", words(F.col("_text")))
-    totals = d.select("lang", F.size("_words").alias("n"), F.length("_text").alias("chars"), *_class_counts())
-    totals = cut(totals.groupBy("lang").agg(*(F.sum(c).alias(c) for c in ("n", "chars", *CLASSES))))
-    everything = totals.agg(F.sum("n")).first()[0] or 0
-    large = totals.where((F.col("n") > 0) & (F.col("n") >= LANGUAGE_SHARE * everything)).collect()
-    if not large:
-        return {}
-    least = F.coalesce(*(F.when(F.col("lang") == r.lang, F.lit(COMMON_SHARE * r.n)) for r in large))
-    common = d.select("lang", F.explode(_plain_words()).alias("w")).groupBy("lang", "w").agg(F.count("*").alias("c")).where(F.col("c") >= least).collect()
-    out = {}
-    for r in large:
-        own = sorted((x.w, x.c / r.n) for x in common if x.lang == r.lang)
-        shares = [r[c] / max(1, r.chars) for c in CLASSES]
-        out[r.lang] = {"words": [w for w, _ in own], "q": [*(q for _, q in own), max(0.0, 1 - sum(q for _, q in own))], "classes": [*shares, max(0.0, 1 - sum(shares))]}
-    return out
+def references(docs: DataFrame, text_col: str = "text", lang_col: str = "lang") -> DataFrame:
+    """``(_lang, words, q, classes)``: per language its common words with their shares, the share of all others last, and those of character classes."""
+    d = docs.select(F.col(lang_col).cast("string").alias("_lang"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("_text")).where("_lang IS NOT NULL")
+    totals = d.select("_lang", F.size(words(F.col("_text"))).alias("n"), F.length("_text").alias("chars"), *_class_counts())
+    totals = cut(totals.groupBy("_lang").agg(*(F.sum(c).alias(c) for c in ("n", "chars", *CLASSES))).where("n > 0"))
+    each = d.select("_lang", F.explode(_plain_words()).alias("w")).where("w <> ''").groupBy("_lang", "w").agg(F.count("*").alias("c"))
+    small = _small(totals.select("_lang", "n"), totals)
+    common = each.join(small, "_lang").where(F.col("c") >= COMMON_SHARE * F.col("n")).groupBy("_lang").agg(F.array_sort(F.collect_list(F.struct("w", (F.col("c") / F.col("n")).alias("q")))).alias("own"))
+    shares = [F.col(c) / F.greatest(F.lit(1), F.col("chars")) for c in CLASSES]
+    rest = lambda a: f"concat({a}, array(greatest(0D, 1D - aggregate({a}, 0D, (x, y) -> x + y))))"
+    known = totals.join(common, "_lang", "left").withColumn("classes", F.array(*shares)).withColumn("own", F.coalesce("own", F.expr("cast(array() AS array<struct<w:string,q:double>>)")))
+    return cut(known.select("_lang", F.col("own.w").alias("words"), F.expr(rest("own.q")).alias("q"), F.expr(rest("classes")).alias("classes")))
+
+
+def _small(df: DataFrame, languages: DataFrame) -> DataFrame:
+    """``df``, a row for each language, broadcast if there are at most ``LANGUAGES``."""
+    return F.broadcast(df) if languages.limit(LANGUAGES + 1).count() <= LANGUAGES else df
 
 
 def _distance(p: str, q: str) -> F.Column:
@@ -93,38 +92,38 @@ def _distance(p: str, q: str) -> F.Column:
     return F.expr(f"sqrt(greatest(0D, aggregate(zip_with({p}, {q}, (p, q) -> 0.5D * ({half('p')} + {half('q')})), 0D, (a, x) -> a + x)))")
 
 
-def judge(docs: DataFrame, known: dict[str, dict], text_col: str = "text", lang_col: str = "lang", class_limit: float = CLASS_LIMIT, word_limit: float = WORD_LIMIT) -> DataFrame:
+def judge(docs: DataFrame, known: DataFrame, text_col: str = "text", lang_col: str = "lang", class_limit: float = CLASS_LIMIT, word_limit: float = WORD_LIMIT) -> DataFrame:
     """``docs`` plus base counts, both distances (null without a reference or words) and ``kept``."""
-    d = base_counts(docs, text_col)
-    if known:
-        shape = "map<string, struct<words: array<string>, q: array<double>, classes: array<double>>>"
-        every = sorted({w for x in known.values() for w in x["words"]})
-        d = d.withColumn("_ref", F.element_at(F.from_json(F.lit(json.dumps(known)), shape), F.coalesce(F.col(lang_col).cast("string"), F.lit(""))))
-        d = d.withColumn("_plain", _plain_words())
-        quoted = ", ".join("'" + w.replace("\\", "\\\\").replace("'", "\\'") + "'" for w in every) or "''"
-        d = d.withColumn("_common", F.expr(f"filter(_plain, w -> w IN ({quoted}))"))
-        d = d.withColumn("_seen", F.expr("transform(_ref.words, w -> (size(_common) - size(array_remove(_common, w))) / greatest(n_words, 1))"))
-        d = d.withColumn("_p", F.expr("concat(_seen, array(greatest(0D, 1D - aggregate(_seen, 0D, (a, x) -> a + x))))"))
-        d = d.withColumn("_chars", F.greatest(F.length("_text"), F.lit(1)).cast("double"))
-        d = d.withColumn("_shares", F.array(*(c / F.col("_chars") for c in _class_counts())))
-        d = d.withColumn("_c", F.expr("concat(_shares, array(greatest(0D, 1D - aggregate(_shares, 0D, (a, x) -> a + x))))"))
-        d = d.withColumn("word_distance", F.when(F.col("_ref").isNotNull() & (F.col("n_words") > 0), _distance("_p", "_ref.q")))
-        d = d.withColumn("class_distance", F.when(F.col("_ref").isNotNull() & (F.col("n_words") > 0), _distance("_c", "_ref.classes")))
-        chance = F.sqrt(F.size("_ref.words") / (8 * math.log(2) * F.greatest(F.col("n_words"), F.lit(1))))
+    d = base_counts(docs, text_col).withColumn("_lang", F.col(lang_col).cast("string")).join(_small(known, known), "_lang", "left")
+    listed = known.select(F.explode("words").alias("w")).distinct().limit(LITERAL + 1).collect()
+    if len(listed) <= LITERAL:
+        quoted = ", ".join("'" + r.w.replace("\\", "\\\\").replace("'", "\\'") + "'" for r in listed) or "''"
+        common = f"filter(_plain, w -> w IN ({quoted}))"
     else:
-        d = d.withColumn("word_distance", F.lit(None).cast("double")).withColumn("class_distance", F.lit(None).cast("double"))
-        chance = F.lit(0.0)
+        common = "filter(_plain, w -> array_contains(words, w))"
+    d = d.withColumn("_plain", _plain_words()).withColumn("_common", F.expr(f"array_sort({common})"))
+    # runs of equal words: where they start, and so how long they are
+    d = d.withColumn("_starts", F.expr("filter(sequence(0, greatest(size(_common) - 1, 0)), i -> i < size(_common) AND (i = 0 OR _common[i] <> _common[i - 1]))"))
+    d = d.withColumn("_counts", F.expr("map_from_arrays(transform(_starts, i -> _common[i]), transform(_starts, (i, k) -> coalesce(get(_starts, k + 1), size(_common)) - i))"))
+    d = d.withColumn("_seen", F.expr("transform(words, w -> coalesce(_counts[w], 0) / greatest(n_words, 1))"))
+    d = d.withColumn("_p", F.expr("concat(_seen, array(greatest(0D, 1D - aggregate(_seen, 0D, (a, x) -> a + x))))"))
+    d = d.withColumn("_chars", F.greatest(F.length("_text"), F.lit(1)).cast("double"))
+    d = d.withColumn("_shares", F.array(*(c / F.col("_chars") for c in _class_counts())))
+    d = d.withColumn("_c", F.expr("concat(_shares, array(greatest(0D, 1D - aggregate(_shares, 0D, (a, x) -> a + x))))"))
+    has = F.col("classes").isNotNull() & (F.col("n_words") > 0)
+    d = d.withColumn("word_distance", F.when(has, _distance("_p", "q"))).withColumn("class_distance", F.when(has, _distance("_c", "classes")))
+    chance = F.sqrt(F.size("words") / (8 * math.log(2) * F.greatest(F.col("n_words"), F.lit(1))))
     odd = (F.col("n_words") >= GUARD_WORDS) & ((F.col("word_distance") > word_limit + chance) | (F.col("class_distance") > class_limit))
     d = d.withColumn("kept", ~F.col("base_failed") & ~F.coalesce(odd, F.lit(False)))
-    return d.drop("_text", "_words", "_ref", "_plain", "_common", "_seen", "_p", "_chars", "_shares", "_c")
+    return d.drop("_lang", "words", "q", "classes", "_text", "_words", "_plain", "_common", "_starts", "_counts", "_seen", "_p", "_chars", "_shares", "_c")
 
 
 def quality_rules(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> DataFrame:
     """``(doc_id, counts, base_failed, kept, word_distance, class_distance)``, one row per input row.
 
-    Null or empty texts have no words and fail the base rule; a null or rare language has no reference, so
-    only the base rules judge its documents; repeated rows and null ids are kept; an empty table gives an
-    empty result. Columns other than the three named are not read.
+    Null or empty texts have no words and fail the base rule; a null language has no reference, so only the
+    base rules judge its documents; very long texts are taken whole; repeated rows and null ids are kept; an
+    empty table gives an empty result. Columns other than the three named are not read, whatever their names.
     """
     slim = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).cast("string").alias("text"), F.col(lang_col).cast("string").alias("lang"))
     return judge(slim, references(slim)).drop("text", "lang")

@@ -73,7 +73,7 @@ def test_substrings_ties_and_empty(spark):
 
 @pytest.mark.parametrize("limit", [lines.BROADCAST_BYTES, 0])
 def test_lines_equal_brute_force(spark, limit):
-    rows = [*corpus(), (None, "a line of more than twenty characters"), (900, "A line of more than twenty characters"), (901, " a line of more than twenty characters\na line of more than twenty characters")]
+    rows = [*corpus(), (None, "one line that only repeated rows hold"), *[(990, "one line that only repeated rows hold")] * 4, (None, "a line of more than twenty characters"), (900, "A line of more than twenty characters"), (901, " a line of more than twenty characters\na line of more than twenty characters")]
     key = lambda x: lower(x.strip(SPACE))
     holders = collections.defaultdict(set)
     for i, t in rows:

@@ -1,12 +1,14 @@
 """Text operators against brute force, the tokenizers themselves or held-out accuracy."""
 
 import collections
+import math
 import random
 import re
 import zlib
 
 import numpy as np
 import pytest
+import regex
 from pyspark.sql import functions as F
 
 import __spark_entry__ as entry
@@ -150,6 +152,57 @@ def test_quality_rules(docs, texts):
     assert rules.quality_rules(docs.where("false")).count() == 0
 
 
+def histogram_verdicts(rows):
+    """Distances and verdicts of ``(text, lang)`` rows in plain Python."""
+    classes = [r"\p{Ll}", r"\p{Lu}", r"\p{Nd}", r"[.,;:?'\"()-]", r"[\x20\x09-\x0D]"]
+    share = lambda t: [len(regex.findall(c, t)) for c in classes]
+    plain = lambda t: collections.Counter(x for x in regex.split(r'[\x20\x09-\x0D.,;:!?"()]+', t.lower()) if x)
+    known = {}
+    for lang in {g for _, g in rows if g is not None}:
+        own = [t or "" for t, g in rows if g == lang]
+        n, chars = sum(len(WORD.findall(t)) for t in own), sum(map(len, own))
+        seen = sum((plain(t) for t in own), collections.Counter())
+        known[lang] = {w: c / n for w, c in seen.items() if n and c >= rules.COMMON_SHARE * n}, [sum(k) / max(1, chars) for k in zip(*map(share, own), strict=True)], n
+
+    def distance(p, q):
+        p, q = ([*x, max(0.0, 1 - sum(x))] for x in (p, q))
+        half = lambda a, m: a * math.log2(a / m) if a > 0 else 0.0
+        return math.sqrt(max(0.0, sum(half(a, (a + b) / 2) + half(b, (a + b) / 2) for a, b in zip(p, q, strict=True)) / 2))
+
+    out = []
+    for t, g in rows:
+        t = t or ""
+        n = len(WORD.findall(t))
+        if n == 0 or g is None:
+            out.append((None, None, False))
+            continue
+        common, kinds, _ = known[g]
+        seen = plain(t)
+        word, kind = distance([seen[w] / n for w in common], common.values()), distance([k / len(t) for k in share(t)], kinds)
+        out.append((word, kind, n >= 40 and (word > rules.WORD_LIMIT + math.sqrt(len(common) / (8 * math.log(2) * n)) or kind > rules.CLASS_LIMIT)))
+    return out
+
+
+def test_verdicts_equal_brute_force(spark):
+    r = random.Random(12)
+    long_words = [f"gouvernement{c}" for c in "abcdefgh"] + ["l'été", "back\\slash", "it's"]
+    rows = [(" ".join(r.choice(long_words) for _ in range(r.randint(1, 90))) + r.choice([".", "!\n", ""]), "rare" if k % 3 else "fr") for k in range(40)]
+    rows += [("x$y#" * 60 + " 12 34" * 50, "rare"), ("QQ " * 100, "fr"), ("9 8 7 " * 30, "rare"), (None, "rare"), ("", "fr"), (" ".join(long_words * 5), None), ("solo " * 50, "once")]
+    real = spark.read.parquet(f"{SF}/documents.parquet").select("text", "lang").collect()
+    rows += [tuple(x) for x in real]
+    d = spark.createDataFrame([(k, t, g, 5) for k, (t, g) in enumerate(rows)], "doc_id long, text string, lang string, words int")
+    got = {x.doc_id: x for x in rules.quality_rules(d).collect()}
+    odd = 0
+    for k, (word, kind, far) in enumerate(histogram_verdicts(rows)):
+        x = got[k]
+        assert (x.word_distance is None) == (word is None) and (x.class_distance is None) == (kind is None)
+        if word is not None:
+            assert (x.word_distance, x.class_distance) == pytest.approx((word, kind), abs=1e-9)
+        assert x.kept == (not x.base_failed and not far)
+        odd += far and not x.base_failed
+    assert odd >= 1 and got[2].word_distance is not None
+
+
 def test_divergence_equals_numpy(spark):
     d = spark.createDataFrame([([0.5, 0.5, 0.0], [0.25, 0.25, 0.5]), ([1.0, 0.0, 0.0], [0.0, 0.0, 1.0])], "p array<double>, q array<double>")
     got = [r[0] for r in d.select(rules._distance("p", "q")).collect()]
