@@ -22,7 +22,9 @@ from roadloom.llm.common import SPACE
 
 MIN_CHARS, MAX_TRAIN = 16, 20_000
 TREES, DEPTH, SEED = 30, 6, 11
-_KEY = r"[A-Za-z0-9+/_=-]"
+_KEY = r"[A-Za-z0-9+/_-]"
+#: A run of key characters; equals signs belong to it as padding, not between a name and its value.
+_RUN = f"{_KEY}{{{MIN_CHARS},}}+(?:={{1,2}}(?![A-Za-z0-9+/_=-]))?"
 #: Words that occur inside identifiers, file names and placeholders rather than in random keys.
 DICTIONARY = (
     "access account action address admin alert alpha api app array auth base beta block build button cache case change check class client "
@@ -55,8 +57,7 @@ def candidates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     d = d.withColumn("at", long_ones).withColumn("word_at", F.explode_outer("at")).where("word_at IS NOT NULL")
     around = lambda k: F.coalesce(F.expr(f"get(w, word_at + ({k}))"), F.lit(""))
     d = d.withColumn("word", around(0)).withColumn("before", F.concat_ws(" ", around(-3), around(-2), around(-1))).withColumn("after", around(1))
-    run = f"{_KEY}{{{MIN_CHARS},}}"
-    d = d.select("doc_id", "path", "word_at", "before", "after", F.regexp_extract_all("word", F.lit(f"({run})"), 1).alias("runs"), F.split("word", run, -1).alias("gaps"))
+    d = d.select("doc_id", "path", "word_at", "before", "after", F.regexp_extract_all("word", F.lit(f"({_RUN})"), 1).alias("runs"), F.split("word", _RUN, -1).alias("gaps"))
     d = d.select("*", F.posexplode_outer("runs").alias("k", "value")).where("value IS NOT NULL")
     part = lambda a, k: F.coalesce(F.expr(f"get({a}, k + ({k}))"), F.lit(""))
     d = d.withColumn("ahead", F.concat(part("gaps", -1), part("runs", -1), part("gaps", 0))).withColumn("word", F.concat("ahead", "value", part("gaps", 1)))
@@ -149,7 +150,9 @@ def scan(docs: DataFrame, model: list, id_col: str = "doc_id", text_col: str = "
     """``(doc_id, word_at, n_chars, value_sha256, score, is_secret)`` plus ``value``, one row per candidate.
 
     ``word_at`` counts the text's white-space separated parts from 0. Null and empty texts have no rows;
-    repeated rows of documents give their findings again; null ids are kept; a null path is an empty one.
+    repeated rows of documents give their findings again; null ids are kept; a null path is an empty one; an
+    empty table gives an empty result; very long texts and words are taken whole. Columns other than the
+    three named are not read, whatever their names.
     """
     found = features(candidates(docs, id_col, text_col, path_col))
     scored = found.withColumn("score", trees.forest_column(model, [f"s_{f}" for f in FEATURES]))
