@@ -315,6 +315,28 @@ def test_decontamination_of_long_and_crowded_items(spark):
     assert got == {(i, k) for i, _, k in rows if k}
 
 
+def test_decontamination_recall_on_paraphrases(spark):
+    """Words changed, put in or left out; the rank is about half the number of items, which are of one vocabulary."""
+    r = random.Random(8)
+    vocab = [f"w{k}" for k in range(900)]
+    fresh = lambda n: [r.choice(vocab) for _ in range(n)]
+    items = {k: fresh(r.randint(20, 60)) for k in range(240)}
+    rows, want = [], set()
+    for k, ws in items.items():
+        for kind in range(3):
+            said = [y for w in ws for y in (([w] if r.random() > 0.12 else fresh(1)) if kind == 0 else ([w] if r.random() > 0.15 else [w, *fresh(1)]) if kind == 1 else ([w] if r.random() > 0.12 else []))]
+            rows.append((len(rows), " ".join(fresh(r.randint(0, 150)) + said + fresh(r.randint(0, 150)))))
+            if decontamination.lcs(ws, said) >= 0.7 * len(ws):
+                want.add((rows[-1][0], k))
+    rows += [(10000 + k, " ".join(fresh(200))) for k in range(100)] + [(3, rows[3][1])]
+    docs = spark.createDataFrame([(i, t, "x", 1.0) for i, t in rows], "doc_id long, text string, item_id string, cosine double")
+    bench = spark.createDataFrame([(k, " ".join(ws)) for k, ws in items.items()], "item_id long, text string")
+    got = [(x.doc_id, x.item_id) for x in decontamination.contaminated(docs, bench).collect()]
+    assert len(want & set(got)) >= 0.95 * len(want) and len(want) > 600
+    assert not [i for i, _ in got if i >= 10000] and len(got) - len(set(got)) == len([1 for x in got if x[0] == 3]) // 2
+    assert decontamination.contaminated(docs.where("false"), bench).count() == 0
+
+
 def test_lcs():
     r = random.Random(2)
     for _ in range(50):
