@@ -16,7 +16,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from roadloom.llm.common import words
-from roadloom.session import cut
+from roadloom.session import cut, stored
 
 MIN_WORDS, REPEAT_WINDOW, REPEAT_PERCENT = 20, 8, 30
 COMMON_SHARE = 0.004
@@ -62,23 +62,18 @@ def _plain_words() -> F.Column:
 
 
 def _class_counts() -> list[F.Column]:
-    """Characters per class; the commonest class is what is left when all else goes."""
-    count = lambda c, p: F.length(F.regexp_replace("_text", r"[^\p{Ll}]+", "")) if c == "lower" else F.regexp_count("_text", F.lit(p))
-    return [count(c, p).cast("double").alias(c) for c, p in CLASSES.items()]
+    """Characters per class; the commonest class is what is left when all else goes, space is what no word holds."""
+    made = {"lower": F.length(F.regexp_replace("_text", r"[^\p{Ll}]+", "")), "space": F.length("_text") - F.col("word_chars")}
+    return [made.get(c, F.regexp_count("_text", F.lit(p))).cast("double").alias(c) for c, p in CLASSES.items()]
 
 
-def references(docs: DataFrame, text_col: str = "text", lang_col: str = "lang") -> DataFrame:
-    """``(_lang, words, q, classes)``: per language its common words with their shares, the share of all others last, and those of character classes."""
+def common_words(docs: DataFrame, text_col: str = "text", lang_col: str = "lang") -> DataFrame:
+    """``(_lang, words)``: per language, in order, the words that make up at least ``COMMON_SHARE`` of all its words."""
     d = docs.select(F.col(lang_col).cast("string").alias("_lang"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("_text")).where("_lang IS NOT NULL")
-    totals = d.select("_lang", F.size(words(F.col("_text"))).alias("n"), F.length("_text").alias("chars"), *_class_counts())
-    totals = cut(totals.groupBy("_lang").agg(*(F.sum(c).alias(c) for c in ("n", "chars", *CLASSES))).where("n > 0"))
+    totals = cut(d.groupBy("_lang").agg(F.sum(F.size(words(F.col("_text")))).alias("n")).where("n > 0"))
     each = d.select("_lang", F.explode(_plain_words()).alias("w")).where("w <> ''").groupBy("_lang", "w").agg(F.count("*").alias("c"))
-    small = _small(totals.select("_lang", "n"), totals)
-    common = each.join(small, "_lang").where(F.col("c") >= COMMON_SHARE * F.col("n")).groupBy("_lang").agg(F.array_sort(F.collect_list(F.struct("w", (F.col("c") / F.col("n")).alias("q")))).alias("own"))
-    shares = [F.col(c) / F.greatest(F.lit(1), F.col("chars")) for c in CLASSES]
-    rest = lambda a: f"concat({a}, array(greatest(0D, 1D - aggregate({a}, 0D, (x, y) -> x + y))))"
-    known = totals.join(common, "_lang", "left").withColumn("classes", F.array(*shares)).withColumn("own", F.coalesce("own", F.expr("cast(array() AS array<struct<w:string,q:double>>)")))
-    return cut(known.select("_lang", F.col("own.w").alias("words"), F.expr(rest("own.q")).alias("q"), F.expr(rest("classes")).alias("classes")))
+    common = each.join(_small(totals, totals), "_lang").where(F.col("c") >= COMMON_SHARE * F.col("n")).groupBy("_lang").agg(F.array_sort(F.collect_list("w")).alias("words"))
+    return cut(totals.join(common, "_lang", "left").select("_lang", F.coalesce("words", F.expr("cast(array() AS array<string>)")).alias("words")))
 
 
 def _small(df: DataFrame, languages: DataFrame) -> DataFrame:
@@ -92,8 +87,8 @@ def _distance(p: str, q: str) -> F.Column:
     return F.expr(f"sqrt(greatest(0D, aggregate(zip_with({p}, {q}, (p, q) -> 0.5D * ({half('p')} + {half('q')})), 0D, (a, x) -> a + x)))")
 
 
-def judge(docs: DataFrame, known: DataFrame, text_col: str = "text", lang_col: str = "lang", class_limit: float = CLASS_LIMIT, word_limit: float = WORD_LIMIT) -> DataFrame:
-    """``docs`` plus base counts, both distances (null without a reference or words) and ``kept``."""
+def measured(docs: DataFrame, known: DataFrame, text_col: str = "text", lang_col: str = "lang") -> DataFrame:
+    """``docs`` plus base counts, ``_lang``, ``_chars``, ``_kinds`` (characters per class) and ``_seen`` (occurrences of the language's common words)."""
     d = base_counts(docs, text_col).withColumn("_lang", F.col(lang_col).cast("string")).join(_small(known, known), "_lang", "left")
     listed = known.select(F.explode("words").alias("w")).distinct().limit(LITERAL + 1).collect()
     if len(listed) <= LITERAL:
@@ -105,17 +100,32 @@ def judge(docs: DataFrame, known: DataFrame, text_col: str = "text", lang_col: s
     # runs of equal words: where they start, and so how long they are
     d = d.withColumn("_starts", F.expr("filter(sequence(0, greatest(size(_common) - 1, 0)), i -> i < size(_common) AND (i = 0 OR _common[i] <> _common[i - 1]))"))
     d = d.withColumn("_counts", F.expr("map_from_arrays(transform(_starts, i -> _common[i]), transform(_starts, (i, k) -> coalesce(get(_starts, k + 1), size(_common)) - i))"))
-    d = d.withColumn("_seen", F.expr("transform(words, w -> coalesce(_counts[w], 0) / greatest(n_words, 1))"))
-    d = d.withColumn("_p", F.expr("concat(_seen, array(greatest(0D, 1D - aggregate(_seen, 0D, (a, x) -> a + x))))"))
-    d = d.withColumn("_chars", F.greatest(F.length("_text"), F.lit(1)).cast("double"))
-    d = d.withColumn("_shares", F.array(*(c / F.col("_chars") for c in _class_counts())))
-    d = d.withColumn("_c", F.expr("concat(_shares, array(greatest(0D, 1D - aggregate(_shares, 0D, (a, x) -> a + x))))"))
+    d = d.withColumn("_seen", F.expr("transform(words, w -> coalesce(_counts[w], 0))")).withColumn("_chars", F.length("_text")).withColumn("_kinds", F.array(*_class_counts()))
+    return d.drop("words", "_text", "_words", "_plain", "_common", "_starts", "_counts")
+
+
+def judge(rows: DataFrame, class_limit: float = CLASS_LIMIT, word_limit: float = WORD_LIMIT) -> DataFrame:
+    """``measured`` rows with both distances (null without a language or words) and ``kept`` in place of the measurements.
+
+    A language's references are the sums of its documents' measurements.
+    """
+    most = rows.select(F.max(F.size("_seen")).alias("k")).first()[0] or 0
+    sums = rows.where("_lang IS NOT NULL").groupBy("_lang").agg(
+        F.sum("n_words").alias("n"), F.sum("_chars").alias("chars"), F.array(*(F.sum(F.col("_kinds")[k]) for k in range(len(CLASSES)))).alias("kinds"), F.array(*(F.sum(F.get("_seen", F.lit(k))) for k in range(most))).alias("seen")
+    )
+    # a share of all others comes last
+    rest = lambda a: f"concat({a}, array(greatest(0D, 1D - aggregate({a}, 0D, (x, y) -> x + y))))"
+    shares = lambda a, n: F.expr(f"transform(filter({a}, x -> x IS NOT NULL), x -> x / greatest({n}, 1))")
+    sums = sums.where("n > 0").select("_lang", shares("seen", "n").alias("q"), shares("kinds", "chars").alias("classes"))
+    sums = cut(sums.select("_lang", F.expr(rest("q")).alias("q"), F.expr(rest("classes")).alias("classes")))
+    d = rows.join(_small(sums, sums), "_lang", "left").withColumn("_seen", shares("_seen", "n_words")).withColumn("_kinds", shares("_kinds", "_chars"))
+    d = d.withColumn("_p", F.expr(rest("_seen"))).withColumn("_c", F.expr(rest("_kinds")))
     has = F.col("classes").isNotNull() & (F.col("n_words") > 0)
     d = d.withColumn("word_distance", F.when(has, _distance("_p", "q"))).withColumn("class_distance", F.when(has, _distance("_c", "classes")))
-    chance = F.sqrt(F.size("words") / (8 * math.log(2) * F.greatest(F.col("n_words"), F.lit(1))))
+    chance = F.sqrt(F.size("_seen") / (8 * math.log(2) * F.greatest(F.col("n_words"), F.lit(1))))
     odd = (F.col("n_words") >= GUARD_WORDS) & ((F.col("word_distance") > word_limit + chance) | (F.col("class_distance") > class_limit))
     d = d.withColumn("kept", ~F.col("base_failed") & ~F.coalesce(odd, F.lit(False)))
-    return d.drop("_lang", "words", "q", "classes", "_text", "_words", "_plain", "_common", "_starts", "_counts", "_seen", "_p", "_chars", "_shares", "_c")
+    return d.drop("_lang", "q", "classes", "_seen", "_kinds", "_chars", "_p", "_c")
 
 
 def quality_rules(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> DataFrame:
@@ -126,4 +136,5 @@ def quality_rules(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     empty table gives an empty result. Columns other than the three named are not read, whatever their names.
     """
     slim = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).cast("string").alias("text"), F.col(lang_col).cast("string").alias("lang"))
-    return judge(slim, references(slim)).drop("text", "lang")
+    # measured once: what is stored is a few hundred bytes a document
+    return judge(stored(measured(slim, common_words(slim)).drop("text", "lang")))
