@@ -4,9 +4,10 @@ Every window of ``window`` words has a seed: the phrase of ``SEED_WORDS`` words
 Equal windows have equal seeds, so only windows whose seed recurs can repeat.
 
 1. Seeds of all documents are counted by a shuffle of hashes; those that occur twice are confirmed.
-2. Confirmed seeds return to the documents that hold them. Automata are sharded by batches of documents:
-   each batch compiles the phrases its own documents can hold, so an automaton is bounded by its batch
-   whatever the corpus, and streams the batch to locate every occurrence, word for word.
+2. Confirmed seeds return to the documents whose windows have them. Automata are sharded by batches of
+   documents: each batch compiles the phrases that were confirmed for its own documents and streams all its
+   documents past the automaton, which locates every occurrence, word for word. So an automaton is bounded
+   by its batch whatever the corpus, and the corpus is streamed once, not once for each shard of all phrases.
 3. Windows with a located seed are compared by hash over the corpus. A batch sends each distinct window
    once, so a passage that a third of all documents share costs a row per batch, not per document. In one
    sorted stream the first row of a window is its earliest occurrence; later ones are removed.
@@ -30,8 +31,8 @@ from pyspark.sql import types as T
 from roadloom.llm.common import rolled, split_words, tidy
 
 WINDOW, SEED_WORDS = 20, 8
-#: Texts that share an automaton, and letters that spell a word (of 64 each).
-SHARD_DOCS, LETTERS = 2000, 4
+#: Texts that share an automaton.
+SHARD_DOCS = 2000
 NO_ID = -(1 << 63)
 
 
@@ -71,22 +72,30 @@ class Batch:
     def window_hashes(self, which: np.ndarray) -> np.ndarray:
         return rolled(self.hashes, self.window)[self.at[which]]
 
-    def _stream(self, bounds: np.ndarray, known: np.ndarray, hit: np.ndarray) -> None:
-        """Marks in ``hit`` the places of the known phrases in the texts between ``bounds``."""
+    def _phrases_of(self, lo: int, hi: int, known: np.ndarray) -> np.ndarray:
+        """A place in texts ``lo`` to ``hi`` of each of their own seeds that is known: what an automaton is compiled from."""
+        windows = np.flatnonzero((self.doc >= lo) & (self.doc < hi)) if hi - lo < len(self.offsets) - 1 else np.arange(len(self.doc))
+        seeds, first = np.unique(self.seed[windows], return_index=True)
+        first = windows[first[np.isin(seeds, known, assume_unique=True)]]
+        inside = self.at[first][:, None] + np.arange(self.window - SEED_WORDS + 1)
+        return inside[np.arange(len(first)), np.argmax(self.phrases[inside] == self.seed[first][:, None], axis=1)]
+
+    def _stream(self, lo: int, hi: int, known: np.ndarray, hit: np.ndarray) -> None:
+        """Marks in ``hit`` every place in texts ``lo`` to ``hi`` at which their automaton finds a phrase."""
+        bounds = self.offsets[lo : hi + 1]
         a, b = int(bounds[0]), int(bounds[-1])
-        inside = self.phrases[a : max(a, b - SEED_WORDS + 1)]
-        place = a + np.flatnonzero(np.isin(inside, known))
+        place = self._phrases_of(lo, hi, known)
         if not len(place):
             return
-        place = place[np.unique(self.phrases[place], return_index=True)[1]]
-        # a word is LETTERS letters, each place in it with an alphabet of its own: nodes stay narrow and matches aligned
-        codes = np.unique(self.codes[a:b], return_inverse=True)[1].astype(np.uint32)
-        letters = np.empty((b - a, LETTERS), np.uint32)
-        for k in range(LETTERS):
-            letters[:, k] = 0x100 + 64 * k + (codes >> np.uint32(6 * k) & np.uint32(63))
+        # a word is a few letters of 64 each, each place in it with an alphabet of its own: nodes stay narrow and matches aligned
+        names, codes = np.unique(self.codes[a:b], return_inverse=True)
+        many = max(1, -(-int(len(names) - 1).bit_length() // 6))
+        letters = np.empty((b - a, many), np.uint32)
+        for k in range(many):
+            letters[:, k] = 0x100 + 64 * k + (codes >> 6 * k & 63).astype(np.uint32)
         text = letters.astype("<u4").tobytes()
         automaton = ahocorasick.Automaton(ahocorasick.STORE_INTS)
-        size, word = 4 * LETTERS, LETTERS * SEED_WORDS
+        size, word = 4 * many, many * SEED_WORDS
         for p in (place - a).tolist():
             automaton.add_word(text[p * size : (p + SEED_WORDS) * size].decode("utf-32-le"), 1)
         automaton.make_automaton()
@@ -94,7 +103,7 @@ class Batch:
             if y - x >= self.window:
                 ends = [e for e, _ in automaton.iter(text[(x - a) * size : (y - a) * size].decode("utf-32-le"))]
                 if ends:
-                    hit[(np.array(ends) - word + 1) // LETTERS + x] = True
+                    hit[(np.array(ends) - word + 1) // many + x] = True
 
     def located(self, known: np.ndarray) -> np.ndarray:
         """Windows whose seed is one of ``known`` (hashes), found by an automaton of those phrases' words."""
@@ -102,8 +111,7 @@ class Batch:
             return np.zeros(0, np.int64)
         hit = np.zeros(len(self.phrases), bool)
         for lo in range(0, len(self.offsets) - 1, SHARD_DOCS):
-            bounds = self.offsets[lo : lo + SHARD_DOCS + 1]
-            self._stream(bounds, known, hit)
+            self._stream(lo, min(lo + SHARD_DOCS, len(self.offsets) - 1), known, hit)
         least = _least(np.where(hit, self.phrases, np.uint64((1 << 64) - 1)), self.window - SEED_WORDS + 1)
         return np.flatnonzero(least[self.at] == self.seed)
 
@@ -254,8 +262,8 @@ def drop_repeated(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
 
     A word goes if a window of ``window`` words that covers it also starts earlier: in a document of smaller
     id, or earlier in the same one. Kept words are joined by one space. Null and empty texts become empty
-    texts of no words. Rows that repeat an id and a text are one document (no copy removes the other); a
-    null id is smaller than any other. Columns named ``n_words`` or ``n_removed`` are replaced. An empty
+    texts of no words; very long texts are taken whole. Rows that repeat an id and a text are one document (no
+    copy removes the other); a null id is smaller than any other. Columns named ``n_words`` or ``n_removed`` are replaced. An empty
     table gives an empty result.
     """
     if window < SEED_WORDS:
