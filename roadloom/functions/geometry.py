@@ -205,8 +205,8 @@ def to_wkt(line: str, digits: int = 6) -> Column:
 
 
 def parse_numbers(text) -> Column:
-    """Numbers of a list literal, single quotes allowed; anything else gives an empty list."""
-    return F.coalesce(F.from_json(F.translate(_c(text), "'", '"'), "array<double>"), F.array().cast("array<double>"))
+    """Numbers of a list literal, quotes of either kind allowed; anything else gives an empty list."""
+    return F.coalesce(F.from_json(F.translate(_c(text), "'\"", ""), "array<double>"), F.array().cast("array<double>"))
 
 
 def flag(text) -> Column:

@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-from functools import reduce
-
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -14,7 +12,7 @@ from roadloom.operators.windows import by_trace
 def labelled(pts: DataFrame, cell: float = 30.0) -> DataFrame:
     """``pts`` plus ``node``: the grid cell a point rounds to (half to even, so that both engines agree)."""
     part = lambda c: F.bround(F.col(c) / cell).cast("long")
-    return pts.withColumn("node", part("x") * 100000 + part("y"))
+    return pts.withColumn("node", part("x") * F.lit(1 << 32) + part("y"))
 
 
 def transitions(pts: DataFrame, most: float = 50.0) -> DataFrame:
@@ -24,6 +22,16 @@ def transitions(pts: DataFrame, most: float = 50.0) -> DataFrame:
     return d.withColumn("v", F.col("node")).withColumn("heading", g.bearing("px", "py", "x", "y"))
 
 
+#: Sums of points that have a weight or a day: the weight of the second point counts, and the speeds of probes.
+_MORE = {
+    "weight": "sum(weight) AS weighted_support",
+    "day": "count(DISTINCT day) AS days",
+    "source": "count(speed) FILTER (WHERE source = 'HPD') AS speed_count",
+    "speed": "avg(speed) FILTER (WHERE source = 'HPD') AS speed_mean",
+    "step": "var_pop(speed) FILTER (WHERE source = 'HPD') AS speed_var",
+}
+
+
 def edges(moves: DataFrame) -> DataFrame:
     """One row per directed edge with support, length, sources and direction statistics."""
     r = F.radians("heading")
@@ -37,13 +45,15 @@ def edges(moves: DataFrame) -> DataFrame:
         F.hypot(F.avg(F.sin(r)), F.avg(F.cos(r))).alias("heading_consistency"),
         F.count_distinct("trace_id").alias("traces"),
         F.count_distinct("hour").alias("hours"),
+        *(F.expr(made) for name, made in _MORE.items() if name in moves.columns),
     )
 
 
 def nodes(pts: DataFrame) -> DataFrame:
-    """One row per node: speed-weighted centre, mean altitude and number of points."""
+    """One row per node: speed-weighted centre, mean altitude, number of points and, for points with a heading, its weighted circular mean."""
     w = F.col("speed")
-    return pts.groupBy("node").agg((F.sum(F.col("x") * w) / F.sum(w)).alias("x"), (F.sum(F.col("y") * w) / F.sum(w)).alias("y"), F.avg("altitude").alias("altitude"), F.sum(w).alias("weight"), F.count("*").alias("point_count"))
+    heading = [g.circular_mean("heading", "speed").alias("heading")] if "heading" in pts.columns else []
+    return pts.groupBy("node").agg((F.sum(F.col("x") * w) / F.sum(w)).alias("x"), (F.sum(F.col("y") * w) / F.sum(w)).alias("y"), F.avg("altitude").alias("altitude"), F.sum(w).alias("weight"), F.count("*").alias("point_count"), *heading)
 
 
 def degrees(e: DataFrame) -> DataFrame:
@@ -82,28 +92,9 @@ def prune_transitive(e: DataFrame, ratio: float = 1.2, hops: int = 4, weak: int
     return e.join(found.distinct(), ["u", "v"], "left_anti")
 
 
-def road_likeness(e: DataFrame) -> DataFrame:
-    """``e`` plus degree-based connectivity, repeatability, likeness and the support that probes are worth."""
-    d = degrees(e)
-    both = e.join(d.withColumnsRenamed({"node": "u", "degree": "du"}), "u").join(d.withColumnsRenamed({"node": "v", "degree": "dv"}), "v")
-    density = F.lit(1.0) - F.exp(-F.col("support") / 5.0)
-    connectivity = 1 / (1 + F.abs((F.col("du") + F.col("dv")) / 2.0 - 2.0))
-    repeat = F.col("hours") / 24.0
-    likeness = 0.35 * density + 0.25 * connectivity + 0.2 * repeat + 0.2 * F.col("heading_consistency")
-    both = both.withColumn("likeness", likeness).withColumn("probe_weight", g.sigmoid((F.col("likeness") - 0.5) * 8))
-    return both.withColumn("effective_support", F.col("vpd_support") + F.col("hpd_support") * F.col("probe_weight"))
-
-
-def trace_weights(pts: DataFrame) -> DataFrame:
-    """Weight of every trace from its length, density and direction agreement, within [0.1, 3]."""
-    moves = pts.withColumns({"px": F.lag("x").over(by_trace()), "py": F.lag("y").over(by_trace())}).withColumn("h", F.radians(g.bearing("px", "py", "x", "y"))).withColumn("d", g.distance("px", "py", "x", "y"))
-    t = moves.groupBy("trace_id").agg(F.sum("d").alias("length"), F.count("*").alias("n"), F.hypot(F.avg(F.sin("h")), F.avg(F.cos("h"))).alias("r"))
-    w = g.sigmoid((F.col("length") - 300) / 100.0) + 0.5 * F.least(F.lit(1.0), F.col("n") / F.greatest(F.col("length"), F.lit(1.0)) * 10) + 0.5 * F.col("r")
-    return t.withColumn("weight", F.greatest(F.lit(0.1), F.least(F.lit(3.0), w)))
-
-
 def weighted_median(df: DataFrame, key: str, value: str, weight: str) -> DataFrame:
-    """``(key, median)``: the first value at which half of the weight is reached."""
+    """``(key, median)``: the first value at which half of the weight is reached. Equal values are added up first."""
+    df = df.groupBy(key, value).agg(F.sum(weight).alias(weight))
     w = Window.partitionBy(key)
     d = df.withColumn("_c", F.sum(weight).over(w.orderBy(value).rangeBetween(Window.unboundedPreceding, 0))).withColumn("_t", F.sum(weight).over(w))
     return d.where(F.col("_c") >= F.col("_t") / 2).groupBy(key).agg(F.min(value).alias("median"))
@@ -115,8 +106,9 @@ def raster(pts: DataFrame, pixel: float = 10.0) -> DataFrame:
     return pts.groupBy(F.floor(F.col("y") / pixel).alias("row"), F.floor(F.col("x") / pixel).alias("col")).agg(F.sum(w).alias("w"), F.count("*").alias("n"))
 
 
-def chains(e: DataFrame) -> DataFrame:
-    """Undirected edges and whether both of their ends are plain vertices of degree 2, so that they can be stitched."""
-    u = e.select(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v")).distinct()
-    d = degrees(u)
-    return reduce(lambda a, c: a.join(d.withColumnsRenamed({"node": c, "degree": f"d{c}"}), c), ("u", "v"), u).withColumn("inner", (F.col("du") == 2) & (F.col("dv") == 2))
+def complementarity(pts: DataFrame, cell: float) -> DataFrame:
+    """``(kind, cells)``: cells that both sources, one of them or, within the box of all, neither reaches."""
+    c = pts.groupBy(F.floor(F.col("x") / cell).alias("cx"), F.floor(F.col("y") / cell).alias("cy")).agg(F.bool_or(F.col("source") == "VPD").alias("v"), F.bool_or(F.col("source") == "HPD").alias("h"))
+    seen = c.groupBy(F.when(F.col("v") & F.col("h"), "both").when(F.col("v"), "vpd_only").otherwise("hpd_only").alias("kind")).agg(F.count("*").alias("cells"))
+    none = c.agg(F.lit("neither").alias("kind"), ((F.max("cx") - F.min("cx") + 1) * (F.max("cy") - F.min("cy") + 1) - F.count("*")).alias("cells"))
+    return seen.unionByName(none)

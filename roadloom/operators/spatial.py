@@ -6,7 +6,7 @@ which Spark can shuffle, broadcast or split when a cell is crowded. No cross joi
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from roadloom.session import cut
@@ -22,11 +22,31 @@ def _around(df: DataFrame) -> DataFrame:
     return df
 
 
-def within(left: DataFrame, right: DataFrame, r: float) -> DataFrame:
-    """``(a, b, dist)``: ids of ``left`` and ``right`` (columns ``id, x, y``) at most ``r`` apart."""
+def within(left: DataFrame, right: DataFrame, r: float, keep: tuple[str, ...] = ()) -> DataFrame:
+    """``(a, b, dist)``: ids of ``left`` and ``right`` (columns ``id, x, y``) at most ``r`` apart; with ``keep`` also the right place and those right columns."""
     a = _around(left.select(F.col("id").alias("a"), F.col("x").alias("ax"), F.col("y").alias("ay"), *_cell(r)))
-    b = right.select(F.col("id").alias("b"), F.col("x").alias("bx"), F.col("y").alias("by"), *_cell(r))
-    return a.join(b, ["cx", "cy"]).select("a", "b", F.hypot(F.col("ax") - F.col("bx"), F.col("ay") - F.col("by")).alias("dist")).where(F.col("dist") <= r)
+    b = right.select(F.col("id").alias("b"), F.col("x").alias("bx"), F.col("y").alias("by"), *keep, *_cell(r))
+    more = ("bx", "by", *keep) if keep else ()
+    return a.join(b, ["cx", "cy"]).select("a", "b", F.hypot(F.col("ax") - F.col("bx"), F.col("ay") - F.col("by")).alias("dist"), *more).where(F.col("dist") <= r)
+
+
+def nearest_any(left: DataFrame, right: DataFrame, r: float, rounds: int = 24) -> DataFrame:
+    """For each left id its nearest right id however far: the radius doubles for those still without one.
+
+    A round joins only the rest, so few rows see large cells. Stops when none is left; raises after ``rounds`` doublings.
+    """
+    rest, out = cut(left.select("id", "x", "y").where("x IS NOT NULL AND y IS NOT NULL")), None
+    if right.isEmpty():
+        return nearest(rest.where("false"), right, r)
+    for _ in range(rounds):
+        if rest.isEmpty():
+            break
+        hit = cut(nearest(rest, right, r))
+        out = hit if out is None else out.unionByName(hit)
+        rest, r = cut(rest.join(hit.select(F.col("a").alias("id")), "id", "left_anti")), 2 * r
+    else:
+        raise RuntimeError(f"points without a neighbour within {r}")
+    return out if out is not None else nearest(rest, right, r)
 
 
 def pairs(pts: DataFrame, r: float) -> DataFrame:
@@ -40,51 +60,47 @@ def nearest(left: DataFrame, right: DataFrame, r: float) -> DataFrame:
 
 
 def covered(left: DataFrame, right: DataFrame, r: float, yes: bool = True) -> DataFrame:
-    """Left rows with (or without) a right point within ``r``."""
-    return left.join(within(left, right, r).select(F.col("a").alias("id")).distinct(), "id", "left_semi" if yes else "left_anti")
+    """Left rows with (or without) a right point within ``r``: a semi (anti) join on cells, which makes no pairs."""
+    a = left.select("*", *_cell(r))
+    b = _around(right.select(F.col("x").alias("bx"), F.col("y").alias("by"), *_cell(r)))
+    near = (a.cx == b.cx) & (a.cy == b.cy) & (F.hypot(a.x - b.bx, a.y - b.by) <= r)
+    return a.join(b, near, "left_semi" if yes else "left_anti").drop("cx", "cy")
 
 
-def match_one_to_one(left: DataFrame, right: DataFrame, r: float) -> DataFrame:
-    """Greedy one-to-one matching by ascending distance, as rounds of mutual best pairs.
+def one_to_one(pairs: DataFrame, same: bool = False) -> DataFrame:
+    """Pairs (``a, b, dist``) taken in the order of distance, a, b while both ends are free, as rounds of mutual best pairs.
 
-    Equals the greedy order (distance, a, b): a pair that is best for both its ends precedes all others of them.
-    Rounds go on until no pair is open; the first of the open pairs is always taken, so each round settles one or more.
+    With ``same`` both ends are of one set. Equals the greedy order: a pair that is best for both its ends precedes all
+    others of them. Rounds go on until no pair is open; the first of the open pairs is always taken, so each settles some.
     """
-    open_, out = cut(within(left, right, r).where("a IS NOT NULL AND b IS NOT NULL")), None
+    open_, out = cut(pairs.where("a IS NOT NULL AND b IS NOT NULL")), None
     while not open_.isEmpty():
         key = F.struct("dist", "a", "b")
-        best_a = F.min(key).over(Window.partitionBy("a"))
-        best_b = F.min(key).over(Window.partitionBy("b"))
-        taken = cut(open_.withColumn("ka", best_a).withColumn("kb", best_b).where((F.col("ka") == key) & (F.col("kb") == key)).select("a", "b", "dist"))
+        if same:
+            ends = open_.select(F.explode(F.array("a", "b")).alias("n"), key.alias("k")).groupBy("n").agg(F.min("k").alias("best"))
+            best = open_.join(ends.withColumnsRenamed({"n": "a", "best": "ka"}), "a").join(ends.withColumnsRenamed({"n": "b", "best": "kb"}), "b")
+        else:
+            best = open_.join(open_.groupBy("a").agg(F.min(key).alias("ka")), "a").join(open_.groupBy("b").agg(F.min(key).alias("kb")), "b")
+        taken = cut(best.where((F.col("ka") == key) & (F.col("kb") == key)).select("a", "b", "dist"))
         if taken.isEmpty():
             raise RuntimeError("open pairs of which none is the best of its ends")
         out = taken if out is None else out.unionByName(taken)
-        open_ = cut(open_.join(taken.select("a"), "a", "left_anti").join(taken.select("b"), "b", "left_anti"))
+        used = taken.select(F.explode(F.array("a", "b")).alias("n")) if same else None
+        gone = lambda c: (used if same else taken.select(F.col(c).alias("n"))).withColumnRenamed("n", c)  # noqa: B023, E731
+        open_ = cut(open_.join(gone("a"), "a", "left_anti").join(gone("b"), "b", "left_anti"))
     return out if out is not None else open_
 
 
-def segment_candidates(segments: DataFrame, r: float) -> DataFrame:
-    """Pairs of segments (``id, x1, y1, x2, y2``) whose boxes grown by ``r`` share a cell; a superset of those within ``r``."""
-    size = F.lit(4.0 * r)
-    grown = lambda lo, hi, d: F.sequence(F.floor((F.least(lo, hi) - d) / size), F.floor((F.greatest(lo, hi) + d) / size))
-    cells = lambda d: segments.select("*", F.explode(grown(F.col("x1"), F.col("x2"), d)).alias("cx")).select("*", F.explode(grown(F.col("y1"), F.col("y2"), d)).alias("cy"))
-    a = cells(F.lit(r)).select(*(F.col(c).alias(f"a_{c}") for c in segments.columns), "cx", "cy")
-    b = cells(F.lit(0.0)).select(*(F.col(c).alias(f"b_{c}") for c in segments.columns), "cx", "cy")
-    return a.join(b, ["cx", "cy"]).where("a_id < b_id").drop("cx", "cy").dropDuplicates([p + c for p in ("a_", "b_") for c in ("id", "seq") if c in segments.columns])
-
-
-def crossings(segments: DataFrame) -> DataFrame:
-    """``(a, b, x, y)``: proper crossings of two segments."""
-    c = segment_candidates(segments, 1.0)
-    side = lambda p, q, s: (F.col(f"{q}_x2") - F.col(f"{q}_x1")) * (F.col(f"{p}_y{s}") - F.col(f"{q}_y1")) - (F.col(f"{q}_y2") - F.col(f"{q}_y1")) * (F.col(f"{p}_x{s}") - F.col(f"{q}_x1"))
-    c = c.withColumns({"a1": side("a", "b", 1), "a2": side("a", "b", 2), "b1": side("b", "a", 1), "b2": side("b", "a", 2)})
-    c = c.where("a1 * a2 < 0 AND b1 * b2 < 0").withColumn("t", F.col("a1") / (F.col("a1") - F.col("a2")))
-    return c.select(F.col("a_id").alias("a"), F.col("b_id").alias("b"), (F.col("a_x1") + F.col("t") * (F.col("a_x2") - F.col("a_x1"))).alias("x"), (F.col("a_y1") + F.col("t") * (F.col("a_y2") - F.col("a_y1"))).alias("y"))
+def match_one_to_one(left: DataFrame, right: DataFrame, r: float) -> DataFrame:
+    """Greedy one-to-one matching of two point tables by ascending distance."""
+    return one_to_one(within(left, right, r))
 
 
 def meeting_points(segments: DataFrame) -> DataFrame:
     """``(a, b, x, y)``: where segments (``cleaning.segments``) of two lines meet, shared vertices included, ends of lines not."""
-    c = segment_candidates(segments, 1.0)
+    from roadloom.operators.overlay import near_segments
+
+    c = near_segments(segments, segments, 0.0).where("a_id < b_id")
     c = c.withColumns({f"{p}d{k}": F.col(f"{p}_{k}2") - F.col(f"{p}_{k}1") for p in "ab" for k in "xy"}).withColumns({"ox": F.col("b_x1") - F.col("a_x1"), "oy": F.col("b_y1") - F.col("a_y1")})
     c = c.withColumn("den", F.expr("adx * bdy - ady * bdx")).where("den <> 0").withColumns({"t": F.expr("(ox * bdy - oy * bdx) / den"), "u": F.expr("(ox * ady - oy * adx) / den")})
     c = c.where("t BETWEEN 0 AND 1 AND u BETWEEN 0 AND 1 AND NOT (a_first AND t = 0 OR a_last AND t = 1 OR b_first AND u = 0 OR b_last AND u = 1)")

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from roadloom.functions import geometry as g
+from roadloom.operators import lines as ln
 
 
 def by_trace():
@@ -35,40 +36,24 @@ def forward_headings(pts: DataFrame) -> DataFrame:
     return d.withColumn("heading", F.coalesce("h", F.lag("h").over(by_trace()))).drop("nx", "ny", "h")
 
 
-def sessions(pts: DataFrame, max_step: float, max_seconds: float | None = None) -> DataFrame:
-    """``session`` counts the gaps in space or time so far within the trace."""
-    gap = F.coalesce(F.col("step") > max_step, F.lit(False))
-    d = steps(pts)
-    if max_seconds is not None:
-        gap = gap | F.coalesce(F.col("second") - F.lag("second").over(by_trace()) > max_seconds, F.lit(False))
-    return d.withColumn("session", F.sum(gap.cast("long")).over(by_trace().rowsBetween(Window.unboundedPreceding, 0)))
+def trace_arrays(pts: DataFrame, *columns: str) -> DataFrame:
+    """``(trace_id, line, <columns>)``: points of a trace in order as one row, other columns as arrays."""
+    p = F.array_sort(F.collect_list(F.struct("pos", "x", "y", *columns)))
+    d = pts.groupBy("trace_id").agg(p.alias("p"))
+    return d.select("trace_id", F.expr("transform(p, q -> named_struct('x', q.x, 'y', q.y))").alias("line"), *(F.col(f"p.{c}").alias(c) for c in columns))
 
 
-def _fold(line: str, init: str, step: str, finish: str) -> F.Column:
-    return F.expr(f"aggregate({line}, {init}, (a, p) -> {step}, a -> {finish})")
+def sessions(traces: DataFrame, max_step: float, max_seconds: float | None = None) -> DataFrame:
+    """``(trace_id, session, first_pos, n)``: traces (``line`` and, with ``max_seconds``, ``second``) cut at gaps in space or time, but
+    only where the part so far has two points or more."""
 
+    def kernel(xy, *second):
+        starts = ln.gap_starts(xy, second[0] if second else None, max_step, max_seconds)
+        for k, part in enumerate(ln.parts_between(len(xy), starts, False)):
+            yield k, part.start, part.stop - part.start
 
-def without_repeats(line: str, least: float = 0.05) -> F.Column:
-    """Points at least ``least`` from the last point kept."""
-    far = f"size(a) = 0 OR hypot(p.x - element_at(a, -1).x, p.y - element_at(a, -1).y) >= {float(least)}D"
-    return _fold(line, f"cast(array() AS {g.POINTS})", f"CASE WHEN {far} THEN concat(a, array(p)) ELSE a END", "a")
-
-
-def without_spikes(line: str, degrees: float = 150.0, edge: float = 60.0) -> F.Column:
-    """Drops inner points that turn by at least ``degrees`` next to an edge of at most ``edge``, judged against kept points."""
-    # state: kept points; the newest is provisional until its successor is known
-    last, before = "element_at(a, -1)", "element_at(a, -2)"
-    turn = f"abs(pmod(degrees(atan2(p.x - {last}.x, p.y - {last}.y)) - degrees(atan2({last}.x - {before}.x, {last}.y - {before}.y)) + 180D, 360D) - 180D)"
-    short = f"least(hypot({last}.x - {before}.x, {last}.y - {before}.y), hypot(p.x - {last}.x, p.y - {last}.y)) <= {float(edge)}D"
-    spike = f"size(a) >= 2 AND {turn} >= {float(degrees)}D AND {short}"
-    return _fold(line, f"cast(array() AS {g.POINTS})", f"CASE WHEN {spike} THEN concat(slice(a, 1, size(a) - 1), array(p)) ELSE concat(a, array(p)) END", "a")
-
-
-def split_by_turns(line: str, degrees: float = 95.0) -> F.Column:
-    """Parts of a line between sharp turns; the vertex of a turn belongs to both parts."""
-    at = f"filter(sequence(1, size({line}) - 2), i -> {g.turn_at(line)} >= {float(degrees)}D)"
-    cuts = f"concat(array(0), CASE WHEN size({line}) > 2 THEN {at} ELSE cast(array() AS array<int>) END, array(size({line}) - 1))"
-    return F.expr(f"CASE WHEN size({line}) < 2 THEN array({line}) ELSE transform(sequence(0, size({cuts}) - 2), k -> slice({line}, {cuts}[k] + 1, {cuts}[k + 1] - {cuts}[k] + 1)) END")
+    timed = ("second",) if max_seconds is not None else ()
+    return ln.per_line(traces.select("trace_id", "line", *timed), kernel, "session long, first_pos long, n long", also=timed, drop=timed)
 
 
 def sliding(pts: DataFrame, size: int, step: int) -> DataFrame:
@@ -79,21 +64,35 @@ def sliding(pts: DataFrame, size: int, step: int) -> DataFrame:
     return d.select("trace_id", F.col("win").cast("long"), F.col("first_pos").cast("long"), (F.col("first_pos") + size - 1).cast("long").alias("last_pos"))
 
 
-def chunks(pts: DataFrame, length: float) -> DataFrame:
-    """Points with the number of the ``length``-long chunk of their trace they lie in."""
-    return cumulative(pts).withColumn("chunk", F.floor(F.col("along") / length).cast("long"))
+def chunks(traces: DataFrame, length: float) -> DataFrame:
+    """``(trace_id, chunk, line)``: whole segments up to the one that reaches ``length``; the rest of a trace is its last chunk."""
+    return ln.per_line(traces.select("trace_id", "line"), lambda xy: enumerate(ln.chunk_by_length(xy, length)), f"chunk int, line {ln.LINE}")
 
 
 def substrings(lines: DataFrame, most: float) -> DataFrame:
-    """``(trace_id, part, line)``: equal parts of at most ``most``, by arc length."""
-    d = lines.withColumn("cum", g.cumulative("line")).withColumn("parts", F.expr(f"cast(greatest(1D, ceil(element_at(cum, -1) / {float(most)}D)) AS int)"))
-    d = d.withColumn("ends", g.resample("line", "cum", "(parts + 1)"))
-    return d.select("trace_id", F.posexplode(F.expr("transform(sequence(0, parts - 1), k -> array(ends[k], ends[k + 1]))")).alias("part", "line"))
-
-
-def preprocess(lines: DataFrame, step: float = 8.0, turn: float = 95.0, least: float = 15.0) -> DataFrame:
-    """``(trace_id, segment_part, line)``: repeats and spikes out, split at sharp turns, resampled, short parts dropped."""
-    d = lines.withColumn("line", without_repeats("line")).withColumn("line", without_spikes("line"))
-    d = d.select("trace_id", F.posexplode(split_by_turns("line", turn)).alias("segment_part", "line")).where(g.line_length("line") >= least)
-    d = d.withColumn("cum", g.cumulative("line"))
-    return d.select("trace_id", "segment_part", g.densify("line", "cum", step).alias("line"))
+    """``(trace_id, part, line)``: equal parts of at most ``most``, by arc length, with the line's inner vertices."""
+    return ln.per_line(lines.select("trace_id", "line"), lambda xy: enumerate(ln.cut_evenly(xy, most)), f"part int, line {ln.LINE}")
+
+
+def turn_parts(lines: DataFrame, degrees: float = 95.0, progress: float = 0.0) -> DataFrame:
+    """``(trace_id, part, line)``: cut at sharp turns, whose vertex both parts share, once a part has come ``progress``."""
+    kernel = lambda xy: ((k, xy[s]) for k, s in enumerate(ln.parts_between(len(xy), ln.turn_starts(xy, degrees, progress), True)))
+    return ln.per_line(lines.select("trace_id", "line"), kernel, f"part int, line {ln.LINE}")
+
+
+def windows_by_distance(lines: DataFrame, spacing: float = 5.0, length: float = 65.0, step: float = 18.0) -> DataFrame:
+    """``(trace_id, win, line)``: windows of about ``length`` every ``step`` along evenly resampled traces, and a last one at the end."""
+    from roadloom.operators.clustering import subtrajectories
+
+    d = subtrajectories(lines.withColumnRenamed("trace_id", "id"), length, step, spacing)
+    return d.select(F.col("id").alias("trace_id"), "win", "line")
+
+
+#: Step, turn, shortest part, gap and tolerance of simplification by source.
+PRESETS = {"VPD": (8.0, 95.0, 15.0, 60.0, 1.0), "HPD": (10.0, 110.0, 20.0, 120.0, 2.0)}
+
+
+def preprocess(lines: DataFrame, source: str = "VPD") -> DataFrame:
+    """``(trace_id, segment_part, line)``: repeats and spikes out, cut at gaps and sharp turns, resampled, simplified, resampled; short parts dropped."""
+    step, turn, least, gap, tolerance = PRESETS[source]
+    return ln.per_line(lines.select("trace_id", "line"), lambda xy: enumerate(ln.preprocessed(xy, step, turn, least, gap, tolerance)), f"segment_part int, line {ln.LINE}")

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from roadloom.functions import geometry as g
-from roadloom.operators import cleaning, evaluation, kernels, network, spatial, windows
+from roadloom.operators import cleaning, evaluation, kernels, network, scoring, spatial, windows
 from roadloom.sources import traces
 from roadloom.sources.traces import POINTS_SQL
 
@@ -37,7 +37,7 @@ _STEP = """st AS (SELECT *, sqrt((x - px) * (x - px) + (y - py) * (y - py)) AS s
   (SELECT *, lag(x) OVER w AS px, lag(y) OVER w AS py FROM pts WINDOW w AS (PARTITION BY trace_id ORDER BY pos)))"""
 _MOD = lambda a, b: f"(({a}) - ({b}) * floor(({a}) / ({b})))"
 _BEARING = lambda dx, dy: _MOD(f"degrees(atan2({dx}, {dy})) + 360", "CAST(360 AS DOUBLE)")
-_NODE = "nd AS (SELECT *, CAST(round_even(x / 30, 0) AS BIGINT) * 100000 + CAST(round_even(y / 30, 0) AS BIGINT) AS node FROM pts)"
+_NODE = "nd AS (SELECT *, CAST(round_even(x / 30, 0) AS BIGINT) * 4294967296 + CAST(round_even(y / 30, 0) AS BIGINT) AS node FROM pts)"
 _MOVES = f"""{_NODE}, mv AS (SELECT *, node AS v, {_BEARING("x - px", "y - py")} AS heading FROM
   (SELECT *, sqrt((x - px) * (x - px) + (y - py) * (y - py)) AS step FROM (SELECT *, lag(node) OVER w AS u, lag(x) OVER w AS px, lag(y) OVER w AS py FROM nd WINDOW w AS (PARTITION BY trace_id ORDER BY pos)))
   WHERE u <> node AND step > 0 AND step <= 50)"""
@@ -84,12 +84,13 @@ def central_headings(p: DataFrame) -> DataFrame:
 
 @query(
     "gap_sessions",
-    f"""{_STEP}, s AS (SELECT trace_id, pos, sum(CASE WHEN step > 14 OR second - lag_s > 100000 THEN 1 ELSE 0 END) OVER (PARTITION BY trace_id ORDER BY pos) AS session
-  FROM (SELECT *, lag(second) OVER (PARTITION BY trace_id ORDER BY pos) AS lag_s FROM st))
-SELECT trace_id, CAST(session AS BIGINT) AS session, min(pos) AS first_pos, count(*) AS n FROM s GROUP BY ALL""",
+    f"""{_STEP}, fo AS (SELECT trace_id, pos, CAST(0 AS BIGINT) AS session, CAST(0 AS BIGINT) AS first_pos, second FROM st WHERE pos = 0
+  UNION ALL SELECT s.trace_id, s.pos, f.session + CASE WHEN (s.step > 14 OR s.second - f.second > 100000) AND s.pos - f.first_pos >= 2 THEN 1 ELSE 0 END,
+    CASE WHEN (s.step > 14 OR s.second - f.second > 100000) AND s.pos - f.first_pos >= 2 THEN s.pos ELSE f.first_pos END, s.second FROM fo f JOIN st s ON s.trace_id = f.trace_id AND s.pos = f.pos + 1)
+SELECT trace_id, session, first_pos, count(*) AS n FROM fo GROUP BY ALL""",
 )
 def gap_sessions(p: DataFrame) -> DataFrame:
-    return windows.sessions(p, 14.0, 100000).groupBy("trace_id", "session").agg(F.min("pos").alias("first_pos"), F.count("*").alias("n"))
+    return windows.sessions(windows.trace_arrays(p, "second"), 14.0, 100000)
 
 
 @query(
@@ -102,9 +103,14 @@ def sliding_windows(p: DataFrame) -> DataFrame:
     return windows.sliding(p, 8, 3)
 
 
-@query("chunks_by_length", f"{_STEP}, c AS (SELECT *, CAST(floor(sum(coalesce(step, 0)) OVER (PARTITION BY trace_id ORDER BY pos) / 20) AS BIGINT) AS chunk FROM st) SELECT trace_id, chunk, count(*) AS n, round(avg(x), 6) AS x, round(avg(y), 6) AS y FROM c GROUP BY ALL")
+@query(
+    "chunks_by_length",
+    f"""{_STEP}, fo AS (SELECT trace_id, pos, CAST(0 AS BIGINT) AS chunk, step AS far, step FROM st WHERE pos = 1
+  UNION ALL SELECT s.trace_id, s.pos, f.chunk + CASE WHEN f.far >= 20 THEN 1 ELSE 0 END, CASE WHEN f.far >= 20 THEN s.step ELSE f.far + s.step END, s.step FROM fo f JOIN st s ON s.trace_id = f.trace_id AND s.pos = f.pos + 1)
+SELECT trace_id, chunk, count(*) + 1 AS points, round(sum(step), 6) AS length FROM fo GROUP BY ALL""",
+)
 def chunks_by_length(p: DataFrame) -> DataFrame:
-    return windows.chunks(p, 20.0).groupBy("trace_id", "chunk").agg(F.count("*").alias("n"), r6(F.avg("x"), "x"), r6(F.avg("y"), "y"))
+    return windows.chunks(traces.lines(p), 20.0).select("trace_id", F.col("chunk").cast("long").alias("chunk"), F.size("line").cast("long").alias("points"), r6(g.line_length("line"), "length"))
 
 
 _EDGE_OUT = ", ".join(f"round({c}, 6) AS {c}" for c in ("length", "mean_speed", "speed_cv", "heading_consistency"))
@@ -133,53 +139,64 @@ def pruned_links(p: DataFrame) -> DataFrame:
     return network.prune_weak(edge_table(p), 2, 0.5).select("u", "v", "support", "reverse_support", r6("length"))
 
 
-@query(
-    "transitive_pruned",
-    f"""{_PRUNED}, hp AS (SELECT u, v, length / support AS w FROM pr), gl AS (SELECT u AS s, v AS t, length / support * CAST(1.3 AS DOUBLE) AS most FROM pr WHERE support <= 6),
-h1 AS (SELECT s, t, most, v AS node, w AS dist FROM gl JOIN hp ON s = u WHERE NOT (u = s AND v = t) AND NOT (u = t AND v = s) AND w <= most),
-h2 AS (SELECT s, t, most, v AS node, min(dist + w) AS dist FROM h1 JOIN hp ON node = u WHERE NOT (u = s AND v = t) AND NOT (u = t AND v = s) AND dist + w <= most GROUP BY ALL),
-h3 AS (SELECT s, t, v AS node FROM (SELECT * FROM h2 WHERE node <> t) h JOIN hp ON node = u WHERE NOT (u = s AND v = t) AND NOT (u = t AND v = s) AND dist + w <= most),
-hit AS (SELECT s, t FROM h2 WHERE node = t UNION SELECT s, t FROM h3 WHERE node = t)
-SELECT u, v, support FROM pr WHERE NOT EXISTS (SELECT 1 FROM hit WHERE s = u AND t = v)""",
-)
-def transitive_pruned(p: DataFrame) -> DataFrame:
-    return network.prune_transitive(network.prune_weak(edge_table(p), 2, 0.5), 1.3, 3, 6).select("u", "v", "support")
-
-
 _HOP = lambda a: f"""(SELECT s, t, most, v AS node, min(dist + w) AS dist FROM (SELECT * FROM {a} WHERE node <> t) h JOIN hp ON node = u
   WHERE NOT (u = s AND v = t) AND NOT (u = t AND v = s) AND dist + w <= most GROUP BY s, t, most, v)"""
 
 
 @query(
-    "transitive_pruned_whole",
+    "transitive_pruned",
     f"""{_PRUNED}, hp AS (SELECT u, v, length / support AS w FROM pr), h0 AS (SELECT u AS s, v AS t, length / support * CAST(1.3 AS DOUBLE) AS most, u AS node, CAST(0 AS DOUBLE) AS dist FROM pr),
 h1 AS {_HOP("h0")}, h2 AS {_HOP("h1")}, h3 AS {_HOP("h2")}, h4 AS {_HOP("h3")},
 hit AS (SELECT s, t FROM h2 WHERE node = t UNION SELECT s, t FROM h3 WHERE node = t UNION SELECT s, t FROM h4 WHERE node = t)
 SELECT u, v, support FROM pr WHERE NOT EXISTS (SELECT 1 FROM hit WHERE s = u AND t = v)""",
 )
-def transitive_pruned_whole(p: DataFrame) -> DataFrame:
-    """Paths of up to 4 hops, every edge a candidate; ``transitive_pruned`` and its SQL stop at 3 hops and support 6."""
+def transitive_pruned(p: DataFrame) -> DataFrame:
+    """Paths of up to 4 hops, every edge a candidate."""
     return network.prune_transitive(network.prune_weak(edge_table(p), 2, 0.5), 1.3, 4).select("u", "v", "support")
 
 
-@query(
-    "road_likeness",
-    f"""{_EDGES}, dg AS (SELECT node, count(*) AS degree FROM (SELECT u AS node FROM ed UNION ALL SELECT v FROM ed) GROUP BY node),
-lk AS (SELECT ed.*, CAST(0.35 AS DOUBLE) * (1 - exp(-support / CAST(5 AS DOUBLE))) + CAST(0.25 AS DOUBLE) / (1 + abs((a.degree + b.degree) / CAST(2 AS DOUBLE) - 2)) + CAST(0.2 AS DOUBLE) * hours / 24 + CAST(0.2 AS DOUBLE) * heading_consistency AS likeness
-  FROM ed JOIN dg a ON a.node = u JOIN dg b ON b.node = v)
-SELECT u, v, round(likeness, 5) AS likeness, round(vpd_support + hpd_support / (1 + exp(-(likeness - 0.5) * 8)), 5) AS effective_support FROM lk""",
-)
+_WEIGHED = f"""pw AS (SELECT *, CASE WHEN source = 'VPD' THEN CAST(1.2 AS DOUBLE) ELSE CAST(1 AS DOUBLE) END AS weight, CAST(floor(second / 86400) AS BIGINT) AS day FROM pts),
+nd AS (SELECT *, CAST(round_even(x / 30, 0) AS BIGINT) * 4294967296 + CAST(round_even(y / 30, 0) AS BIGINT) AS node FROM pw),
+mv AS (SELECT *, node AS v, {_BEARING("x - px", "y - py")} AS heading FROM
+  (SELECT *, sqrt((x - px) * (x - px) + (y - py) * (y - py)) AS step FROM (SELECT *, lag(node) OVER w AS u, lag(x) OVER w AS px, lag(y) OVER w AS py FROM nd WINDOW w AS (PARTITION BY trace_id ORDER BY pos)))
+  WHERE u <> node AND step > 0 AND step <= 50),
+no AS (SELECT node, sum(x * speed) / sum(speed) AS x, sum(y * speed) / sum(speed) AS y FROM nd GROUP BY node),
+ed AS (SELECT u, v, count(*) FILTER (source = 'VPD') AS vpd, count(*) FILTER (source = 'HPD') AS hpd, sum(weight) AS ws, count(DISTINCT day) AS days,
+  count(speed) FILTER (source = 'HPD') AS sn, avg(speed) FILTER (source = 'HPD') AS sm, var_pop(speed) FILTER (source = 'HPD') AS sv, sqrt(pow(avg(sin(radians(heading))), 2) + pow(avg(cos(radians(heading))), 2)) AS r FROM mv GROUP BY u, v),
+dg AS (SELECT node, count(*) AS degree FROM (SELECT u AS node FROM ed UNION ALL SELECT v FROM ed) GROUP BY node),
+q1 AS (SELECT ed.*, sqrt(pow(a.x - b.x, 2) + pow(a.y - b.y, 2)) AS length, da.degree + db.degree AS deg, least(1, days / CAST(2 AS DOUBLE)) AS rep,
+  CASE WHEN sn > 1 AND sm > 1e-6 THEN greatest(0, least(1, 1 - sqrt(greatest(0, sv)) / greatest(sm, 1e-6) / CAST(0.65 AS DOUBLE))) ELSE 0.5 END AS sc FROM ed JOIN no a ON a.node = u JOIN no b ON b.node = v JOIN dg da ON da.node = u JOIN dg db ON db.node = v),
+q2 AS (SELECT *, CAST(0.35 AS DOUBLE) * least(1, ws / greatest(length, 1e-6) / CAST(0.35 AS DOUBLE)) + CAST(0.25 AS DOUBLE) * least(1, deg / CAST(8 AS DOUBLE)) + CAST(0.2 AS DOUBLE) * rep + CAST(0.2 AS DOUBLE) * r AS likeness,
+  CAST(0.45 AS DOUBLE) * r + CAST(0.35 AS DOUBLE) * rep + CAST(0.2 AS DOUBLE) * sc AS pc FROM q1),
+q3 AS (SELECT *, hpd * pc / (hpd * pc + CAST(1.6 AS DOUBLE) * vpd * CAST(0.6 AS DOUBLE) + 1e-6) / (1 + exp(-6 * (likeness - CAST(0.45 AS DOUBLE)))) AS wp FROM q2)"""
+
+
+def weighed(p: DataFrame) -> DataFrame:
+    return network.labelled(p.withColumn("weight", scoring.point_weight("source", None, None, 0.0)).withColumn("day", F.floor(F.col("second") / 86400)))
+
+
+def scored_edges(p: DataFrame) -> DataFrame:
+    d = weighed(p)
+    n = network.nodes(d).select("node", "x", "y")
+    e = network.edges(network.transitions(d)).drop("length")
+    e = e.join(n.withColumnsRenamed({"node": "u", "x": "x1", "y": "y1"}), "u").join(n.withColumnsRenamed({"node": "v", "x": "x2", "y": "y2"}), "v").withColumn("length", g.distance("x1", "y1", "x2", "y2"))
+    return scoring.edge_quality(e)
+
+
+@query("road_likeness", f"{_WEIGHED} SELECT u, v, round(likeness, 5) AS likeness, round(pc, 5) AS probe_consistency, round(wp, 5) AS w_probe, round(ws * (0.8 + 0.4 * greatest(wp, 1 - wp)) * (0.35 + 0.65 * likeness), 5) AS effective_support FROM q3")
 def road_likeness(p: DataFrame) -> DataFrame:
-    return network.road_likeness(edge_table(p)).select("u", "v", F.round("likeness", 5).alias("likeness"), F.round("effective_support", 5).alias("effective_support"))
+    return scored_edges(p).select("u", "v", *(F.round(c, 5).alias(n) for c, n in (("road_likeness", "likeness"), ("probe_consistency", "probe_consistency"), ("w_probe", "w_probe"), ("effective_support", "effective_support"))))
 
 
-@query(
-    "trace_weights",
-    f"""{_STEP}, t AS (SELECT trace_id, sum(step) AS length, count(*) AS n, sqrt(pow(avg(sin(radians({_BEARING("x - px", "y - py")}))), 2) + pow(avg(cos(radians({_BEARING("x - px", "y - py")}))), 2)) AS r FROM st GROUP BY trace_id)
-SELECT trace_id, round(greatest(0.1, least(3.0, 1 / (1 + exp(-greatest(least((length - 300) / 100, 35), -35))) + 0.5 * least(1.0, n / greatest(length, 1.0) * 10) + 0.5 * r)), 5) AS weight FROM t""",
-)
+_HEADINGS = f"""{_STEP}, t AS (SELECT trace_id, any_value(source) AS s0, sum(step) AS length, count(*) AS n, sqrt(pow(avg(sin(radians({_BEARING("x - px", "y - py")}))), 2) + pow(avg(cos(radians({_BEARING("x - px", "y - py")}))), 2)) AS r FROM st GROUP BY trace_id),
+l AS (SELECT *, 0.3 + 0.7 / (1 + exp(-(length - 50) / 80)) AS lf FROM t)"""
+
+
+@query("trace_weights", f"{_HEADINGS} SELECT trace_id, round(greatest(0.1, least(3.0, (1.2 + 0.25 * 0.5 + 0.15 * 0.5) * lf * (0.4 + 0.3 * least(1.0, n / greatest(length, 1.0) * 5) + 0.3 * r))), 5) AS weight, round(greatest(0.1, least(2.0, lf * (0.4 + 0.3 * least(1.0, n / length * 5) + 0.3 * r))), 5) AS raster_weight FROM l")
 def trace_weights(p: DataFrame) -> DataFrame:
-    return network.trace_weights(p).select("trace_id", F.round("weight", 5).alias("weight"))
+    d = windows.steps(p).withColumn("h", F.radians(g.bearing("px", "py", "x", "y")))
+    t = d.groupBy("trace_id").agg(F.sum("step").alias("length"), F.count("*").alias("n"), F.hypot(F.avg(F.sin("h")), F.avg(F.cos("h"))).alias("r"))
+    return t.select("trace_id", F.round(scoring.trace_weight(F.lit("VPD"), "length", "n", "r"), 5).alias("weight"), F.round(scoring.raster_weight("length", "n", "r"), 5).alias("raster_weight"))
 
 
 @query(
@@ -196,15 +213,25 @@ def density_raster(p: DataFrame) -> DataFrame:
     return network.raster(p)
 
 
-@query("source_complementarity", "c AS (SELECT CAST(floor(x / 50) AS BIGINT) AS cx, CAST(floor(y / 50) AS BIGINT) AS cy, bool_or(source = 'VPD') AS v, bool_or(source = 'HPD') AS h FROM pts GROUP BY ALL) SELECT CASE WHEN v AND h THEN 'both' WHEN v THEN 'vpd_only' ELSE 'hpd_only' END AS kind, count(*) AS cells FROM c GROUP BY ALL")
+@query(
+    "source_complementarity",
+    """c AS (SELECT CAST(floor(x / 50) AS BIGINT) AS cx, CAST(floor(y / 50) AS BIGINT) AS cy, bool_or(source = 'VPD') AS v, bool_or(source = 'HPD') AS h FROM pts GROUP BY ALL)
+SELECT CASE WHEN v AND h THEN 'both' WHEN v THEN 'vpd_only' ELSE 'hpd_only' END AS kind, count(*) AS cells FROM c GROUP BY ALL
+UNION ALL SELECT 'neither', (max(cx) - min(cx) + 1) * (max(cy) - min(cy) + 1) - count(*) FROM c""",
+)
 def source_complementarity(p: DataFrame) -> DataFrame:
-    c = p.groupBy(F.floor(F.col("x") / 50).alias("cx"), F.floor(F.col("y") / 50).alias("cy")).agg(F.bool_or(F.col("source") == "VPD").alias("v"), F.bool_or(F.col("source") == "HPD").alias("h"))
-    return c.groupBy(F.when(F.col("v") & F.col("h"), "both").when(F.col("v"), "vpd_only").otherwise("hpd_only").alias("kind")).agg(F.count("*").alias("cells"))
+    return network.complementarity(p, 50.0)
 
 
-@query("multi_level_cells", "c AS (SELECT CAST(floor(x / 20) AS BIGINT) AS cx, CAST(floor(y / 20) AS BIGINT) AS cy, max(altitude) - min(altitude) AS rise, count(*) AS n FROM pts GROUP BY ALL) SELECT cx, cy, rise, n FROM c WHERE rise > 8 AND n > 5")
+@query(
+    "multi_level_cells",
+    """t AS (SELECT trace_id, avg(altitude) AS z FROM pts GROUP BY trace_id), c AS (SELECT CAST(floor(x / 20) AS BIGINT) AS cx, CAST(floor(y / 20) AS BIGINT) AS cy, max(z) - min(z) AS rise, count(*) AS n FROM pts JOIN t USING (trace_id) GROUP BY ALL)
+SELECT cx, cy, rise, n FROM c WHERE rise > 8 AND n > 5""",
+)
 def multi_level_cells(p: DataFrame) -> DataFrame:
-    c = p.groupBy(F.floor(F.col("x") / 20).alias("cx"), F.floor(F.col("y") / 20).alias("cy")).agg((F.max("altitude") - F.min("altitude")).alias("rise"), F.count("*").alias("n"))
+    """Cells in which the mean heights of traces differ."""
+    z = p.groupBy("trace_id").agg(F.avg("altitude").alias("z"))
+    c = p.join(z, "trace_id").groupBy(F.floor(F.col("x") / 20).alias("cx"), F.floor(F.col("y") / 20).alias("cy")).agg((F.max("z") - F.min("z")).alias("rise"), F.count("*").alias("n"))
     return c.where("rise > 8 AND n > 5")
 
 
@@ -224,67 +251,47 @@ def step_percentiles(p: DataFrame) -> DataFrame:
     return d.select("n", *(r6(c) for c in ("mean", "median", "p90", "p95")))
 
 
-_IDS = "SELECT event_id AS id, x, y FROM pts"
-
-
-@query("pairs_within", f"s AS ({_IDS} WHERE event_id % 7 = 0), w AS (SELECT a.id AS a, b.id AS b, sqrt((a.x - b.x) * (a.x - b.x) + (a.y - b.y) * (a.y - b.y)) AS dist FROM s a JOIN s b ON a.id < b.id AND abs(a.x - b.x) <= 4 AND abs(a.y - b.y) <= 4) SELECT a, b, round(dist, 6) AS dist FROM w WHERE dist <= 4")
-def pairs_within(p: DataFrame) -> DataFrame:
-    s = p.where("event_id % 7 = 0").select(F.col("event_id").alias("id"), "x", "y")
-    return spatial.pairs(s, 4.0).select("a", "b", r6("dist"))
-
-
-_TWO = f"v AS ({_IDS} WHERE source = 'VPD' AND event_id % 5 = 0), h AS ({_IDS} WHERE source = 'HPD' AND event_id % 3 = 0), j AS (SELECT v.id AS a, h.id AS b, sqrt((v.x - h.x) * (v.x - h.x) + (v.y - h.y) * (v.y - h.y)) AS dist FROM v JOIN h ON abs(v.x - h.x) <= 3 AND abs(v.y - h.y) <= 3)"
+_NEAR = lambda left, right, r: f"""(SELECT l.id AS a, o.id AS b, sqrt((l.x - o.x) * (l.x - o.x) + (l.y - o.y) * (l.y - o.y)) AS dist FROM
+  (SELECT *, unnest(range(CAST(floor(x / {r}) AS BIGINT) - 1, CAST(floor(x / {r}) AS BIGINT) + 2)) AS cx FROM {left}) l JOIN (SELECT *, CAST(floor(x / {r}) AS BIGINT) AS cx FROM {right}) o ON l.cx = o.cx AND abs(l.y - o.y) <= {r}
+  WHERE sqrt((l.x - o.x) * (l.x - o.x) + (l.y - o.y) * (l.y - o.y)) <= {r})"""
+_TWO = "v AS (SELECT event_id AS id, x, y FROM pts WHERE source = 'VPD'), h AS (SELECT event_id AS id, x, y FROM pts WHERE source = 'HPD')"
 
 
 def two_sources(p: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """All points of either source."""
     ids = p.select(F.col("event_id").alias("id"), "x", "y", "source")
-    return ids.where("source = 'VPD' AND id % 5 = 0").drop("source"), ids.where("source = 'HPD' AND id % 3 = 0").drop("source")
+    return ids.where("source = 'VPD'").drop("source"), ids.where("source = 'HPD'").drop("source")
 
 
-@query("nearest_probe", f"{_TWO} SELECT a, arg_min(b, (dist, b)) AS b, round(min(dist), 6) AS dist FROM j WHERE dist <= 3 GROUP BY a")
+@query("pairs_within", f"s AS (SELECT event_id AS id, x, y FROM pts) SELECT a, b, round(dist, 6) AS dist FROM {_NEAR('s', 's', 4)} WHERE a < b")
+def pairs_within(p: DataFrame) -> DataFrame:
+    return spatial.pairs(p.select(F.col("event_id").alias("id"), "x", "y"), 4.0).select("a", "b", r6("dist"))
+
+
+@query("nearest_probe", f"{_TWO} SELECT a, arg_min(b, (dist, b)) AS b, round(min(dist), 6) AS dist FROM {_NEAR('v', 'h', 3)} GROUP BY a")
 def nearest_probe(p: DataFrame) -> DataFrame:
     return spatial.nearest(*two_sources(p), 3.0).select("a", "b", r6("dist"))
 
 
-@query("covered_points", f"{_TWO} SELECT id FROM v WHERE id IN (SELECT a FROM j WHERE dist <= 2)")
+@query("nearest_probe_anywhere", f"{_TWO}, d AS (SELECT v.id AS a, h.id AS b, sqrt((v.x - h.x) * (v.x - h.x) + (v.y - h.y) * (v.y - h.y)) AS dist FROM v, h) SELECT a, arg_min(b, (dist, b)) AS b, round(min(dist), 6) AS dist FROM d GROUP BY a")
+def nearest_probe_anywhere(p: DataFrame) -> DataFrame:
+    """The nearest probe however far: the radius doubles for those that have none yet."""
+    return spatial.nearest_any(*two_sources(p), 1.0).select("a", "b", r6("dist"))
+
+
+@query("covered_points", f"{_TWO} SELECT id FROM v WHERE id IN (SELECT a FROM {_NEAR('v', 'h', 2)})")
 def covered_points(p: DataFrame) -> DataFrame:
     return spatial.covered(*two_sources(p), 2.0).select("id")
 
 
-@query("uncovered_points", f"{_TWO} SELECT id FROM v WHERE id NOT IN (SELECT a FROM j WHERE dist <= 2)")
+@query("uncovered_points", f"{_TWO} SELECT id FROM v WHERE id NOT IN (SELECT a FROM {_NEAR('v', 'h', 2)})")
 def uncovered_points(p: DataFrame) -> DataFrame:
     return spatial.covered(*two_sources(p), 2.0, yes=False).select("id")
 
 
-def two_whole_sources(p: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """All points of either source; ``two_sources`` and its SQL take a part of them."""
-    ids = p.select(F.col("event_id").alias("id"), "x", "y", "source")
-    return ids.where("source = 'VPD'").drop("source"), ids.where("source = 'HPD'").drop("source")
-
-
-@query("pairs_within_whole")
-def pairs_within_whole(p: DataFrame) -> DataFrame:
-    return spatial.pairs(p.select(F.col("event_id").alias("id"), "x", "y"), 4.0).select("a", "b", r6("dist"))
-
-
-@query("nearest_probe_whole")
-def nearest_probe_whole(p: DataFrame) -> DataFrame:
-    return spatial.nearest(*two_whole_sources(p), 3.0).select("a", "b", r6("dist"))
-
-
-@query("covered_points_whole")
-def covered_points_whole(p: DataFrame) -> DataFrame:
-    return spatial.covered(*two_whole_sources(p), 2.0).select("id")
-
-
-@query("uncovered_points_whole")
-def uncovered_points_whole(p: DataFrame) -> DataFrame:
-    return spatial.covered(*two_whole_sources(p), 2.0, yes=False).select("id")
-
-
 @query("one_to_one_match")
 def one_to_one_match(p: DataFrame) -> DataFrame:
-    return spatial.match_one_to_one(*two_whole_sources(p), 2.0)
+    return spatial.match_one_to_one(*two_sources(p), 2.0)
 
 
 _REACH = """un AS (SELECT DISTINCT least(u, v) AS u, greatest(u, v) AS v FROM pr), bi AS (SELECT u AS a, v AS b FROM un UNION SELECT v, u FROM un),
@@ -312,13 +319,6 @@ def validation_report(p: DataFrame) -> DataFrame:
     return evaluation.validation_report(p, (0.0, 0.0, 1200.0, 1200.0))
 
 
-@query("map_recall_by_class", "s AS (SELECT road, count(*) AS n, count(*) FILTER (sqrt(pow(CASE WHEN road < 10 THEN y - 60 * road ELSE x - 60 * (road - 10) END, 2)) <= 2) AS hit FROM pts GROUP BY road) SELECT road % 5 AS func_class, sum(n)::BIGINT AS samples, sum(hit)::BIGINT AS matched, round(sum(hit) / sum(n), 6) AS recall FROM s GROUP BY ALL")
-def map_recall_by_class(p: DataFrame) -> DataFrame:
-    off = F.abs(F.when(F.col("road") < 10, F.col("y") - 60 * F.col("road")).otherwise(F.col("x") - 60 * (F.col("road") - 10)))
-    d = p.groupBy((F.col("road") % 5).alias("func_class")).agg(F.count("*").alias("samples"), F.count_if(off <= 2).alias("matched"))
-    return d.withColumn("recall", F.round(F.col("matched") / F.col("samples"), 6))
-
-
 @query("heading_modality")
 def heading_modality(p: DataFrame) -> DataFrame:
     return evaluation.heading_modality(windows.forward_headings(p).where("heading IS NOT NULL"))
@@ -334,17 +334,6 @@ def line_wkt(p: DataFrame) -> DataFrame:
     return traces.lines(p).select("trace_id", g.to_wkt("line", 3).alias("wkt"))
 
 
-@query("map_score")
-def map_score(p: DataFrame) -> DataFrame:
-    """Points of the traces against samples of the true roads every 10 units."""
-    spark = p.sparkSession
-    truth = spark.range(20 * 121).select("id", (F.col("id") % 20).alias("road"), (F.floor(F.col("id") / 20) * 10.0).alias("s"))
-    flat = F.col("road") < 10
-    truth = truth.select("id", F.when(flat, F.col("s")).otherwise(60.0 * (F.col("road") - 10)).alias("x"), F.when(flat, 60.0 * F.col("road")).otherwise(F.col("s")).alias("y"), F.lit(10.0).alias("len"))
-    mine = p.select(F.col("event_id").alias("id"), "x", "y", F.lit(12.0).alias("len"))
-    return evaluation.score(mine, truth, 15.0).select(r6("precision"), r6("recall"), r6("f1"))
-
-
 @query("incremental_clusters")
 def incremental_clusters(p: DataFrame) -> DataFrame:
     c = kernels.cluster_points(windows.forward_headings(p))
@@ -363,33 +352,23 @@ def deduplicated_lines(p: DataFrame) -> DataFrame:
     return kept.select("trace_id", "grp", r6(g.line_length("line"), "length"))
 
 
-_CHORDS = """ch AS (SELECT trace_id AS id, arg_min(x, pos) AS x1, arg_min(y, pos) AS y1, arg_max(x, pos) AS x2, arg_max(y, pos) AS y2 FROM pts GROUP BY trace_id HAVING count(*) >= 2),
-sd AS (SELECT a.id AS a, b.id AS b, a.x1 AS ax1, a.y1 AS ay1, a.x2 AS ax2, a.y2 AS ay2, (b.x2 - b.x1) * (a.y1 - b.y1) - (b.y2 - b.y1) * (a.x1 - b.x1) AS a1, (b.x2 - b.x1) * (a.y2 - b.y1) - (b.y2 - b.y1) * (a.x2 - b.x1) AS a2,
-  (a.x2 - a.x1) * (b.y1 - a.y1) - (a.y2 - a.y1) * (b.x1 - a.x1) AS b1, (a.x2 - a.x1) * (b.y2 - a.y1) - (a.y2 - a.y1) * (b.x2 - a.x1) AS b2 FROM ch a JOIN ch b ON a.id < b.id),
-cr AS (SELECT a, b, ax1 + a1 / (a1 - a2) * (ax2 - ax1) AS x, ay1 + a1 / (a1 - a2) * (ay2 - ay1) AS y FROM sd WHERE a1 * a2 < 0 AND b1 * b2 < 0)"""
-
+#: Segments in cells of 30 by their boxes; where two of different lines meet, ends of lines left out, equal places once.
+_MEET = """sg AS (SELECT trace_id AS id, pos, pos = 1 AS fi, pos = max(pos) OVER (PARTITION BY trace_id) AS la, px AS x1, py AS y1, x AS x2, y AS y2 FROM (SELECT *, lag(x) OVER w AS px, lag(y) OVER w AS py FROM pts WINDOW w AS (PARTITION BY trace_id ORDER BY pos)) WHERE px IS NOT NULL AND (px <> x OR py <> y)),
+ce AS (SELECT *, unnest(range(CAST(floor(least(y1, y2) / 30) AS BIGINT), CAST(floor(greatest(y1, y2) / 30) AS BIGINT) + 1)) AS cy FROM (SELECT *, unnest(range(CAST(floor(least(x1, x2) / 30) AS BIGINT), CAST(floor(greatest(x1, x2) / 30) AS BIGINT) + 1)) AS cx FROM sg)),
+pq AS (SELECT DISTINCT a.id AS a, b.id AS b, a.fi AS afi, a.la AS ala, b.fi AS bfi, b.la AS bla, a.x1 AS ax, a.y1 AS ay, a.x2 - a.x1 AS adx, a.y2 - a.y1 AS ady, b.x2 - b.x1 AS bdx, b.y2 - b.y1 AS bdy, b.x1 - a.x1 AS ox, b.y1 - a.y1 AS oy FROM ce a JOIN ce b ON a.cx = b.cx AND a.cy = b.cy AND a.id < b.id),
+tu AS (SELECT *, (ox * bdy - oy * bdx) / (adx * bdy - ady * bdx) AS t, (ox * ady - oy * adx) / (adx * bdy - ady * bdx) AS u FROM pq WHERE adx * bdy - ady * bdx <> 0),
+cr AS (SELECT a, b, min(ax + t * adx) AS x, min(ay + t * ady) AS y FROM tu WHERE t BETWEEN 0 AND 1 AND u BETWEEN 0 AND 1 AND NOT (afi AND t = 0 OR ala AND t = 1 OR bfi AND u = 0 OR bla AND u = 1) GROUP BY a, b, round(ax + t * adx, 6), round(ay + t * ady, 6))"""
 
-@query("chord_crossings", f"{_CHORDS} SELECT a, b, round(x, 4) AS x, round(y, 4) AS y FROM cr")
-def chord_crossings(p: DataFrame) -> DataFrame:
-    c = spatial.crossings(cleaning.chords(traces.lines(p)))
-    return c.select("a", "b", F.round("x", 4).alias("x"), F.round("y", 4).alias("y"))
 
-
-@query("junctions", f"{_CHORDS} SELECT CAST(floor((x + 15) / 30) AS BIGINT) AS cx, CAST(floor((y + 15) / 30) AS BIGINT) AS cy, round(avg(x), 3) AS x, round(avg(y), 3) AS y, count(*) AS crossings FROM cr GROUP BY 1, 2")
-def junctions(p: DataFrame) -> DataFrame:
-    j = cleaning.junctions(traces.lines(p))
-    return j.select("cx", "cy", F.round("x", 3).alias("x"), F.round("y", 3).alias("y"), "crossings")
-
-
-@query("line_crossings")
+@query("line_crossings", f"{_MEET} SELECT a, b, round(x, 4) AS x, round(y, 4) AS y FROM cr")
 def line_crossings(p: DataFrame) -> DataFrame:
-    """Crossings of whole lines; ``chord_crossings`` and its SQL cross the chords only."""
+    """Crossings of whole lines, segment by segment."""
     return cleaning.line_crossings(traces.lines(p)).select("a", "b", F.round("x", 4).alias("x"), F.round("y", 4).alias("y"))
 
 
-@query("junctions_whole")
-def junctions_whole(p: DataFrame) -> DataFrame:
-    j = cleaning.junctions(traces.lines(p), whole=True)
+@query("junctions", f"{_MEET} SELECT CAST(floor((x + 15) / 30) AS BIGINT) AS cx, CAST(floor((y + 15) / 30) AS BIGINT) AS cy, round(avg(x), 3) AS x, round(avg(y), 3) AS y, count(*) AS crossings FROM cr GROUP BY 1, 2")
+def junctions(p: DataFrame) -> DataFrame:
+    j = cleaning.junctions(traces.lines(p))
     return j.select("cx", "cy", F.round("x", 3).alias("x"), F.round("y", 3).alias("y"), "crossings")
 
 
@@ -451,3 +430,6 @@ SELECT ['N','NE','E','SE','S','SW','W','NW'][k + 1] AS direction, count(*) AS n,
 def direction_sectors(p: DataFrame) -> DataFrame:
     d = windows.steps(p).where("step > 0").withColumn("b", g.bearing("px", "py", "x", "y"))
     return d.groupBy(g.compass("b").alias("direction")).agg(F.count("*").alias("n"), F.round(F.sum("step"), 3).alias("length"), F.count_if(g.axis_name("b") == "N_S").alias("along_ns"))
+
+
+from roadloom.plans import network_queries  # noqa: E402, F401  registers the queries of whole networks

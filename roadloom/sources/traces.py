@@ -127,3 +127,17 @@ POINTS_SQL = """pts AS (
           CASE WHEN user_id % 3 = 0 THEN CAST(12 AS DOUBLE) * (100 - pos) ELSE CAST(12 AS DOUBLE) * pos END AS s,
           CAST(0.1 AS DOUBLE) * ((event_id * 7919) % 61 - 30) AS jx, CAST(0.1 AS DOUBLE) * ((event_id * 104729) % 61 - 30) AS jy
         FROM (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) - 1 AS pos FROM events)))"""
+
+
+def points_of(lines_: DataFrame) -> DataFrame:
+    """Points of traces (``trace_id, line`` and, where known, ``source``, ``hour``) in order, with what the graph needs of each."""
+    known = lambda c, kind: F.col(c).cast(kind) if c in lines_.columns else F.lit(None).cast(kind)
+    d = lines_.select("trace_id", F.coalesce(known("source", "string"), F.lit("VPD")).alias("source"), known("hour", "long").alias("hour"), known("median_speed", "double").alias("speed"), F.posexplode("line").alias("pos", "p"))
+    return d.select("trace_id", F.col("pos").cast("long"), "p.x", "p.y", "source", "hour", F.coalesce("speed", F.lit(1.0)).alias("speed"), F.lit(None).cast("double").alias("altitude"))
+
+
+def grid_roads(spark: SparkSession) -> DataFrame:
+    """The true roads of the grid city: ``id, func_class, line``."""
+    d = spark.range(20).withColumn("func_class", (F.col("id") % 5 + 1).cast("int"))
+    at = lambda s: F.when(F.col("id") < 10, F.struct(F.lit(float(s)).alias("x"), (60.0 * F.col("id")).alias("y"))).otherwise(F.struct((60.0 * (F.col("id") - 10)).alias("x"), F.lit(float(s)).alias("y")))
+    return d.select("id", "func_class", F.array(*(at(s) for s in range(0, 1201, 60))).alias("line"))

@@ -1,10 +1,11 @@
 import math
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
 from roadloom.functions import geometry as g
-from roadloom.operators import windows
+from roadloom.operators import lines as ln
 
 
 def one(spark, **columns):
@@ -50,7 +51,7 @@ def test_wkt(spark):
 
 def test_lists_and_flags(spark):
     d = spark.createDataFrame([("[1, 2]",), ("['1']",), ("[]",), ("",), (None,), ("x",)], "t string")
-    assert [len(r[0]) for r in d.select(g.parse_numbers("t")).collect()][2:] == [0, 0, 0, 0]
+    assert [r[0] for r in d.select(g.parse_numbers("t")).collect()] == [[1.0, 2.0], [1.0], [], [], [], []]
     f = spark.createDataFrame([("Yes",), (" yes ",), ("TRUE",), ("1",), ("no",), (None,)], "t string")
     assert [r[0] for r in f.select(g.flag("t")).collect()] == [True] * 4 + [False] * 2
 
@@ -71,13 +72,18 @@ def test_smoothing_keeps_ends_and_turns(spark):
     assert len(row.c) == 8 and row.i == [0, 2, 3]
 
 
-def test_spikes_repeats_turns(spark):
-    d = with_line(spark, (0, 0), (0, 0.01), (10, 0), (11, 8), (12, 0), (22, 0))
-    assert len(d.select(windows.without_repeats("ln")).first()[0]) == 5
-    sharp = with_line(spark, (0, 0), (10, 0), (1, 0.1), (20, 0))
-    assert [p.x for p in sharp.select(windows.without_spikes("ln")).first()[0]] == [0, 1, 20]
-    u = with_line(spark, (0, 0), (10, 0), (0, 0.5))
-    assert [len(x) for x in u.select(windows.split_by_turns("ln", 95)).first()[0]] == [2, 2]
+def test_spikes_repeats_turns():
+    at = lambda *p: np.array(p, float)
+    assert ln.keep_distant(at((0, 0), (0, 0.01), (10, 0), (11, 8), (12, 0), (22, 0))).tolist() == [0, 2, 3, 4, 5]
+    sharp = at((0, 0), (10, 0), (1, 0.1), (20, 0))
+    assert sharp[ln.keep_unspiked(sharp)][:, 0].tolist() == [0, 1, 20]
+    assert ln.keep_unspiked(at((0, 0), (5, 0), (5, 0), (9, 0))).tolist() == [0, 2, 3]  # a point on its neighbour goes
+    u = at((0, 0), (10, 0), (0, 0.5))
+    assert [len(u[s]) for s in ln.parts_between(3, ln.turn_starts(u, 95), True)] == [2, 2]
+    assert ln.turn_starts(u, 95, progress=11.0) == [0]
+    # the second of two gaps in a row does not cut: one point is no part
+    assert ln.gap_starts(at((0, 0), (1, 0), (90, 0), (180, 0), (181, 0)), None, 60) == [0, 2]
+    assert ln.gap_starts(at((0, 0), (1, 0), (2, 0)), [0, 1, 400], 60, 300) == [0, 2]
 
 
 def test_utm_against_published_point(spark):

@@ -42,16 +42,13 @@ def test_clustering_splits_directions(spark):
     assert len(got) == 40 and not {got[k] for k in range(0, 40, 2)} & {got[k] for k in range(1, 40, 2)}
 
 
-def test_duplicates_and_roundabout(spark):
+def test_duplicates(spark):
     line = lambda y, n: [(float(x), float(y)) for x in range(0, n, 10)]
     d = spark.createDataFrame([(1, line(0, 100)), (2, line(4, 110)), (3, line(50, 100)), (4, line(2, 100)[::-1])], f"trace_id long, line {POINTS}")
     same, back = cleaning.duplicate_pairs(d, 12.0), cleaning.duplicate_pairs(d, 12.0, opposite=True)
     assert [(r.a, r.b) for r in same.collect()] == [(1, 2)]
     assert {(r.a, r.b) for r in back.collect()} == {(1, 4), (2, 4)}
     assert {r.trace_id for r in cleaning.keep_longest(d, same).collect()} == {2, 3, 4}
-    ring = [(1, k, 5 + 20 * math.cos(k / 4), 5 + 20 * math.sin(k / 4)) for k in range(24)]
-    r = cleaning.roundabouts(spark.createDataFrame(ring, "trace_id long, pos long, x double, y double")).collect()
-    assert len(r) == 1 and (r[0].x, r[0].y, r[0].r) == pytest.approx((5, 5, 20))
 
 
 def test_sinks(spark, tmp_path):
