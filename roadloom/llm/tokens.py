@@ -2,7 +2,8 @@
 
 Pre-tokens here are the space-led units of a text: a unit ends before every space that a non-space
 follows. The library's own splitting never crosses such a place, so the pieces of a text are the sum of
-the pieces of its units. Units are counted once per distinct unit of the corpus; documents are reduced to
+the pieces of its units; long units are cut further, into what the library's own pre-tokenizer makes of
+them. Units are counted once per distinct unit of the corpus; documents are reduced to
 unit frequencies; the two are joined and summed. The most frequent units (at most ``head``, a fixed bound)
 are joined by broadcast, the long tail by a shuffle of what little is left, so no table that grows with the
 corpus is ever broadcast or collected.
@@ -25,6 +26,8 @@ from roadloom.session import stored
 LIMIT = 1024
 #: Units joined by broadcast; about 12 MB at most, since longer units than ``HEAD_BYTES`` stay in the tail.
 HEAD, HEAD_BYTES = 400_000, 24
+#: Longer units are cut into the library's own pre-tokens.
+LONG = 64
 _GAP = re.compile(r" (?=\S)")
 _OPENED: dict[str, object] = {}
 
@@ -54,16 +57,31 @@ def count_pieces(units: list[str], path: str) -> np.ndarray:
     return np.array([len(x) for x in t.encode_batch_fast(units, add_special_tokens=False)], np.int64)
 
 
-def units(texts: pa.Array) -> tuple[pa.Array, np.ndarray]:
+def pre_tokens(unit: str, path: str | None) -> list[str]:
+    """A unit as the pre-tokens that the library cuts it into; whole where they cannot be told from the text alone.
+
+    A pre-token encoded by itself is one pre-token again. Special strings are found before pre-tokens are, and
+    a normaliser may change the text, so units with either stay whole.
+    """
+    if path is None or path.endswith(".model") or "<|" in unit:
+        return [unit]
+    t = tokenizer(path)
+    if t.normalizer is not None or t.pre_tokenizer is None:
+        return [unit]
+    return [unit[a:b] for _, (a, b) in t.pre_tokenizer.pre_tokenize_str(unit)] or [unit]
+
+
+def units(texts: pa.Array, path: str | None = None) -> tuple[pa.Array, np.ndarray]:
     """All units of a batch of texts (dictionary encoded) and where each text's units start.
 
-    A unit keeps its leading space; only a text's first one has none. Texts in which a space meets other
-    white space or the end take the slower split, which gives units by the same rule.
+    A unit keeps its leading space; U+0001 marks one without. Texts in which a space meets other white space
+    or the end take the slower split, which gives units by the same rule. Units of more than ``LONG`` bytes,
+    as texts without spaces have, are cut into pre-tokens.
     """
     texts = pc.fill_null(texts.cast(pa.string()), "")
     odd = pc.match_substring_regex(texts, r" (?:[\s\x1c-\x1f\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}]|$)")
-    plain = pc.split_pattern(pc.if_else(odd, "", texts), " ")
-    flat, offsets = plain.flatten(), np.asarray(plain.offsets).astype(np.int64)
+    simple = pc.split_pattern(pc.if_else(odd, "", texts), " ")
+    flat, offsets = simple.flatten(), np.asarray(simple.offsets).astype(np.int64)
     # U+0001 marks a text's first unit; the others get their space back when they are read
     first = np.zeros(len(flat), bool)
     first[offsets[:-1]] = True
@@ -80,6 +98,16 @@ def units(texts: pa.Array) -> tuple[pa.Array, np.ndarray]:
             sizes[i] = len(m)
         flat = pa.concat_arrays([*parts, flat.slice(at)])
         offsets = np.concatenate(([0], np.cumsum(sizes)))
+    long_ones = np.flatnonzero(np.asarray(pc.greater(pc.binary_length(flat), LONG)))
+    if len(long_ones) and path is not None:
+        parts, at, extra = [], 0, np.zeros(len(flat), np.int64)
+        for i in long_ones.tolist():
+            unit = flat[i].as_py()
+            first, *rest = pre_tokens(plain(unit), path)
+            parts += [flat.slice(at, i - at), pa.array([first if unit[0] == " " and first[0] == " " else "\x01" + first, *("\x01" + x for x in rest)], pa.string())]
+            at, extra[i] = i + 1, len(rest)
+        flat = pa.concat_arrays([*parts, flat.slice(at)])
+        offsets = offsets + np.concatenate(([0], np.cumsum(extra)))[offsets]
     return flat.dictionary_encode(), offsets
 
 
@@ -88,12 +116,12 @@ def plain(unit: str) -> str:
     return unit[1:] if unit[0] == "\x01" else unit
 
 
-def unit_frequencies(docs: DataFrame, text_col: str) -> DataFrame:
+def unit_frequencies(docs: DataFrame, text_col: str, path: str | None = None) -> DataFrame:
     """``(unit, n)``: frequency of every unit of the corpus, one row per unit."""
 
     def run(batches):
         for batch in batches:
-            got, _ = units(batch.column(0))
+            got, _ = units(batch.column(0), path)
             n = np.bincount(got.indices.to_numpy(), minlength=len(got.dictionary))
             yield pa.RecordBatch.from_arrays([got.dictionary, pa.array(n)], names=["unit", "n"])
 
@@ -115,11 +143,11 @@ def token_counts(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: s
     """``(doc_id, n_bytes, n_tokens, over_limit)``, one row per input row.
 
     Null texts count as empty (0 bytes, 0 tokens); repeated rows and null ids are kept as they are; special
-    strings inside texts are handled as the library does; an empty table gives an empty result. Columns
-    other than the two named are not read.
+    strings inside texts are handled as the library does; very long texts, with or without spaces, are taken
+    whole; an empty table gives an empty result. Columns other than the two named are not read.
     """
     spark = docs.sparkSession
-    counts = stored(piece_counts(unit_frequencies(docs, text_col), path))
+    counts = stored(piece_counts(unit_frequencies(docs, text_col, path), path))
     short = counts.where(F.octet_length("unit") <= HEAD_BYTES)
     # at most ``head`` rows: the frequency of the head-th unit, read off a histogram of powers of two
     levels = short.groupBy(F.floor(F.log2("n")).cast("int").alias("k")).count().orderBy(F.desc("k")).collect()
@@ -141,7 +169,7 @@ def token_counts(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: s
         keys = t.column("unit").combine_chunks().cast(pa.string()) if t.num_rows else pa.array([], pa.string())
         values = t.column("pieces").to_numpy() if t.num_rows else np.zeros(0, np.int64)
         for batch in batches:
-            got, offsets = units(batch.column(1))
+            got, offsets = units(batch.column(1), path)
             found = pc.index_in(got.dictionary, value_set=keys)
             at = pc.fill_null(found, -1).to_numpy()
             each = np.where(at >= 0, values[at] if len(values) else 0, 0)

@@ -7,6 +7,7 @@ import re
 import zlib
 
 import numpy as np
+import pyarrow as pa
 import pytest
 import regex
 from pyspark.sql import functions as F
@@ -40,8 +41,17 @@ def test_token_counts(docs, texts, head):
     assert collections.Counter(map(tuple, tokens.token_counts(docs, path, head=head).collect())) == want
 
 
-def test_token_counts_sentencepiece_units(docs):
-    assert tokens.token_counts(docs.where("false"), vocabulary("byte_bpe_50k.json")).count() == 0
+def test_token_counts_of_texts_without_spaces(spark):
+    r = random.Random(3)
+    path = vocabulary("byte_bpe_50k.json")
+    parts = ["abc", "XY", "12", "345", "{", "}:", "漢字", "\n", "\n\n", "\t", "'s", "'ll", "é", "<|endoftext|>", "==", "\u3000", " "]
+    texts = ["".join(r.choice(parts) for _ in range(r.randint(20, 300))) for _ in range(300)] + ["z" * 5000, "漢" * 3000, "\n" * 500, ""]
+    d = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = {x.doc_id: x.n_tokens for x in tokens.token_counts(d, path, head=50).collect()}
+    assert got == {k: len(tokens.tokenizer(path).encode(t, add_special_tokens=False).ids) for k, t in enumerate(texts)}
+    long_ones = [u for u in tokens.units(pa.array(texts[:300]), path)[0].dictionary.to_pylist() if len(u.encode()) > 200 and "<|" not in u]
+    assert not long_ones
+    assert tokens.token_counts(d.where("false"), path).count() == 0
 
 
 def test_packing(docs, texts):
@@ -101,6 +111,24 @@ def test_tagger_on_held_out_texts(tagger):
     assert right / max(1, sum(map(len, got))) > 0.85 and right / sum(len(s) for _, s in test) > 0.6
 
 
+#: Personal data as people disguise it, written by hand.
+DISGUISED = [
+    ("mail me at jana.weber @ posteo.de please", "email"), ("contact: info@ firma-nord.com for offers", "email"), ("write to max99 @example.org today", "email"),
+    ("server is at 192 . 168 . 4 . 21 behind the wall", "ip"), ("reach it on 10 . 0 . 12 . 7, port open", "ip"),
+    ("card 4111/1111/1111/1111 was charged", "card"), ("paid with 5500.0000.0000.0004 last week", "card"), ("visa 4012  8888  8888  1881 on file", "card"),
+    ("call (415) 555-2671 after six", "phone"), ("my number is 212-555-0187, thanks", "phone"), ("phone (030) 901-8200 for help", "phone"), ("ring 646-555-0123 or write", "phone"),
+]
+CLEAN = ["version v2.4.11 of 2024-05-17", "chapter 12.3 on page 45", "he scored 98% in 2019", "@home we have 3 cats", "order 48213 of 7 items", "pi is 3.14159 and e is 2.718"]
+
+
+def test_tagger_on_texts_of_another_source(tagger):
+    texts = [t for t, _ in DISGUISED] + CLEAN
+    got = pii.added_spans(texts, [pii.base_spans(t) for t in texts], tagger)
+    found = [kind in {k for k, _, _ in s} for (_, kind), s in zip(DISGUISED, got, strict=False)]
+    assert sum(found) >= 0.9 * len(DISGUISED), [t for (t, _), f in zip(DISGUISED, found, strict=True) if not f]
+    assert sum(map(bool, got[len(DISGUISED) :])) <= 1
+
+
 def test_tagger_gradients():
     g = pii.Tagger(hidden=3, seed=1)
     codes = np.random.default_rng(0).integers(0, pii.CODES, (2, 7))
