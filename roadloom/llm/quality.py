@@ -71,9 +71,11 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
     marked = marked.groupBy("_id").agg(F.max("_y").alias("_y")).orderBy(F.xxhash64("_id"), "_id").limit(max_train)
     # broadcast: max_train rows of two numbers
     known = docs.select(F.col(id_col).alias("_id"), F.col(text_col).alias("_t")).join(F.broadcast(marked), "_id").where("_t IS NOT NULL")
-    rows = statistics(known, "_t").select(*(f"q_{x}" for x in STATISTICS), F.col("_y").cast("double"), "_id").limit(2 * max_train).collect()
-    data = np.array(sorted(tuple(r) for r in rows), float).reshape(-1, len(STATISTICS) + 2)
-    x, y = data[:, :-2], data[:, -2]
+    # of rows that share an id one is learned from, always the same
+    names = [f"q_{x}" for x in STATISTICS]
+    one = statistics(known, "_t").groupBy("_id").agg(F.min(F.struct(F.xxhash64("_t").alias("h"), *names, F.col("_y").cast("double").alias("y"))).alias("m"))
+    data = np.array(sorted(tuple(r) for r in one.select(*(f"m.{x}" for x in names), "m.y").collect()), float).reshape(-1, len(STATISTICS) + 1)
+    x, y = data[:, :-1], data[:, -1]
     if len(y) == 0:
         return RuleModel(0.0, [], [])
     prior = (y.sum() + 1) / (len(y) + 2)
@@ -100,8 +102,10 @@ def in_training(id_col: str) -> F.Column:
 def classify(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """All columns of ``docs`` plus ``held_out``, ``score`` and ``predicted``.
 
-    Fitted on labelled rows that are not held out. Null ids are held out; null and empty texts are scored;
-    repeated rows are kept; without usable labels every score is 0.5; columns of these names are replaced.
+    Fitted on labelled rows that are not held out; of an id with several labels the larger counts, of rows that
+    share an id one is learned from. Null ids are held out; null, empty and very long texts are scored whole;
+    repeated rows are kept; without usable labels every score is 0.5; columns of these names are replaced; an
+    empty table gives an empty result.
     """
     d = docs.drop("held_out", "score", "predicted")
     model = fit(d.where(in_training(id_col)), labels.where(in_training(id_col)), id_col, text_col)
