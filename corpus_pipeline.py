@@ -17,14 +17,14 @@ from roadloom.session import stored
 
 #: Rows of an Arrow batch at most: five stages share the executors, whose Python workers keep little beside the heap.
 BATCH_ROWS = 2000
+ARROW_ROWS = "spark.sql.execution.arrow.maxRecordsPerBatch"
 COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
 
 
 def small_batches(spark: SparkSession) -> None:
     """Lowers the session's Arrow batch size to ``BATCH_ROWS`` where it is larger; results do not depend on it."""
-    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
-    if not 0 < int(spark.conf.get(name)) <= BATCH_ROWS:
-        spark.conf.set(name, BATCH_ROWS)
+    if not 0 < int(spark.conf.get(ARROW_ROWS)) <= BATCH_ROWS:
+        spark.conf.set(ARROW_ROWS, BATCH_ROWS)
 
 
 def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -79,7 +79,12 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All stages in turn; the session's Arrow batch size is given back at the end."""
+    before = spark.conf.get(ARROW_ROWS)
     docs = table(spark, sf_dir, "documents")
-    for _, stage in STAGES:
-        docs = stored(stage(spark, docs, sf_dir))
+    try:
+        for _, stage in STAGES:
+            docs = stored(stage(spark, docs, sf_dir))
+    finally:
+        spark.conf.set(ARROW_ROWS, before)
     return docs

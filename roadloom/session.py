@@ -28,12 +28,14 @@ def local_session(cpus: int | str = 8, memory: str = "12g") -> SparkSession:
 
 
 def ensure_checkpoint_dir(spark: SparkSession) -> str:
-    """The shared checkpoint folder of the cluster; a temporary one only where none is set."""
+    """The shared checkpoint folder of the cluster; a temporary one only in a local session where none is set."""
     sc = spark.sparkContext
     known = sc.getCheckpointDir()
     if known:
         return known
     named = spark.conf.get("spark.checkpoint.dir", None)
+    if not named and not sc.master.startswith("local"):
+        raise ValueError("a cluster needs spark.checkpoint.dir, a folder that all its machines share")
     if not named:
         named = tempfile.mkdtemp(prefix="roadloom-ckpt-")
         atexit.register(shutil.rmtree, named, True)
