@@ -21,7 +21,7 @@ from roadloom.llm.tokens import tokenizer
 
 SIZE, END_ID = 2048, 1
 #: Bytes of text that make up a group, that share a dictionary of units, and whose ids are laid out at a time.
-GROUP_BYTES, SHARED_BYTES, PART_BYTES = 16 << 20, 32 << 20, 4 << 20
+GROUP_BYTES, SHARED_BYTES, PART_BYTES = 16 << 20, 24 << 20, 4 << 20
 #: Units that the library encodes as one text, those of ASCII, Latin-1 letters and line ends, and what it splits them into.
 TOGETHER, PLAIN = 500, r"^[\n\x21-\x7e\x{c0}-\x{ff}]*$"
 PRE_TOKEN = r"'s|'t|'re|'ve|'m|'ll|'d|\p{L}+|\p{N}|[^\s\p{L}\p{N}]+"
