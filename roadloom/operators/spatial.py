@@ -55,8 +55,8 @@ def pairs(pts: DataFrame, r: float) -> DataFrame:
 
 
 def nearest(left: DataFrame, right: DataFrame, r: float) -> DataFrame:
-    """For each left id its nearest right id within ``r`` (the smaller id on ties)."""
-    return within(left, right, r).groupBy("a").agg(F.min(F.struct("dist", "b")).alias("m")).select("a", "m.b", "m.dist")
+    """For each left id its nearest right id within ``r``; the smaller id where distances agree to nine decimals."""
+    return within(left, right, r).groupBy("a").agg(F.min(F.struct(F.round("dist", 9).alias("dist"), "b")).alias("m")).select("a", "m.b", "m.dist")
 
 
 def covered(left: DataFrame, right: DataFrame, r: float, yes: bool = True) -> DataFrame:

@@ -268,12 +268,12 @@ def pairs_within(p: DataFrame) -> DataFrame:
     return spatial.pairs(p.select(F.col("event_id").alias("id"), "x", "y"), 4.0).select("a", "b", r6("dist"))
 
 
-@query("nearest_probe", f"{_TWO} SELECT a, arg_min(b, (dist, b)) AS b, round(min(dist), 6) AS dist FROM {_NEAR('v', 'h', 3)} GROUP BY a")
+@query("nearest_probe", f"{_TWO} SELECT a, arg_min(b, (round(dist, 9), b)) AS b, round(min(dist), 6) AS dist FROM {_NEAR('v', 'h', 3)} GROUP BY a")
 def nearest_probe(p: DataFrame) -> DataFrame:
     return spatial.nearest(*two_sources(p), 3.0).select("a", "b", r6("dist"))
 
 
-@query("nearest_probe_anywhere", f"{_TWO}, d AS (SELECT v.id AS a, h.id AS b, sqrt((v.x - h.x) * (v.x - h.x) + (v.y - h.y) * (v.y - h.y)) AS dist FROM v, h) SELECT a, arg_min(b, (dist, b)) AS b, round(min(dist), 6) AS dist FROM d GROUP BY a")
+@query("nearest_probe_anywhere", f"{_TWO}, d AS (SELECT v.id AS a, h.id AS b, sqrt((v.x - h.x) * (v.x - h.x) + (v.y - h.y) * (v.y - h.y)) AS dist FROM v, h) SELECT a, arg_min(b, (round(dist, 9), b)) AS b, round(min(dist), 6) AS dist FROM d GROUP BY a")
 def nearest_probe_anywhere(p: DataFrame) -> DataFrame:
     """The nearest probe however far: the radius doubles for those that have none yet."""
     return spatial.nearest_any(*two_sources(p), 1.0).select("a", "b", r6("dist"))
@@ -360,10 +360,10 @@ tu AS (SELECT *, (ox * bdy - oy * bdx) / (adx * bdy - ady * bdx) AS t, (ox * ady
 cr AS (SELECT a, b, min(ax + t * adx) AS x, min(ay + t * ady) AS y FROM tu WHERE t BETWEEN 0 AND 1 AND u BETWEEN 0 AND 1 AND NOT (afi AND t = 0 OR ala AND t = 1 OR bfi AND u = 0 OR bla AND u = 1) GROUP BY a, b, round(ax + t * adx, 6), round(ay + t * ady, 6))"""
 
 
-@query("line_crossings", f"{_MEET} SELECT a, b, round(x, 4) AS x, round(y, 4) AS y FROM cr")
+@query("line_crossings", f"{_MEET} SELECT a, b, round(x + 1e-7, 4) AS x, round(y + 1e-7, 4) AS y FROM cr")
 def line_crossings(p: DataFrame) -> DataFrame:
-    """Crossings of whole lines, segment by segment."""
-    return cleaning.line_crossings(traces.lines(p)).select("a", "b", F.round("x", 4).alias("x"), F.round("y", 4).alias("y"))
+    """Crossings of whole lines, segment by segment; a little is added so that halves round alike in both engines."""
+    return cleaning.line_crossings(traces.lines(p)).select("a", "b", *(F.round(F.col(c) + 1e-7, 4).alias(c) for c in "xy"))
 
 
 @query("junctions", f"{_MEET} SELECT CAST(floor((x + 15) / 30) AS BIGINT) AS cx, CAST(floor((y + 15) / 30) AS BIGINT) AS cy, round(avg(x), 3) AS x, round(avg(y), 3) AS y, count(*) AS crossings FROM cr GROUP BY 1, 2")
