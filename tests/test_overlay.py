@@ -70,3 +70,29 @@ def test_mean_distance_and_ends(spark):
     assert overlay.mean_distance(d, d, p, 2.0).first().mean_dist == pytest.approx(4.0, abs=0.05)
     e = {(x.id, x.end): x.heading for x in overlay.ends(d.where("id = 1")).collect()}
     assert e == {(1, 0): 270.0, (1, 1): 90.0}
+
+
+def test_segment_pairs_once_each(spark):
+    """Whatever the cell, each pair of segments comes once, and those within the radius all come."""
+    a, b = overlay.segments(table(spark, network(3, 25))), overlay.segments(table(spark, network(4, 25)))
+    for cell in (7.0, 20.0, 200.0):
+        got = [tuple(r) for r in overlay.near_segments(a, b, 5.0, cell).select("a_id", "a_seq", "b_id", "b_seq").collect()]
+        assert len(got) == len(set(got))
+        near = overlay.near_segments(a, b, 5.0, 1000.0).withColumns(overlay._sides()).where(overlay.segment_distance() <= 5.0)
+        assert {tuple(r) for r in near.select("a_id", "a_seq", "b_id", "b_seq").collect()} <= set(got)
+
+
+def test_crossings_as_in_sql(spark):
+    """Steps of one course seem to meet by rounding where they share a cell of 30; halves round as DuckDB rounds them."""
+    from roadloom.functions import geometry as g
+    from roadloom.operators import cleaning
+
+    xy = [(-2.8000000000000003, 33.7), (-1.5, 23.2), (-0.2, 12.7), (1.1, 2.2), (2.4000000000000004, -14.4)]
+    d = table(spark, [(390, xy), (930, xy)]).withColumnRenamed("id", "trace_id")
+    got = {(round(r.x, 4), round(r.y, 4)) for r in cleaning.line_crossings(d).collect()}
+    assert (-0.2, 12.7) in got
+    rows = [(1200.0000005,), (-0.5,), (0.1234565,), (12.3,), (0.0,)]
+    import duckdb
+
+    want = [duckdb.sql(f"SELECT round(CAST({v!r} AS DOUBLE), 6)").fetchall()[0][0] for (v,) in rows]
+    assert [r[0] for r in spark.createDataFrame(rows, "v double").select(g.half_away("v", 6)).collect()] == want
