@@ -91,6 +91,7 @@ def test_crossings_as_in_sql(spark):
     d = table(spark, [(390, xy), (930, xy)]).withColumnRenamed("id", "trace_id")
     got = {(round(r.x, 4), round(r.y, 4)) for r in cleaning.line_crossings(d).collect()}
     assert (-0.2, 12.7) in got
+    assert {(r.cx, r.cy): r.crossings for r in cleaning.junctions(d).collect()}[0, 0] == 2
     rows = [(1200.0000005,), (-0.5,), (0.1234565,), (12.3,), (0.0,)]
     import duckdb
 
