@@ -8,11 +8,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from roadloom.functions import geometry as g
-from roadloom.operators import carriageways, overlay, spatial
+from roadloom.operators import overlay, pairing, spatial
 from roadloom.operators import lines as ln
 from roadloom.operators.graph import connected_components
-from roadloom.operators.kernels import as_array, frechet, hausdorff_column, simplify
+from roadloom.operators.kernels import as_array, frechet, simplify
 from roadloom.operators.topology import mean_line
+from roadloom.session import cut
 
 
 def density_clusters(pts: DataFrame, eps: float, least: int = 2, turn: float | None = None) -> DataFrame:
@@ -45,12 +46,9 @@ def cluster_polylines(pts: DataFrame, eps: float = 15.0, least: int = 5, turn: f
 
 def alike_lines(net: DataFrame, distance: float, degrees: float = 30.0, both_ways: bool = True) -> DataFrame:
     """``(a, b, hausdorff)``: lines of about one heading at most ``distance`` apart everywhere."""
-    size = net.select("id", "line", g.start_end_heading("line").alias("h"))
-    near = carriageways.near_pairs(net, distance)
-    side = lambda p: size.select(*(F.col(c).alias(p if c == "id" else p + "_" + c) for c in size.columns))
-    turn = (g.axis_difference if both_ways else g.angle_difference)("a_h", "b_h")
-    d = near.join(side("a"), "a").join(side("b"), "b").where(turn <= degrees)
-    return d.select("a", "b", hausdorff_column(F.col("a_line"), F.col("b_line")).alias("hausdorff")).where(F.col("hausdorff") <= distance)
+    turn = (lambda d: np.minimum(d, 180 - d)) if both_ways else (lambda d: d)
+    agree = lambda a, b, i, js: turn(ln.angle(b.h[js], a.h[i])) <= degrees
+    return pairing.close_pairs(net, distance, accept=agree).withColumnRenamed("dist", "hausdorff")
 
 
 def medoids(net: DataFrame, pairs: DataFrame, distance: str = "hausdorff") -> DataFrame:
@@ -76,7 +74,7 @@ def nearest_to_centroid(net: DataFrame, groups: DataFrame) -> DataFrame:
 
 def greedy_cover(net: DataFrame, distance: float = 10.0) -> DataFrame:
     """Longest lines first, each kept unless it lies within ``distance`` of one kept already; settled within components of like lines."""
-    pairs = alike_lines(net, distance, 180.0)
+    pairs = cut(alike_lines(net, distance, 180.0))
     groups = connected_components(pairs, "a", "b")
     size = net.select(F.col("id"), g.line_length("line").alias("length"))
     d = groups.join(size, "id").join(pairs.select(F.explode(F.array(F.struct(F.col("a").alias("id"), F.col("b").alias("o")), F.struct(F.col("b").alias("id"), F.col("a").alias("o")))).alias("x")).select("x.*").groupBy("id").agg(F.collect_list("o").alias("near")), "id")
@@ -193,8 +191,6 @@ def vertex_edges(reps: DataFrame, nodes: DataFrame, r: float = 14.0, dangling: f
 
 def network_of(traces: DataFrame, **limits: float) -> tuple[DataFrame, DataFrame]:
     """Nodes and edges from traces by windows, groups, representatives and vertices."""
-    from roadloom.session import cut
-
     subs = cut(subtrajectories(traces.select("id", "line")))
     reps = cut(representatives(subs, subtrajectory_groups(subs, **limits)))
     nodes = cut(vertices(reps))
