@@ -53,6 +53,7 @@ def alike_lines(net: DataFrame, distance: float, degrees: float = 30.0, both_way
 
 def medoids(net: DataFrame, pairs: DataFrame, distance: str = "hausdorff") -> DataFrame:
     """One line for each component of pairs: the one with the least mean distance to those it is paired with; lines of none stand for themselves."""
+    pairs = cut(pairs)
     groups = connected_components(pairs, "a", "b")
     each = pairs.select(F.explode(F.array("a", "b")).alias("id"), distance).groupBy("id").agg(F.avg(distance).alias("d"), F.count("*").alias("n"))
     best = groups.join(each, "id").groupBy("component").agg(F.min(F.struct(F.col("d"), (-F.col("n")).alias("k"), "id")).alias("m"), F.count("*").alias("members")).select("m.id", "members")
