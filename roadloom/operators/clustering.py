@@ -13,23 +13,28 @@ from roadloom.operators import lines as ln
 from roadloom.operators.graph import connected_components
 from roadloom.operators.kernels import as_array, frechet, simplify
 from roadloom.operators.topology import mean_line
-from roadloom.session import cut
+from roadloom.session import cut, stored
 
 
 def density_clusters(pts: DataFrame, eps: float, least: int = 2, turn: float | None = None) -> DataFrame:
     """``(id, cluster)`` of points (``id, x, y`` and, with ``turn``, ``heading``): points with ``least`` or more within ``eps``, themselves
     counted, hang together; others join the nearest such point; noise has no row. With ``turn`` only points of like heading are near."""
-    near = spatial.pairs(pts, eps)
-    if turn is not None:
-        h = pts.select("id", "heading")
-        near = near.join(h.withColumnsRenamed({"id": "a", "heading": "ha"}), "a").join(h.withColumnsRenamed({"id": "b", "heading": "hb"}), "b").where(g.angle_difference("ha", "hb") <= turn).select("a", "b", "dist")
-    both = near.unionByName(near.select(F.col("b").alias("a"), F.col("a").alias("b"), "dist"))
-    count = pts.select("id").join(both.groupBy(F.col("a").alias("id")).agg(F.count("*").alias("n")), "id", "left")
-    core = count.where(F.coalesce("n", F.lit(0)) + 1 >= least).select("id")
-    inner = near.join(core.withColumnRenamed("id", "a"), "a", "left_semi").join(core.withColumnRenamed("id", "b"), "b", "left_semi")
-    own = core.join(connected_components(inner, "a", "b"), "id", "left").select("id", F.coalesce("component", "id").alias("cluster"))
-    edge = both.join(core.withColumnRenamed("id", "a"), "a", "left_anti").join(own.withColumnRenamed("id", "b"), "b").groupBy(F.col("a").alias("id")).agg(F.min(F.struct("dist", "b", "cluster")).alias("m")).select("id", "m.cluster")
-    return own.unionByName(edge)
+    known = F.col("x").isNotNull() & F.col("y").isNotNull() & (F.col("heading").isNotNull() if turn is not None else F.lit(True))
+    keys, more = ["kx", "ky", "kh"], ["heading"] if turn is not None else []
+    d = stored(spatial._gridded(pts.where(known), eps, turn).select("id", "x", "y", *more, *keys))
+    # a cell's points are all near each other: with enough of them all are dense, and only the few others look around
+    few = cut(d.groupBy(*keys).agg(F.count("*").alias("n")).where(F.col("n") < least).select(*keys))
+    rest = d.join(few, keys, "left_semi")
+    a = spatial._near_cells(rest.withColumnsRenamed({"id": "a", "x": "ax", "y": "ay", "heading": "ah"}), turn)
+    near = a.join(d.withColumnsRenamed({"id": "b"}), keys).withColumn("dist", F.hypot(F.col("ax") - F.col("x"), F.col("ay") - F.col("y"))).where((F.col("dist") <= eps) & (F.col("a") != F.col("b")))
+    near = stored((near.where(g.angle_difference("ah", "heading") <= turn) if turn is not None else near).select("a", "b", "dist"))
+    count = near.groupBy(F.col("a").alias("id")).agg(F.count("*").alias("n"))
+    thin = cut(rest.select("id").join(count, "id", "left").where(F.coalesce("n", F.lit(0)) + 1 < least).select("id"))
+    core = d.join(thin, "id", "left_anti")
+    own = core.join(spatial.linked(core, eps, turn), keys).select("id", F.col("component").alias("cluster"))
+    edge = near.join(thin.withColumnRenamed("id", "a"), "a", "left_semi").join(own.withColumnRenamed("id", "b"), "b").groupBy(F.col("a").alias("id")).agg(F.min(F.struct("dist", "b", "cluster")).alias("m")).select("id", "m.cluster")
+    out = own.unionByName(edge)
+    return out.unionByName(pts.where(~known).select("id", F.col("id").alias("cluster"))) if least <= 1 else out
 
 
 def cluster_polylines(pts: DataFrame, eps: float = 15.0, least: int = 5, turn: float = 30.0, tolerance: float = 2.0, shortest: float = 10.0) -> DataFrame:

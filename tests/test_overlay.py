@@ -121,3 +121,25 @@ def test_linked_points_equal_all_pairs(spark, turn):
                     parent[max(u, v)] = min(u, v)
         got = spatial._gridded(d, reach, turn).join(spatial.linked(d, reach, turn), ["kx", "ky", "kh"])
         assert {x.id: x.component for x in got.collect()} == {p[0]: find(p[0]) for p in pts}
+
+
+@pytest.mark.parametrize("turn", [None, 30.0])
+def test_density_clusters_without_pairs(spark, turn):
+    """Against brute force, with a crowd whose pairs would be 80000; the plan pairs only the thin cells' points."""
+    from roadloom.operators import clustering
+
+    r = random.Random(12)
+    pts = [(k, r.uniform(-40, 40), r.uniform(-40, 40), r.uniform(0, 360)) for k in range(250)] + [(1000 + k, r.gauss(200, 2), r.gauss(0, 2), r.gauss(0, 4) % 360) for k in range(400)]
+    d = spark.createDataFrame(pts, "id long, x double, y double, heading double")
+    eps, least = 6.0, 4
+    near = {p[0]: [(math.hypot(p[1] - q[1], p[2] - q[2]), q[0]) for q in pts if p != q and math.hypot(p[1] - q[1], p[2] - q[2]) <= eps and (turn is None or abs((p[3] - q[3] + 180) % 360 - 180) <= turn)] for p in pts}
+    core, want = {k for k, n in near.items() if len(n) + 1 >= least}, {}
+    for k in sorted(core):
+        todo = [k] if k not in want else []
+        while todo:
+            u = todo.pop()
+            if u not in want:
+                want[u] = k
+                todo += [v for _, v in near[u] if v in core]
+    want |= {k: want[min((x, v) for x, v in n if v in core)[1]] for k, n in near.items() if k not in core and any(v in core for _, v in n)}
+    assert {x.id: x.cluster for x in clustering.density_clusters(d, eps, least, turn).collect()} == want
