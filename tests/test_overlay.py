@@ -143,3 +143,12 @@ def test_density_clusters_without_pairs(spark, turn):
                 todo += [v for _, v in near[u] if v in core]
     want |= {k: want[min((x, v) for x, v in n if v in core)[1]] for k, n in near.items() if k not in core and any(v in core for _, v in n)}
     assert {x.id: x.cluster for x in clustering.density_clusters(d, eps, least, turn).collect()} == want
+
+
+def test_polyline_of_a_crowd(spark):
+    """2000 points on a short road are two million pairs; their line needs none of them."""
+    from roadloom.operators import clustering
+
+    d = spark.range(2000).selectExpr("id", "(id % 100) * 0.5 AS x", "(id % 7) * 0.1 AS y", "88.0 + id % 5 AS heading")
+    rows = clustering.cluster_polylines(d, 6.0, 4).collect()
+    assert [r.support for r in rows] == [2000] and rows[0].line[-1].x - rows[0].line[0].x > 40
