@@ -98,16 +98,17 @@ def greedy_cover(net: DataFrame, distance: float = 10.0) -> DataFrame:
 def gap_lines(gaps: DataFrame, eps: float = 12.0, least: int = 2, sector: float = 30.0, shortest: float = 6.0, weighted: bool = True) -> DataFrame:
     """Gap pieces (``id, line``) clustered by middle and sector of heading; each cluster gives its medoid, support being its size times half
     and half the agreement of headings, or its size alone; noise and short lines go."""
-    m = ln.per_line(gaps, lambda xy: [(*ln.at_distance(xy, np.array([ln.length(xy) / 2]))[0].tolist(), float(ln.bearings(xy[-1] - xy[0])), ln.length(xy), xy)], f"x double, y double, heading double, length double, line {ln.LINE}")
-    m = m.withColumn("bin", F.floor(F.pmod("heading", F.lit(180.0)) / sector))
-    # sectors are kept apart by shifting each far away
+    m = stored(ln.middles(gaps).drop("line"))
+    m = m.withColumn("bin", F.floor(F.pmod(F.round("heading", 9), F.lit(180.0)) / sector))
+    # pieces cut at the edge of a buffer run right along a border of sectors, hence the rounding; sectors are kept apart by shifting each far away
     shifted = m.select("id", (F.col("x") + F.col("bin") * 1e9).alias("x"), "y")
-    d = m.join(density_clusters(shifted, eps, least), "id")
-    w = F.col("length") if weighted else F.lit(1.0)
+    # the lines themselves are fetched for the medoids only
+    d = stored(m.join(density_clusters(shifted, eps, least), "id"))
+    w = F.greatest(F.col("length"), F.lit(1e-12)) if weighted else F.lit(1.0)
     r = F.radians(2 * F.col("heading"))
     c = d.groupBy("cluster").agg((F.sum(F.col("x") * w) / F.sum(w)).alias("cx"), (F.sum(F.col("y") * w) / F.sum(w)).alias("cy"), F.count("*").alias("n"), F.hypot(F.avg(F.sin(r)), F.avg(F.cos(r))).alias("agree"))
-    best = d.join(c, "cluster").groupBy("cluster").agg(F.min_by(F.struct("id", "line", "n", "agree", "length"), F.struct(g.distance("x", "y", "cx", "cy"), F.col("id"))).alias("m")).select("m.*")
-    return best.where(F.col("length") >= shortest).select("id", "line", (F.col("n") * (0.5 + 0.5 * F.col("agree")) if weighted else F.col("n").cast("double")).alias("support"))
+    best = d.join(c, "cluster").groupBy("cluster").agg(F.min_by(F.struct("id", "n", "agree", "length"), F.struct(g.distance("x", "y", "cx", "cy"), F.col("id"))).alias("m")).select("m.*")
+    return best.join(gaps.select("id", "line"), "id").where(F.col("length") >= shortest).select("id", "line", (F.col("n") * (0.5 + 0.5 * F.col("agree")) if weighted else F.col("n").cast("double")).alias("support"))
 
 
 # ---- parts of traces

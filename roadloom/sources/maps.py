@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import re
 
+import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -83,4 +84,4 @@ def projected(d: DataFrame, zone: int = 34) -> DataFrame:
 def new_in(net: DataFrame, known: DataFrame, r: float = 15.0) -> DataFrame:
     """Stretches of lines farther than ``r`` from known ones, as lines."""
     gaps = overlay.uncovered_stretches(net, known, r).groupBy("id").agg(F.collect_list(F.struct("lo", "hi")).alias("gaps"))
-    return ln.per_line(net.join(gaps, "id"), lambda xy, gaps: [(k, ln.substring(xy, x["lo"], x["hi"])) for k, x in enumerate(gaps)], f"part int, line {ln.LINE}", also=("gaps",), drop=("gaps",))
+    return ln.per_line(net.join(gaps, "id"), lambda xy, gaps: enumerate(ln.substrings(xy, *(np.array([x[c] for x in gaps], float) for c in ("lo", "hi")))), f"part int, line {ln.LINE}", also=("gaps",), drop=("gaps",))

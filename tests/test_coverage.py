@@ -50,3 +50,24 @@ def test_redundancy_lists_no_pairs(spark):
     assert len(row) == len(a) and (lo <= 0).all() and (hi >= 1).all() and sum(looked) < 20 * len(a)
     got = scores.redundancy(d).first()
     assert got.share == pytest.approx(0.5, abs=0.02)
+
+
+def test_short_lines_are_measured_together(spark):
+    rows = [*wiggles(30), (2000, [(5.0, 6.0)]), (2001, [(0.0, 0.0), (0.0, 0.0), (0.0, 3.0), (4.0, 3.0)])]
+    got = {r.id: (r.x, r.y, r.heading, r.length) for r in ln.middles(spark.createDataFrame(rows, f"id long, line {ln.LINE}")).collect()}
+    for k, p in rows:
+        xy = np.array(p)
+        want = (*ln.at_distance(xy, np.array([ln.length(xy) / 2]))[0], float(ln.bearings(xy[-1] - xy[0])), ln.length(xy))
+        assert got[k] == pytest.approx(want, abs=1e-9)
+    xy = np.array(rows[4][1])
+    lo = np.linspace(0, ln.length(xy) * 0.8, 9)
+    for a, b, part in zip(lo, lo + 7, ln.substrings(xy, lo, lo + 7), strict=True):
+        assert part == pytest.approx(ln.substring(xy, a, b))
+
+
+def test_gap_lines_of_many_pieces_do_not_depend_on_noise(spark):
+    """Pieces along a border of sectors stay in one cluster whatever the last bits of their ends."""
+    from roadloom.operators import clustering
+
+    rows = [(k, [(1.5, 10.0 + k), (1.5 + (k % 2) * -2e-16, 30.0 + k)]) for k in range(6)]
+    assert [r.support for r in clustering.gap_lines(spark.createDataFrame(rows, f"id long, line {ln.LINE}")).collect()] == [pytest.approx(6.0)]
