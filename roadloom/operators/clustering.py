@@ -4,16 +4,17 @@ from __future__ import annotations
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from roadloom.functions import geometry as g
-from roadloom.operators import overlay, pairing, spatial
+from roadloom.operators import courses, overlay, pairing, spatial
 from roadloom.operators import lines as ln
 from roadloom.operators.graph import connected_components
-from roadloom.operators.kernels import as_array, frechet, simplify
+from roadloom.operators.kernels import simplify
 from roadloom.operators.topology import mean_line
-from roadloom.session import cut, stored
+from roadloom.session import cut, few, stored
 
 
 def density_clusters(pts: DataFrame, eps: float, least: int = 2, turn: float | None = None) -> DataFrame:
@@ -134,15 +135,7 @@ def subtrajectories(traces: DataFrame, length: float = 65.0, step: float = 18.0,
 
 def subtrajectory_groups(subs: DataFrame, centre: float = 35.0, degrees: float = 30.0, most: float = 16.0, members: int = 3, support: float = 5.5, weight: str | None = None) -> DataFrame:
     """``(sid, component)`` of windows whose centres, headings (opposite ones apart) and courses agree; groups of enough members and weight."""
-    near = spatial.pairs(subs.select(F.col("sid").alias("id"), "x", "y"), centre).select("a", "b")
-    side = lambda p: subs.select(F.col("sid").alias(p), F.col("line").alias(p + "l"), F.col("heading").alias(p + "h"))
-    d = near.join(side("a"), "a").join(side("b"), "b").where(g.angle_difference("ah", "bh") <= degrees)
-
-    @F.pandas_udf("double")
-    def apart(x: pd.Series, y: pd.Series) -> pd.Series:
-        return pd.Series([frechet(as_array(p), as_array(q)) for p, q in zip(x, y, strict=True)], dtype="float64")
-
-    groups = connected_components(d.withColumn("f", apart("al", "bl")).where(F.col("f") <= most), "a", "b").withColumnRenamed("id", "sid")
+    groups = cut(courses.groups(subs, centre, degrees, most))
     w = F.sum(weight) if weight else F.count("*").cast("double")
     good = groups.join(subs.select("sid", *([weight] if weight else [])), "sid").groupBy("component").agg(F.count("*").alias("n"), w.alias("w")).where((F.col("n") >= members) & (F.col("w") >= support)).select("component")
     return groups.join(good, "component", "left_semi").select("sid", "component")
@@ -150,15 +143,16 @@ def subtrajectory_groups(subs: DataFrame, centre: float = 35.0, degrees: float =
 
 def representatives(subs: DataFrame, groups: DataFrame, weight: str | None = None, sample: int = 200) -> DataFrame:
     """``(id, line, support, members)``: of every group the weighted median line, smoothed; its turns stay."""
-    d = subs.join(groups, "sid").withColumn("w", F.col(weight) if weight else F.lit(1.0))
+    d = subs.join(few(groups), "sid").withColumn("w", F.col(weight).cast("double") if weight else F.lit(1.0))
 
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("sid")
-        line = mean_line([as_array(p) for p in pdf.line], pdf.w.to_numpy(float), 8, sample)
+    def run(table: pa.Table) -> pa.Table:
+        table = table.combine_chunks().sort_by("sid")
+        w = table.column("w").to_numpy()
+        line = mean_line([p for chunk in table.column("line").chunks for p in ln.arrays_of(chunk)], w, 8, sample)
         line = ln.smooth_keeping_turns(line, 1, 35.0, 0.2)
-        return pd.DataFrame({"id": [pdf.component.iloc[0]], "line": [[{"x": float(x), "y": float(y)} for x, y in line]], "support": [float(pdf.w.sum())], "members": [len(pdf)]})
+        return pa.table({"id": table.column("component")[:1], "line": [[{"x": float(x), "y": float(y)} for x, y in line]], "support": [float(w.sum())], "members": [len(w)]})
 
-    return d.select("component", "sid", "line", "w").groupBy("component").applyInPandas(run, f"id long, line {ln.LINE}, support double, members long")
+    return d.select("component", "sid", "line", "w").groupBy("component").applyInArrow(run, f"id long, line {ln.LINE}, support double, members long")
 
 
 def vertices(reps: DataFrame, turn: float = 35.0, crossing: float = 15.0, r: float = 12.0) -> DataFrame:
@@ -198,7 +192,7 @@ def vertex_edges(reps: DataFrame, nodes: DataFrame, r: float = 14.0, dangling: f
 
 def network_of(traces: DataFrame, **limits: float) -> tuple[DataFrame, DataFrame]:
     """Nodes and edges from traces by windows, groups, representatives and vertices."""
-    subs = cut(subtrajectories(traces.select("id", "line")))
+    subs = stored(subtrajectories(traces.select("id", "line")))
     reps = cut(representatives(subs, subtrajectory_groups(subs, **limits)))
     nodes = cut(vertices(reps))
     return nodes, vertex_edges(reps, nodes)
