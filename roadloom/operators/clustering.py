@@ -11,39 +11,19 @@ from pyspark.sql import functions as F
 from roadloom.functions import geometry as g
 from roadloom.operators import courses, overlay, pairing, spatial
 from roadloom.operators import lines as ln
+from roadloom.operators.density import density_clusters
 from roadloom.operators.graph import connected_components
 from roadloom.operators.kernels import simplify
 from roadloom.operators.topology import mean_line
 from roadloom.session import cut, few, stored
 
 
-def density_clusters(pts: DataFrame, eps: float, least: int = 2, turn: float | None = None) -> DataFrame:
-    """``(id, cluster)`` of points (``id, x, y`` and, with ``turn``, ``heading``): points with ``least`` or more within ``eps``, themselves
-    counted, hang together; others join the nearest such point; noise has no row. With ``turn`` only points of like heading are near."""
-    known = F.col("x").isNotNull() & F.col("y").isNotNull() & (F.col("heading").isNotNull() if turn is not None else F.lit(True))
-    keys, more = ["kx", "ky", "kh"], ["heading"] if turn is not None else []
-    d = stored(spatial._gridded(pts.where(known), eps, turn).select("id", "x", "y", *more, *keys))
-    # a cell's points are all near each other: with enough of them all are dense, and only the few others look around
-    few = cut(d.groupBy(*keys).agg(F.count("*").alias("n")).where(F.col("n") < least).select(*keys))
-    rest = d.join(few, keys, "left_semi")
-    a = spatial._near_cells(rest.withColumnsRenamed({"id": "a", "x": "ax", "y": "ay", "heading": "ah"}), turn)
-    near = a.join(d.withColumnsRenamed({"id": "b"}), keys).withColumn("dist", F.hypot(F.col("ax") - F.col("x"), F.col("ay") - F.col("y"))).where((F.col("dist") <= eps) & (F.col("a") != F.col("b")))
-    near = stored((near.where(g.angle_difference("ah", "heading") <= turn) if turn is not None else near).select("a", "b", "dist"))
-    count = near.groupBy(F.col("a").alias("id")).agg(F.count("*").alias("n"))
-    thin = cut(rest.select("id").join(count, "id", "left").where(F.coalesce("n", F.lit(0)) + 1 < least).select("id"))
-    core = d.join(thin, "id", "left_anti")
-    own = core.join(spatial.linked(core, eps, turn), keys).select("id", F.col("component").alias("cluster"))
-    edge = near.join(thin.withColumnRenamed("id", "a"), "a", "left_semi").join(own.withColumnRenamed("id", "b"), "b").groupBy(F.col("a").alias("id")).agg(F.min(F.struct("dist", "b", "cluster")).alias("m")).select("id", "m.cluster")
-    out = own.unionByName(edge)
-    return out.unionByName(pts.where(~known).select("id", F.col("id").alias("cluster"))) if least <= 1 else out
-
-
 def cluster_polylines(pts: DataFrame, eps: float = 15.0, least: int = 5, turn: float = 30.0, tolerance: float = 2.0, shortest: float = 10.0) -> DataFrame:
     """Density clusters of points with headings as lines: points in order of the first principal axis, in bins, simplified."""
-    d = pts.join(density_clusters(pts, eps, least, turn), "id")
+    d = density_clusters(pts, eps, least, turn, keep=("x", "y"))
     s = d.groupBy("cluster").agg(F.avg("x").alias("mx"), F.avg("y").alias("my"), F.covar_pop("x", "y").alias("xy"), F.var_pop("x").alias("xx"), F.var_pop("y").alias("yy"), F.count("*").alias("support"))
     axis = 0.5 * F.atan2(2 * F.col("xy"), F.col("xx") - F.col("yy"))
-    p = d.join(s.withColumn("t", axis), "cluster").withColumn("s", (F.col("x") - F.col("mx")) * F.cos("t") + (F.col("y") - F.col("my")) * F.sin("t"))
+    p = d.join(few(s.withColumn("t", axis)), "cluster").withColumn("s", (F.col("x") - F.col("mx")) * F.cos("t") + (F.col("y") - F.col("my")) * F.sin("t"))
     bins = p.groupBy("cluster", "support", F.floor(F.col("s") / eps).alias("bin")).agg(F.avg("x").alias("x"), F.avg("y").alias("y"))
     line = bins.groupBy("cluster", "support").agg(F.array_sort(F.collect_list(F.struct("bin", "x", "y"))).alias("p"))
     line = line.select(F.col("cluster").alias("id"), "support", F.transform("p", lambda q: F.struct(q["x"].alias("x"), q["y"].alias("y"))).alias("line")).where(F.size("line") >= 2)
