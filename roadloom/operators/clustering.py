@@ -95,8 +95,8 @@ def gap_lines(gaps: DataFrame, eps: float = 12.0, least: int = 2, sector: float
 # ---- parts of traces
 
 
-def subtrajectories(traces: DataFrame, length: float = 65.0, step: float = 18.0, spacing: float = 5.0, most: int = 250) -> DataFrame:
-    """``(sid, id, win, line, x, y, heading, ...)``: windows of about ``length`` every ``step`` along resampled traces, a last one at the end; ``most`` a trace."""
+def subtrajectories(traces: DataFrame, length: float = 65.0, step: float = 18.0, spacing: float = 5.0) -> DataFrame:
+    """``(sid, id, win, line, x, y, heading, ...)``: windows of about ``length`` every ``step`` along resampled traces, a last one at the end; all of a trace."""
     size, hop = max(4, round(length / spacing)), max(2, round(step / spacing))
 
     def kernel(xy):
@@ -106,7 +106,7 @@ def subtrajectories(traces: DataFrame, length: float = 65.0, step: float = 18.0,
         starts = list(range(0, max(1, len(even) - size + 1), hop))
         if starts[-1] + size < len(even):
             starts.append(len(even) - size)
-        for k, s in enumerate(starts[:most]):
+        for k, s in enumerate(starts):
             part = even[s : s + size]
             yield k, part, *part.mean(axis=0).tolist(), float(ln.bearings(part[-1] - part[0]))
 
@@ -145,10 +145,12 @@ def vertices(reps: DataFrame, turn: float = 35.0, crossing: float = 15.0, r: flo
     own = ln.per_line(reps.select("id", "line", "support"), kernel, "x double, y double").select("x", "y", F.col("support").alias("w"))
     x = overlay.crossing_points(reps.select("id", "line")).join(reps.select(F.col("id").alias("a"), F.col("support").alias("sa"), g.start_end_heading("line").alias("ha")), "a").join(reps.select(F.col("id").alias("b"), F.col("support").alias("sb"), g.start_end_heading("line").alias("hb")), "b")
     x = x.where(g.axis_difference("ha", "hb") >= crossing).select("x", "y", (F.col("sa") + F.col("sb")).alias("w"))
-    v = own.unionByName(x).withColumn("id", F.xxhash64("x", "y", "w")).dropDuplicates(["id"])
+    # equal ones are one point that counts as many times
+    v = own.unionByName(x).groupBy("x", "y", "w").agg(F.count("*").alias("n")).withColumn("id", F.xxhash64("x", "y", "w"))
     parts = connected_components(spatial.pairs(v, r), "a", "b")
     d = v.join(parts, "id", "left").withColumn("node", F.coalesce("component", "id"))
-    return d.groupBy("node").agg((F.sum(F.col("x") * F.col("w")) / F.sum("w")).alias("x"), (F.sum(F.col("y") * F.col("w")) / F.sum("w")).alias("y"), F.sum("w").alias("weight"), F.count("*").alias("members"))
+    w = F.col("w") * F.col("n")
+    return d.groupBy("node").agg((F.sum(F.col("x") * w) / F.sum(w)).alias("x"), (F.sum(F.col("y") * w) / F.sum(w)).alias("y"), F.sum(w).alias("weight"), F.sum("n").alias("members"))
 
 
 def vertex_edges(reps: DataFrame, nodes: DataFrame, r: float = 14.0, dangling: float = 30.0, support: float = 8.0) -> DataFrame:

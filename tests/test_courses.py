@@ -79,3 +79,26 @@ def test_groups_that_no_leader_joins():
     label = np.array([0, 0, 1, 1])
     courses._join_open(w, label)
     assert label.tolist() == [0, 0, 1, 1]
+
+
+def test_long_traces_keep_all_windows(spark):
+    xy = [(5.0 * k, 0.0) for k in range(1500)]
+    d = spark.createDataFrame([(1, xy)], f"id long, line {ln.LINE}")
+    w = clustering.subtrajectories(d).collect()
+    assert sorted(r.win for r in w) == list(range(373)) and len({r.sid for r in w}) == 373
+    assert max(p.x for r in w for p in r.line) == pytest.approx(7495.0)
+
+
+def test_the_network_reaches_the_end_of_long_traces(spark):
+    d = spark.createDataFrame([(k, [(5.0 * i, 0.5 * k) for i in range(1500)]) for k in range(3)], f"id long, line {ln.LINE}")
+    nodes, edges = clustering.network_of(d, members=2, support=2.0)
+    assert nodes.count() > 0
+    groups = clustering.subtrajectory_groups(clustering.subtrajectories(d), members=2, support=2.0)
+    assert groups.count() == 3 * 373
+
+
+def test_equal_vertices_all_count(spark):
+    line = [(0.0, 0.0), (50.0, 0.0), (100.0, 0.0)]
+    reps = spark.createDataFrame([(1, line, 2.0), (2, line, 2.0)], f"id long, line {ln.LINE}, support double")
+    got = sorted((r.x, r.weight, r.members) for r in clustering.vertices(reps).collect())
+    assert got == [(0.0, 4.0, 2), (100.0, 4.0, 2)]
